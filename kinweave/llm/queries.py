@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.llm.bpe import encode_decode
 from kinweave.llm.common import read_documents
 from kinweave.llm.exact import exact_dedup
+from kinweave.llm.packing import pack
 from kinweave.llm.quality import quality
 
 
@@ -13,12 +15,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_documents(spark, sf_dir))
+
+
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_documents(spark, sf_dir), with_ids=False)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(read_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op8_bpe_encode_decode, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
