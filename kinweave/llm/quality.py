@@ -132,8 +132,9 @@ def cascade(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> tuple[Rule, ...]:
     """rules ordered by rejection per cost, both estimated on at most `sample` documents (those
     with the smallest hashes). The verdict doesn't depend on the order, only the work does."""
-    took = bare(docs, "text").filter("length(text) <= 100000").orderBy(F.xxhash64("doc_id")).limit(sample)
-    texts = [r.text or "" for r in took.select("text").collect()]
+    short = bare(docs, "text").filter("octet_length(text) <= 100000")
+    ids = [r.doc_id for r in short.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample).collect()]
+    texts = [r.text for r in short.filter(F.col("doc_id").isin(ids)).select("text").limit(sample).collect()] if ids else []
     if not texts:
         return rules
     data, offsets = text_bytes(pa.array(texts, pa.string()))
