@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kinweave.llm.bpe import encode_decode
 from kinweave.llm.common import read_documents
 from kinweave.llm.exact import exact_dedup
+from kinweave.llm.jaccard import jaccard_classes
 from kinweave.llm.langid import op6_language_id
 from kinweave.llm.packing import pack
 from kinweave.llm.pii import find, summary
@@ -25,6 +26,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(find(read_documents(spark, sf_dir)))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(read_documents(spark, sf_dir))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_documents(spark, sf_dir), with_ids=False)
 
@@ -34,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_pii, op6_language_id, op8_bpe_encode_decode, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op8_bpe_encode_decode, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
