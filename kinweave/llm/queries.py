@@ -12,12 +12,17 @@ from kinweave.llm.langid import op6_language_id
 from kinweave.llm.packing import pack
 from kinweave.llm.pii import find, summary
 from kinweave.llm.quality import quality
+from kinweave.llm.substring import substring_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_documents(spark, sf_dir), with_text=False)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir))
 
@@ -39,7 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op8_bpe_encode_decode, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op8_bpe_encode_decode, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
