@@ -9,6 +9,7 @@ from kinweave.llm.common import read_documents
 from kinweave.llm.exact import exact_dedup
 from kinweave.llm.jaccard import jaccard_classes
 from kinweave.llm.langid import op6_language_id
+from kinweave.llm.lm import op9_lm_scoring
 from kinweave.llm.packing import pack
 from kinweave.llm.pii import find, summary
 from kinweave.llm.quality import quality
@@ -44,7 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op8_bpe_encode_decode, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
