@@ -14,6 +14,7 @@ from kinweave.llm.packing import pack
 from kinweave.llm.pii import find, summary
 from kinweave.llm.quality import quality
 from kinweave.llm.substring import substring_dedup
+from kinweave.llm.suffix import suffix_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_documents(spark, sf_dir))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_documents(spark, sf_dir), with_text=False)
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_documents(spark, sf_dir), with_ids=False)
 
@@ -45,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op7_suffix_array_dedup, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
