@@ -26,8 +26,8 @@ def exact_dedup(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     the input) are broadcast, so rows of hot groups get their keeper on the map side and never
     meet in one task. All other digests use ordinary shuffling: partial aggregation, then a join.
 
-    Repeated rows with one doc_id: one output row each, and the first of them counts as kept; a
-    null doc_id never beats another. An empty table gives no rows; other columns are ignored.
+    Repeated rows with one doc_id give a row each, and are kept or dropped together; a null doc_id
+    never beats another. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -47,4 +47,4 @@ def exact_dedup(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the later rows of each group of equal texts."""
     kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
