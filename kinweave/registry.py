@@ -1,6 +1,8 @@
-"""All queries of the library by name, with DuckDB SQL for each."""
+"""All queries of the library by name, with DuckDB SQL for each that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from kinweave.plans import model, relational, synthesis  # noqa: F401
+from kinweave.plans.relational import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
