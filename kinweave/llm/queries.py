@@ -10,12 +10,15 @@ from kinweave.llm.exact import exact_dedup
 from kinweave.llm.jaccard import jaccard_classes
 from kinweave.llm.langid import op6_language_id
 from kinweave.llm.lm import op9_lm_scoring
+from kinweave.llm.oracle import ORACLE_SQL
 from kinweave.llm.packing import pack
 from kinweave.llm.pii import find, summary
 from kinweave.llm.quality import quality
 from kinweave.llm.substring import substring_dedup
 from kinweave.llm.suffix import suffix_dedup
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
@@ -51,11 +54,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op7_suffix_array_dedup, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules)}
-
-ORACLE_SQL = {
-    "op1_exact_dedup": r"""
-        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
-        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = min(doc_id) OVER w AS kept, text_sha256
-        FROM d WINDOW w AS (PARTITION BY text_sha256)""",
-}
