@@ -42,19 +42,32 @@ def unpack(raw: bytes) -> dict[str, bytes]:
     return {name: batch.column(k)[0].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def exchange(docs: DataFrame, buckets: int, keys_of: Callable, answer: Callable, schema: str, across_rows: bool) -> DataFrame:
+def _narrow(keys: np.ndarray, bits: int) -> bytes:
+    """The 40 bits below the leading `bits`, which the bucket already tells."""
+    short = (keys << U(bits)) >> U(24)
+    return (short & U(0xFFFFFFFF)).astype(np.uint32).tobytes() + (short >> U(32)).astype(np.uint8).tobytes()
+
+
+def _widen(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint32, n).astype(U) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(U) << U(32)
+
+
+def exchange(docs: DataFrame, buckets: int, keys_of: Callable, answer: Callable, schema: str, across_rows: bool, exact: bool = True, chunk_bytes: int = CHUNK) -> DataFrame:
     """Rows of `schema`, made by answer(home, tags) for each chunk of docs.
 
     keys_of(batch, data, offsets) -> (keys, rows, tags, home): 64-bit keys, the row each belongs to
     (a row's keys may repeat), a 32-bit tag for each, and a dict of arrays that answer() gets back
     as bytes. answer(home, tags) gets the tags of all shared keys, in no order. A key is shared if
-    it occurs in two rows (across_rows), or twice anywhere.
+    it occurs in two rows (across_rows), or twice anywhere. Unless `exact`, 40 bits of a key beside
+    its bucket are compared: enough where a key that wrongly counts as shared only costs work.
     """
-    shift = U(64 - int(buckets).bit_length() + 1)
+    bits = int(buckets).bit_length() - 1
+    shift = U(64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, CHUNK):
+        for batch in pieces(batches, chunk_bytes):
             chunk = (task << 32) | n
             n += 1
             keys, rows, tags, home = keys_of(batch, *text_bytes(batch.column("text")))
@@ -85,7 +98,7 @@ def exchange(docs: DataFrame, buckets: int, keys_of: Callable, answer: Callable,
                 {
                     "bucket": pa.array([chunk % buckets, *full.tolist()], pa.int32()), "chunk": pa.array([chunk] * (len(full) + 1), pa.int64()),
                     "home": pa.array([_pack(settled=settled, **home)] + [None] * len(full), pa.binary()),
-                    "keys": pa.array([None] + [sent[a:b].tobytes() for a, b in parts], pa.binary()),
+                    "keys": pa.array([None] + [sent[a:b].tobytes() if exact else _narrow(sent[a:b], bits) for a, b in parts], pa.binary()),
                     "tags": pa.array([None] + [tag[a:b].tobytes() for a, b in parts], pa.binary()),
                     "many": pa.array([None] + [np.packbits(flag[a:b]).tobytes() for a, b in parts], pa.binary()),
                 }
@@ -95,11 +108,11 @@ def exchange(docs: DataFrame, buckets: int, keys_of: Callable, answer: Callable,
         homes = table.filter(pa.compute.is_valid(table["home"]))
         sent = table.filter(pa.compute.is_valid(table["keys"]))
         raw = sent["keys"].to_pylist()
-        keys = np.frombuffer(b"".join(raw), U)
-        sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        keys = np.frombuffer(b"".join(raw), U) if exact else np.concatenate([*map(_widen, raw), np.zeros(0, U)])
+        sizes = np.array([len(x) // (8 if exact else 5) for x in raw], np.int64)
         tags = np.frombuffer(b"".join(sent["tags"].to_pylist()), np.uint32)
         flag = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=int(k)) for x, k in zip(sent["many"].to_pylist(), sizes, strict=True)] or [np.zeros(0, np.uint8)]).astype(bool)
-        part = np.repeat(np.arange(len(raw)), sizes)
+        part = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         order = np.argsort(keys)
         k, p = keys[order], part[order]
         new = np.ones(len(k), bool)

@@ -158,7 +158,7 @@ def _phrases(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         sha = [x.decode() for x in np.frombuffer(home["sha"], "S64").tolist()]
         return pa.table(_id_columns(home) | {"n_words": n_words, "full_sha256": pa.array(sha, pa.string()), "runs": pa.array(out, pa.binary())})
 
-    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_words long, full_sha256 string, runs binary", across_rows=False)
+    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_words long, full_sha256 string, runs binary", across_rows=False, exact=False)
 
 
 def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             out.append(_runs(np.cumsum(step[:-1]) > 0).tobytes() if len(hit) else None)
         return pa.table(_id_columns(home) | {"covered": pa.array(out, pa.binary())})
 
-    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, covered binary", across_rows=False)
+    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, covered binary", across_rows=False, exact=True)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -205,11 +205,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     scratch = Scratch(docs.sparkSession, "substring")
     docs = bare(docs, "text").withColumn("key", F.xxhash64("doc_id", "text"))
     _, volume = text_volume(docs)
-    every = scratch.save(_phrases(docs, window, buckets_for(volume // 2)))
+    every = scratch.save(_phrases(docs, window, buckets_for(volume)))
     same = lambda a, b: (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
     open_ = every.filter("runs is not null").groupBy("doc_id", "key").agg(F.first("runs").alias("runs"))
     left = scratch.save(docs.join(open_, same(docs, open_)).select(docs.doc_id, docs.key, "text", "runs"))
-    found = _windows(left, window, buckets_for(volume // 2)).filter("covered is not null")
+    found = _windows(left, window, buckets_for(volume)).filter("covered is not null")
     found = scratch.save(found.groupBy("doc_id", "key").agg(F.first("covered").alias("covered")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
