@@ -3,10 +3,10 @@
 Columns (n-grams) are dealt into blocks by hash. A first product with the all-ones vector counts, by
 document, the n-grams that any other document has too: a document with under 80 % of such n-grams
 can have no link and drops out. Of those left, equal rows are folded into one. Then the blocks'
-products are taken over the columns that matter (a document's first fifth in a global order, which
-two linked documents can't both miss), never all pairs of a column: a column yields pairs with one
-leader a round, until pairs between different components are few enough to be listed in full. Overlap
-counts are taken only for pairs whose sizes allow a link.
+products are taken over the columns that matter (each document's rarest ones, which two linked
+documents can't both miss), never all pairs of a column: a column yields pairs with one leader a
+round, while that joins components; then pairs of different components are listed, where sizes and
+places of the common column allow a link, and their overlaps are counted.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import U, Scratch, bare, chain, lower_ascii, mix, pieces, row_of, span_hashes, text_bytes, text_volume, word_spans
@@ -81,7 +81,7 @@ def shared_counts(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             }
         )
 
-    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_shingles long, n_shared long, sign1 long, sign2 long", across_rows=True)
+    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_shingles long, n_shared long, sign1 long, sign2 long", across_rows=True, exact=False)
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -108,14 +108,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.filter(_linked(F.size(F.array_intersect("ga", "gb")), F.size("ga"), F.size("gb"), num, den)).select("a", "b")
 
 
+def _first_columns(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The cells of the matrix that two linked rows can't both miss: doc_id, size, n (n-grams that
+    other rows have too), at (the column's place among those), short, gram.
+
+    Columns are in a global order, rare ones first; those of one row only come before all others and
+    drop out. Two rows of sizes y <= x that are linked have a common column among the first
+    x - ceil(num x / den) + 1 of the larger and the first y - ceil(2 num y / (num + den)) + 1 of the
+    smaller; `short` marks the latter."""
+    cells = sets.select("doc_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    held = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    w = Window.partitionBy("doc_id")
+    ranked = cells.join(held, "gram").withColumn("at", F.row_number().over(w.orderBy("df", F.xxhash64("gram"), "gram"))).withColumn("n", F.count(F.lit(1)).over(w))
+    place = F.col("at") + F.col("size") - F.col("n")
+    upto = lambda p, q: F.col("size") - F.ceil(F.col("size") * p / q) + 1
+    return ranked.filter(place <= upto(num, den)).select("doc_id", "size", "n", "at", (place <= upto(2 * num, num + den)).alias("short"), "gram")
+
+
 def jaccard_classes(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Documents with equal sets are linked;
     those without words have an empty set and no link. No pair is lost: the shared-count test and the
     first-fifth test only drop what can't reach num / den. Rows that repeat a doc_id are separate
-    rows of one class. A null doc_id takes part like any other, as the smallest. Extra columns are
-    ignored; an empty table gives no rows.
+    rows of one class. Rows without doc_id make no links; they get the class of a row with an equal set,
+    if there is one, else null. Extra columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = bare(docs, "text").withColumn("key", F.xxhash64("doc_id", "text"))
@@ -126,18 +143,11 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den:
     folded = scratch.save(may.groupBy("sign1", "sign2", "n_shingles").agg(F.min("doc_id").alias("stands"), F.min_by("key", "doc_id").alias("key")))
     stand = folded.select(F.col("stands").alias("doc_id"), "key")
     sets = scratch.save(sets_of(docs.join(stand, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]), n))
-    size = F.size("grams")
-    first = size - F.ceil(size * num / den) + 1
-    # a column is a signed hash: xxhash64 gives the global order, any order will do
-    ordered = F.slice(F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1, first.cast("int"))
-    cells = scratch.save(sets.select("doc_id", size.alias("size"), F.explode(F.transform(ordered, lambda x: x["g"])).alias("gram")))
-    shared = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    narrowed = scratch.save(cells.join(shared, "gram"))
-    scratch.drop(cells)
-    links, label, before, cells = None, None, None, narrowed
+    cells = scratch.save(_first_columns(sets, num, den))
+    links, label, before = None, None, None
     fits = lambda a, b: (den * F.least(a, b) >= num * F.greatest(a, b))
     for turn in range(1000):
-        now = cells.withColumn("c", F.col("doc_id")) if label is None else cells.join(label, cells.doc_id == label.node, "left").select("gram", "doc_id", "size", F.coalesce("component", "doc_id").alias("c"))
+        now = cells.withColumn("c", F.col("doc_id")) if label is None else cells.join(label, cells.doc_id == label.node, "left").select(*cells.columns, F.coalesce("component", "doc_id").alias("c"))
         # columns that hold two components or more, and the pairs that they would still yield
         groups = now.groupBy("gram", "c").agg(F.count(F.lit(1)).alias("m"))
         open_ = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q")).filter("k > 1")
@@ -145,20 +155,28 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den:
         total = now.groupBy("gram").agg(F.first("pairs").alias("p")).agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("g")).first()
         if not total.g:
             break
-        docs_left = now.select("doc_id").distinct().count()
-        last = total.p <= DIRECT * docs_left or (before is not None and total.p > 0.9 * before)
+        left = now.select("doc_id").distinct().count()
+        last = total.p <= DIRECT * left or (turn > 1 and total.p > 0.5 * before)
         before = total.p
-        if last:
-            a, b = now.select("gram", F.col("doc_id").alias("a"), F.col("size").alias("sa"), F.col("c").alias("ca")), now.select("gram", F.col("doc_id").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
-            pairs = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
-        else:  # each document meets one leader: the first, in this turn's order, of those its columns name
+        if last:  # the product in full, less what the sizes and places of a common column rule out
+            side = lambda x, df: df.select("gram", *[F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "size", "n", "at", "c")])
+            a_, b_ = side("a", now.filter("short")), side("b", now)
+            order = F.struct("a_size", "a_doc_id") < F.struct("b_size", "b_doc_id")
+            most = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+            enough = most * (num + den) >= num * (F.col("a_size") + F.col("b_size"))
+            met = a_.join(b_, (a_.gram == b_.gram) & order & (F.col("a_c") != F.col("b_c")) & fits(F.col("a_size"), F.col("b_size")) & enough)
+            pairs = met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct()
+        else:  # each document meets one leader: the one that most of its columns name
             rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("d"), F.col("size").alias("s"), F.col("c").alias("c"))
             lead = now.groupBy("gram").agg(F.min(rank).alias("lead"))
             met = now.join(lead, "gram").filter((F.col("lead.c") != F.col("c")) & fits(F.col("size"), F.col("lead.s")))
-            pairs = met.groupBy("doc_id").agg(F.min("lead").alias("lead")).select(F.least("doc_id", "lead.d").alias("a"), F.greatest("doc_id", "lead.d").alias("b")).distinct()
+            votes = met.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"))
+            best = votes.groupBy("doc_id").agg(F.max_by("lead", F.struct("n", "lead.h")).alias("lead"))
+            pairs = best.select(F.least("doc_id", "lead.d").alias("a"), F.greatest("doc_id", "lead.d").alias("b")).distinct()
         found = scratch.save(_verified(pairs, sets, num, den))
         links = found if links is None else scratch.save(links.union(found).distinct())
         label = components(links, scratch)
+        scratch.drop(now)
         if last:
             break
     stands = folded.select("sign1", "sign2", "n_shingles", "stands")
