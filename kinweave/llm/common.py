@@ -27,6 +27,8 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _POWERS = np.ones(1, U), np.ones(1, U)
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 # ---- scratch tables ----------------------------------------------------------------------------
 
 
@@ -43,10 +45,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables written to the shared folder to cut lineage; each is Parquet, so it survives lost
-    executors. `drop` deletes one that no later step reads."""
+    executors. `drop` deletes one that no later step reads. Arrow batches of texts are kept to some
+    megabytes: the session's rows per batch are lowered where they are still at Spark's default."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        if spark.conf.get(ROWS_PER_BATCH) == "10000":  # Spark's default suits numbers, not texts
+            spark.conf.set(ROWS_PER_BATCH, "1200")
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -154,6 +159,29 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of all k consecutive bytes, equal to span_hashes of the same spans, without
+    index arrays."""
+    n = len(data) + 1
+    power, inverse = _powers(n)
+    prefix = np.zeros(n, U)
+    np.cumsum(_BYTE[data] * power[: n - 1], out=prefix[1:])
+    out = prefix[k:] - prefix[: n - k]
+    out *= inverse[: n - k]
+    out += U(k)
+    return mix(out)
+
+
+def row_hashes(table: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Fingerprints of columns first to end of each row of a byte matrix, column by column: memory is
+    one value per row."""
+    out = np.zeros(len(table), U)
+    for k in range(first, end):
+        out *= _BASE
+        out += _BYTE[table[:, k]]
+    return mix(out)
+
+
 def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True that don't cross a row: starts, ends, and each row's first run."""
     n = len(inside)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import U, Scratch, bare, mix, pieces, row_of, span_hashes, text_bytes, text_volume
+from kinweave.llm.common import U, Scratch, bare, mix, pieces, row_hashes, row_of, span_hashes, text_bytes, text_volume, window_hashes
 from kinweave.llm.exchange import buckets_for, exchange
 
 #: Bytes of a match, bytes of an anchor, windows of a match around one anchor.
@@ -28,7 +28,7 @@ MATCH, ANCHOR = 50, 24
 REACH = MATCH - ANCHOR
 #: Bytes around an anchor that its windows cover.
 AROUND = REACH + MATCH
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Surroundings sorted at a time within a bucket (more if one anchor has more).
 SLICE = 16_000
 
@@ -38,9 +38,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if n < MATCH:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    at = np.arange(n - ANCHOR + 1)
-    h = span_hashes(data, at, at + ANCHOR)
-    best, place, have = h, at.astype(np.int32), 1
+    h = window_hashes(data, ANCHOR)
+    best, place, have = h, np.arange(len(h), dtype=np.int32), 1
     while have < REACH + 1:  # the least of ever more neighbours, the left one of equals
         step = min(have, REACH + 1 - have)
         later = best[step:] < best[: len(best) - step]
@@ -152,7 +151,14 @@ def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         sha = [x.decode() for x in np.frombuffer(home["sha"], "S64").tolist()]
         return pa.table({"doc_id": np.frombuffer(home["doc_id"], np.int64), "key": np.frombuffer(home["key"], np.int64), "n_bytes": np.frombuffer(home["n_bytes"], np.int64), "full_sha256": pa.array(sha, pa.string()), "anchors": pa.array(out, pa.binary())})
 
-    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_bytes long, full_sha256 string, anchors binary", across_rows=True)
+    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_bytes long, full_sha256 string, anchors binary", across_rows=True, exact=False, chunk_bytes=CHUNK)
+
+
+def _all_windows(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A mask of the window offsets that lie in the document."""
+    low, end = REACH - before.astype(np.int64), np.maximum(after.astype(np.int64) + REACH - MATCH + 1, 0)
+    one = np.int64(1)
+    return np.where(end > low, (one << end) - (one << np.minimum(low, end)), 0).astype(np.uint32)
 
 
 def _runs(covered: np.ndarray) -> np.ndarray:
@@ -166,9 +172,7 @@ def compare_surroundings(key: np.ndarray, around: np.ndarray, before: np.ndarray
     mask = np.zeros(m, np.uint32)
     if not m:
         return mask
-    flat = np.ascontiguousarray(around).reshape(-1)
-    at = np.arange(m) * AROUND
-    own = span_hashes(flat, at, at + AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
+    own = row_hashes(around, 0, AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
     order = np.lexsort((doc, own, key))
     k, o, d = key[order], own[order], doc[order]
     new = np.ones(m, bool)
@@ -177,14 +181,13 @@ def compare_surroundings(key: np.ndarray, around: np.ndarray, before: np.ndarray
     first = np.flatnonzero(new)
     # window offsets that lie in the document
     low, high = REACH - before.astype(np.int64), after.astype(np.int64) + REACH - MATCH
-    span = np.arange(REACH + 1)
-    whole = (((span >= low[:, None]) & (span <= high[:, None])) << span).sum(axis=1).astype(np.uint32)
+    whole = _all_windows(before, after)
     mask[order] = np.where(d > d[first][group], whole[order], 0)
     # one of each surrounding is left; it can match another only over one of two half strings
     u = order[first]
-    halves = [span_hashes(flat, at[u] + a, at[u] + b) for a, b in ((REACH // 2, MATCH), (REACH, MATCH + REACH // 2))]
     hope = np.zeros(len(u), bool)
-    for x in halves:
+    for a, b in ((REACH // 2, MATCH), (REACH, MATCH + REACH // 2)):
+        x = row_hashes(around[u], a, b)
         by = np.argsort(x)
         s = x[by]
         twin = np.zeros(len(u), bool)
@@ -237,12 +240,12 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
             padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(MATCH, np.uint8)])
             before = np.minimum(local, REACH)
             after = np.minimum(np.diff(offsets)[row] - local, MATCH)
-            around = padded[at[:, None] + np.arange(AROUND)]
+            around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[at]
+            edge = np.flatnonzero((before < REACH) | (after < MATCH))
             span = np.arange(AROUND) - REACH
-            around[(span < -before[:, None]) | (span >= after[:, None])] = 0
+            around[edge] *= (span >= -before[edge, None]) & (span < after[edge, None])
             doc = ids["doc_id"][row]
-            flat = np.arange(len(at)) * AROUND
-            own = span_hashes(np.ascontiguousarray(around).reshape(-1), flat, flat + AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
+            own = row_hashes(around, 0, AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
             order = np.lexsort((doc, own, key))
             k, o = key[order], own[order]
             new = np.ones(len(k), bool)
@@ -284,8 +287,7 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
         ids, key, size, n, local, unique, lead, before, after = (np.frombuffer(x, t) for x, t in zip(raw, types, strict=True))
         mask = np.frombuffer(b"".join(x for x in table["mask"].to_pylist() if x is not None), np.uint32)
         row = np.repeat(np.arange(len(n)), n)
-        span = np.arange(REACH + 1)
-        whole = (((span >= REACH - before[:, None].astype(int)) & (span <= after[:, None].astype(int) + REACH - MATCH)) << span).sum(axis=1).astype(np.uint32)
+        whole = _all_windows(before, after)
         mine = np.where(ids[row] > lead[unique], whole, mask[unique])
         base = np.cumsum(size) - size
         step = np.zeros(int(size.sum()) + 1, np.int32)
@@ -315,10 +317,10 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     docs = bare(docs, "text").withColumn("key", F.xxhash64("doc_id", "text"))
     _, volume = text_volume(docs)
     some = docs.filter("doc_id is not null")
-    every = scratch.save(_shared_anchors(some, buckets_for(volume // 2)))
+    every = scratch.save(_shared_anchors(some, buckets_for(2 * volume)))
     anchored = every.filter("anchors is not null").select("doc_id", "key", "anchors").dropDuplicates(["doc_id", "key"])
     left = some.join(anchored, ["doc_id", "key"])
-    found = scratch.save(_covered(left, 2 * buckets_for(volume)).filter("covered is not null").dropDuplicates(["doc_id", "key"]))
+    found = scratch.save(_covered(left, 2 * buckets_for(2 * volume)).filter("covered is not null").dropDuplicates(["doc_id", "key"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
