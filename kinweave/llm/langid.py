@@ -193,9 +193,10 @@ def training_part(docs: DataFrame) -> DataFrame:
     return docs.filter(remainder(3) != 1)
 
 
-def known_language(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """docs without those of no language, or of one given less than `min_score`: rows are filtered
-    where they are read, all columns pass through."""
+def known_language(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """docs without those of no language (null or no letter), or of one given less than `min_score`:
+    rows are filtered where they are read, all columns pass through. By default no score is too low,
+    since texts of a few words get low scores and may well be clean."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(training_part(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
