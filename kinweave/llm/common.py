@@ -56,8 +56,10 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
+        schema = df.schema
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        del df  # else its shuffle files would outlive the clean-up below
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch = path
         self.tidy()
         return out

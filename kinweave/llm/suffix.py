@@ -222,7 +222,7 @@ def compare_surroundings(key: np.ndarray, around: np.ndarray, before: np.ndarray
 def _covered(docs: DataFrame, buckets: int) -> DataFrame:
     """By document with anchors: runs of bytes that go."""
     shift = U(64 - int(buckets).bit_length() + 1)
-    wire = "bucket int, chunk long, home list, keys binary, docs binary, edges binary, around binary".replace("home list", "home array<binary>")
+    wire = "bucket int, chunk long, home list, docs binary, edges binary, around binary".replace("home list", "home array<binary>")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -261,16 +261,17 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array([chunk % buckets, *full.tolist()], pa.int32()), "chunk": pa.array([chunk] * (len(full) + 1), pa.int64()), "home": pa.array([home] + [None] * len(full), pa.list_(pa.binary())),
-                    "keys": cut(key), "docs": cut(doc), "edges": cut(np.stack([before, after], axis=1).astype(np.uint8)), "around": cut(around),
+                    "docs": cut(doc), "edges": cut(np.stack([before, after], axis=1).astype(np.uint8)), "around": cut(around),
                 }
             )
 
     def compare(table: pa.Table) -> pa.Table:
-        homes, sent = table.filter(pa.compute.is_valid(table["home"])), table.filter(pa.compute.is_valid(table["keys"]))
-        raw = sent["keys"].to_pylist()
+        homes, sent = table.filter(pa.compute.is_valid(table["home"])), table.filter(pa.compute.is_valid(table["docs"]))
+        raw = sent["docs"].to_pylist()
         get = lambda n, t: np.frombuffer(b"".join(sent[n].to_pylist()), t)
         edges = get("edges", np.uint8).reshape(-1, 2)
-        mask = compare_surroundings(np.frombuffer(b"".join(raw), U), get("around", np.uint8).reshape(-1, AROUND), edges[:, 0], edges[:, 1], get("docs", np.int64))
+        around = get("around", np.uint8).reshape(-1, AROUND)
+        mask = compare_surroundings(row_hashes(around, REACH, MATCH), around, edges[:, 0], edges[:, 1], get("docs", np.int64))
         ends = np.cumsum([len(x) // 8 for x in raw]).astype(np.int64)
         return pa.table(
             {
