@@ -1,15 +1,18 @@
 """Scoring by a hierarchical Pitman-Yor model.
 
-Restaurants: one for each context (a class of the word before; 0 at a text's start), all sharing one
-parent, whose base is uniform over the vocabulary. Seatings are drawn by blocked Gibbs sweeps over
-the distinct (context, word) pairs, which are dealt into buckets by word: a word's parent counts are
-then local to its bucket, and a sweep exchanges only totals by context, a table of fixed size.
-Predictive probabilities are averaged over the kept sweeps.
+Restaurants: one for each context (the word before, or a text's start), all sharing one parent, whose
+base is uniform over the vocabulary. Words and contexts are known by their whole 64-bit fingerprints,
+so there are as many restaurants as the corpus has words. Seatings are drawn by blocked Gibbs sweeps
+over the distinct (context, word) pairs, which are dealt into buckets by a fingerprint of the pair, so
+neither a hot word nor a hot context fills one. What a sweep needs of a word - its customers and
+tables as a context, its customers and tables in the parent - is a Parquet table by word, summed and
+joined anew for each sweep. Predictive probabilities are averaged over the kept sweeps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,32 +20,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import U, Scratch, bare, lower_ascii, mix, pieces, read_documents, remainder, row_of, span_hashes, text_bytes, text_volume, word_spans
+from kinweave.llm.common import U, Scratch, bare, lower_ascii, mix, pieces, read_documents, remainder, span_hashes, text_bytes, text_volume, word_spans
 
-#: Contexts: class 0 for a text's start, the others by a hash of the word before.
-CONTEXTS = 1024
-END = U(0x5851F42D4C957F2D)
+#: Stand for a text's end as a word, and for its start as a context.
+END, START = U(0x5851F42D4C957F2D), U(0xD1B54A32D192ED03)
 DISCOUNT, STRENGTH = (0.8, 0.6), (1.0, 5.0)  # of contexts, of their parent
 SWEEPS, KEPT = 3, 2
-#: A word with so many tokens in a chunk is sent as counts by context instead of token by token.
-HOT = 256
 CHUNK, BUCKET = 4 << 20, 16 << 20
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' fingerprints with an end after each row's, their contexts, and n + 1 offsets."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words' fingerprints with an end after each row's, and n + 1 offsets."""
     low = lower_ascii(data)
     starts, ends, first = word_spans(low, offsets)
     word = np.insert(span_hashes(low, starts, ends), first[1:], END)
-    first = first + np.arange(len(first))
-    context = np.zeros(len(word), np.uint16)
-    context[1:] = (mix(word[:-1] ^ U(99)) % U(CONTEXTS - 1)).astype(np.uint16) + np.uint16(1)
-    context[first[:-1]] = 0
-    return word, context, first
+    return word, first + np.arange(len(first))
 
 
-def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
-    return (word >> U(64 - int(buckets).bit_length() + 1)).astype(np.int64)
+def contexts_of(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each, START at the start of a row."""
+    context = np.roll(word, 1)
+    context[first[:-1]] = START
+    return context
+
+
+def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(word + mix(context ^ U(99)))
+
+
+def _shift(buckets: int) -> np.uint64:
+    return U(64 - int(buckets).bit_length() + 1)
 
 
 def _small(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -56,61 +63,60 @@ def _wide(small: bytes, more: bytes) -> np.ndarray:
     return out
 
 
-def _pairs(word: np.ndarray, context: np.ndarray, count: np.ndarray | None = None):
-    """Distinct words in order, pairs per word, and the pairs' contexts and counts."""
-    order = np.lexsort((context, word))
-    w, c = word[order], context[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+def _distinct(keys: np.ndarray, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray, buckets: int):
+    """Distinct pairs in order of bucket and word: buckets, words, contexts, counts."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
+    w, c, b = words[order[at]], contexts[order[at]], (k[at] >> _shift(buckets)).astype(np.int64)
+    order = np.lexsort((w, b))
+    return b[order], w[order], c[order], n[order]
+
+
+def _runs(words: np.ndarray) -> tuple[bytes, bytes]:
+    """Words in order, each once, and how many pairs each has."""
+    new = np.ones(len(words), bool)
+    new[1:] = words[1:] != words[:-1]
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(w))) if count is None else np.add.reduceat(count[order], at) if len(at) else np.zeros(0, np.int64)
-    w, c = w[at], c[at]
-    first = np.ones(len(w), bool)
-    first[1:] = w[1:] != w[:-1]
-    start = np.flatnonzero(first)
-    return w[start], np.diff(np.append(start, len(w))), c, n
+    return words[at].tobytes(), np.diff(np.append(at, len(words))).astype(np.uint32).tobytes()
 
 
-_MODEL = "bucket int, n_words long, n_tokens long, words binary, sizes binary, contexts binary, small binary, more binary"
+_PAIRS = "bucket int, words binary, sizes binary, contexts binary, small binary, more binary"
+_BLOBS = ("words", "sizes", "contexts", "small", "more")
 
 
 def count_pairs(docs: DataFrame, buckets: int) -> DataFrame:
-    """One row per bucket: its words in order and, for each, contexts and counts. Map tasks count
-    within a chunk first, so a hot word leaves a chunk with at most CONTEXTS pairs."""
+    """One row per bucket: its pairs and their counts. Map tasks count within a chunk first, so a
+    pair leaves a chunk once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, CHUNK):
-            words, sizes, contexts, counts = _pairs(*tokens(*text_bytes(batch.column("text")))[:2])
-            edge = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
-            at = np.concatenate([[0], np.cumsum(sizes)])
+            word, first = tokens(*text_bytes(batch.column("text")))
+            context = contexts_of(word, first)
+            bucket, words, contexts, counts = _distinct(pair_keys(word, context), word, context, np.ones(len(word), np.int64), buckets)
+            edge = np.searchsorted(bucket, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edge))
-            rows = []
-            for b in full.tolist():
-                i, j = edge[b], edge[b + 1]
-                small, more = _small(counts[at[i] : at[j]])
-                rows.append((words[i:j].tobytes(), sizes[i:j].astype(np.uint16).tobytes(), contexts[at[i] : at[j]].tobytes(), small, more))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            names = ("words", "sizes", "contexts", "small", "more")
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32())} | {n: pa.array(list(c), pa.binary()) for n, c in zip(names, columns, strict=True)})
+            cuts = [slice(edge[b], edge[b + 1]) for b in full]
+            columns = zip(*[(*_runs(words[x]), contexts[x].tobytes(), *_small(counts[x])) for x in cuts], strict=True)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32())} | {n: pa.array(c, pa.binary()) for n, c in zip(_BLOBS, columns, strict=True)})
 
     def merge(table: pa.Table) -> pa.Table:
-        words, sizes, contexts, counts = _read(table)
-        words, sizes, contexts, counts = _pairs(np.repeat(words, sizes), contexts, counts)
-        small, more = _small(counts)
-        out = {"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "n_words": [len(words)], "n_tokens": [int(counts.sum())]}
-        for n, x in zip(("words", "sizes", "contexts", "small", "more"), (words.tobytes(), sizes.astype(np.uint16).tobytes(), contexts.tobytes(), small, more), strict=True):
-            out[n] = pa.array([x], pa.binary())
-        return pa.table(out)
+        words, contexts, counts = _read(table)
+        _, words, contexts, counts = _distinct(pair_keys(words, contexts), words, contexts, counts, buckets)
+        blobs = (*_runs(words), contexts.tobytes(), *_small(counts))
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())} | {n: pa.array([x], pa.binary()) for n, x in zip(_BLOBS, blobs, strict=True)})
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, words binary, sizes binary, contexts binary, small binary, more binary")
-    return sent.groupBy("bucket").applyInArrow(merge, _MODEL)
+    return docs.select("text").mapInArrow(send, _PAIRS).groupBy("bucket").applyInArrow(merge, _PAIRS)
 
 
-def _read(table: pa.Table):
-    """words, pairs per word, contexts and counts of all rows, one after the other."""
+def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, contexts and counts of the pairs of all rows, one after the other."""
     get = lambda n, t: np.frombuffer(b"".join(table[n].to_pylist()), t)
-    counts = np.concatenate([_wide(a, b) for a, b in zip(table["small"].to_pylist(), table["more"].to_pylist(), strict=True)] or [np.zeros(0, np.int64)])
-    return get("words", U), get("sizes", np.uint16).astype(np.int64), get("contexts", np.uint16), counts
+    counts = [_wide(a, b) for a, b in zip(table["small"].to_pylist(), table["more"].to_pylist(), strict=True)]
+    return np.repeat(get("words", U), get("sizes", np.uint32)), get("contexts", U), np.concatenate([*counts, np.zeros(0, np.int64)])
 
 
 # ---- seating -----------------------------------------------------------------------------------
@@ -134,214 +140,270 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.ran
     return tables
 
 
+@dataclass
 class Totals:
-    """After a sweep: customers and tables by context, and of the parent; n words in the vocabulary."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, parent: tuple[int, int], vocabulary: int):
-        self.customers, self.tables, self.parent, self.vocabulary = customers, tables, parent, vocabulary
-
-    def floor(self) -> float:
-        """The parent's probability of a word it doesn't know."""
-        return (STRENGTH[1] + DISCOUNT[1] * self.parent[1]) / (self.vocabulary + 1) / (STRENGTH[1] + self.parent[0])
-
-    def weight(self, contexts: np.ndarray) -> np.ndarray:
-        return STRENGTH[0] + DISCOUNT[0] * self.tables[contexts]
-
-
-def sweep(bucket: int, sizes: np.ndarray, contexts: np.ndarray, counts: np.ndarray, seen: list[Totals]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The seatings of a bucket after each sweep: tables by pair, parent's customers and tables by
-    word. Sweep k draws from the probabilities that the totals of sweep k - 1 give; draws are seeded
-    by bucket and sweep, so a repeated task gives the same seating."""
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    start = np.cumsum(sizes) - sizes
-    out = []
-    for k, before in enumerate(seen):
-        rng = np.random.default_rng([5, bucket, k])
-        if not out:
-            parent = np.full(len(sizes), before.floor())
-        else:
-            _, guests, theirs = out[-1]
-            parent = (guests - DISCOUNT[1] * theirs) / (STRENGTH[1] + before.parent[0]) + before.floor()
-        tables = seat(counts, before.weight(contexts) * parent[word], DISCOUNT[0], rng)
-        guests = np.add.reduceat(tables, start) if len(start) else np.zeros(0, np.int64)
-        base = (STRENGTH[1] + DISCOUNT[1] * before.parent[1]) / (before.vocabulary + 1)
-        out.append((tables, guests, seat(guests, np.full(len(guests), base), DISCOUNT[1], rng)))
-    return out
+    """Of a sweep: the parent's customers and tables; of the corpus: distinct words and tokens."""
+
+    guests: int
+    theirs: int
+    vocabulary: int
+    total: int
+
+    def base(self) -> float:
+        """The weight of a new table of one word in the parent."""
+        return (STRENGTH[1] + DISCOUNT[1] * self.theirs) / (self.vocabulary + 1)
+
+    def parent(self, guests: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """The parent's probabilities of words with so many customers and tables there."""
+        return (guests - DISCOUNT[1] * theirs + self.base()) / (STRENGTH[1] + self.guests)
+
 
+def weight(tables: np.ndarray) -> np.ndarray:
+    """The weight of the parent in contexts with so many tables."""
+    return STRENGTH[0] + DISCOUNT[0] * tables
 
-def fit(model: DataFrame) -> list[Totals]:
-    """Totals before the first sweep and after each; by context, so of fixed size."""
-    first = model.agg(F.sum("n_words").alias("v"), F.sum("n_tokens").alias("n")).first()
-    vocabulary, total = first.v or 0, first.n or 0
-    even = np.full(CONTEXTS, total / CONTEXTS)
-    seen = [Totals(even, even / 2, (total // 2, max(1, vocabulary)), vocabulary)]
-    for _ in range(SWEEPS):
-        seen.append(_one(model, seen, vocabulary))
-    return seen
 
+#: By word: tokens, customers and tables as a context, customers and tables in the parent.
+_WORDS = "slot int, word long, n long, customers long, tables long, guests long, theirs long"
 
-def _one(model: DataFrame, seen: list[Totals], vocabulary: int) -> Totals:
-    shared = model.sparkSession.sparkContext.broadcast(list(seen))
+
+def _parts(model: DataFrame, seated: DataFrame | None, buckets: int) -> DataFrame:
+    """Each bucket's share of the table of words, one row for each word of the bucket's pairs. A pair
+    with one token has one table in every sweep, so with `seated`, the tables of repeated pairs, only
+    those are gone through."""
+    drawn = seated is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers, tables, parent = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), [0, 0]
         for batch in batches:
             for k in range(batch.num_rows):
                 row = pa.Table.from_batches([batch.slice(k, 1)])
-                _, sizes, contexts, counts = _read(row)
-                now, guests, theirs = sweep(row["bucket"][0].as_py(), sizes, contexts, counts, shared.value)[-1]
-                customers += np.bincount(contexts, counts, CONTEXTS).astype(np.int64)
-                tables += np.bincount(contexts, now, CONTEXTS).astype(np.int64)
-                parent[0] += int(guests.sum())
-                parent[1] += int(theirs.sum())
-        yield pa.RecordBatch.from_pydict({"context": np.append(np.arange(CONTEXTS), -1), "customers": np.append(customers, parent[0]), "tables": np.append(tables, parent[1])})
-
-    got = model.mapInArrow(run, "context long, customers long, tables long").groupBy("context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect()
-    c, t = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
-    for r in got:  # CONTEXTS + 1 rows
-        c[r.context], t[r.context] = r.c, r.t
-    return Totals(c[:-1], t[:-1], (int(c[-1]), int(t[-1])), vocabulary)
-
-
-class Predictor:
-    """log10 probabilities of a bucket's words, averaged over the kept sweeps; base scores too."""
-
-    def __init__(self, table: pa.Table | None, seen: list[Totals], total: int):
-        self.total, self.kept = total, seen[-KEPT:]
-        if table is None or not len(table):
-            self.words, self.code, self.count = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            self.pair, self.parent = [np.zeros(0)] * KEPT, [np.zeros(0)] * KEPT
-            return
-        self.words, sizes, contexts, counts = _read(table)
-        runs = sweep(table["bucket"][0].as_py(), sizes, contexts, counts, seen[:-1])[-KEPT:]
-        self.code = np.repeat(np.arange(len(sizes)), sizes) * CONTEXTS + contexts
-        self.count = np.add.reduceat(counts, np.cumsum(sizes) - sizes)
-        self.pair = [counts - DISCOUNT[0] * tables for tables, *_ in runs]
-        self.parent = [(g - DISCOUNT[1] * t) / (STRENGTH[1] + x.parent[0]) for (_, g, t), x in zip(runs, self.kept, strict=True)]
-
-    def __call__(self, words: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By pair: known, base score, score."""
-        at = np.searchsorted(self.words, words)
-        known = (at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == words if len(self.words) else False)
-        count = np.where(known, self.count[np.minimum(at, len(self.count) - 1)] if len(self.count) else 0, 0)
-        vocabulary = self.kept[-1].vocabulary
-        base = np.log10((count + 1) / (self.total + 1 * (vocabulary + 1)))
-        of = np.repeat(np.arange(len(words)), sizes)
-        code = at[of] * CONTEXTS + contexts
-        place = np.minimum(np.searchsorted(self.code, code), max(0, len(self.code) - 1))
-        hit = known[of] & (self.code[place] == code if len(self.code) else False)
-        p = np.zeros(len(of))
-        for k, x in enumerate(self.kept):
-            parent = np.full(len(words), x.floor())
-            parent[known] += self.parent[k][at[known]]
-            own = np.zeros(len(of))
-            own[hit] = self.pair[k][place[hit]]
-            p += (own + x.weight(contexts) * parent[of]) / (STRENGTH[0] + x.customers[contexts])
-        return known[of], base[of], np.log10(p / len(self.kept))
+                words, contexts, counts = _read(row)
+                tables = (counts == 1).astype(np.int64)
+                if drawn:
+                    some = np.flatnonzero(counts > 1)
+                    words, contexts, counts, tables = words[some], contexts[some], counts[some], _wide(row["tables"][0].as_py(), row["more_tables"][0].as_py())
+                found, at = np.unique(np.concatenate([words, contexts]), return_inverse=True)
+                own, before = at[: len(words)], at[len(words) :]
+                add = lambda i, x: np.bincount(i, x, len(found)).astype(np.int64)  # noqa: E731, B023
+                sums = {"tables": add(before, tables), "guests": add(own, tables)}
+                if not drawn:
+                    sums = {"n": add(own, counts), "customers": add(before, counts)} | sums
+                yield pa.RecordBatch.from_pydict({"slot": (found >> _shift(buckets)).astype(np.int32), "word": found.view(np.int64)} | sums)
+
+    rows = model.join(seated, "bucket") if drawn else model
+    return rows.mapInArrow(run, "slot int, word long, " + "n long, customers long, " * (not drawn) + "tables long, guests long")
+
+
+def _repeated(model: DataFrame) -> DataFrame:
+    """bucket, word for the words and contexts of each bucket's repeated pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                words, contexts, counts = _read(row)
+                found = np.unique(np.concatenate([words[counts > 1], contexts[counts > 1]])).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"bucket": np.full(len(found), row["bucket"][0].as_py(), np.int32), "word": found})
+
+    return model.mapInArrow(run, "bucket int, word long")
+
+
+def _sums(table: pa.Table, *columns: str) -> tuple[np.ndarray, ...]:
+    """Words in order, and sums of the columns by word."""
+    word = table["word"].to_numpy().view(U)
+    order = np.argsort(word, kind="stable")
+    w = word[order]
+    new = np.ones(len(w), bool)
+    new[1:] = w[1:] != w[:-1]
+    at = np.flatnonzero(new)
+    return w[at], *[np.add.reduceat(table[c].to_numpy()[order], at) if len(at) else np.zeros(0, np.int64) for c in columns]
+
+
+_FIXED = "slot int, word long, n long, customers long, tables long, guests long"
+
+
+def _fixed(parts: DataFrame) -> DataFrame:
+    """The table of words as far as no sweep changes it: tables and guests of pairs with one token."""
+
+    def add(table: pa.Table) -> pa.Table:
+        names = ("n", "customers", "tables", "guests")
+        word, *values = _sums(table, *names)
+        return pa.table({"slot": np.full(len(word), table["slot"][0].as_py(), np.int32), "word": word.view(np.int64)} | dict(zip(names, values, strict=True)))
+
+    return parts.groupBy("slot").applyInArrow(add, _FIXED)
+
+
+def _totals(fixed: DataFrame, parts: DataFrame, before: Totals, sweep: int) -> DataFrame:
+    """The table of words after a sweep: `fixed` and the parts of repeated pairs, and the parent's
+    seating of all that contexts send there."""
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        word, n, customers, tables, guests = _sums(left, "n", "customers", "tables", "guests")
+        some, more_tables, more_guests = _sums(right, "tables", "guests")
+        at = np.searchsorted(word, some)
+        tables[at] += more_tables
+        guests[at] += more_guests
+        slot, theirs = left["slot"][0].as_py(), np.zeros(len(word), np.int64)
+        at = np.flatnonzero(guests)
+        theirs[at] = seat(guests[at], np.full(len(at), before.base()), DISCOUNT[1], np.random.default_rng([6, slot, sweep]))
+        return pa.table({"slot": np.full(len(word), slot, np.int32), "word": word.view(np.int64), "n": n, "customers": customers, "tables": tables, "guests": guests, "theirs": theirs})
+
+    return fixed.groupBy("slot").cogroup(parts.groupBy("slot")).applyInArrow(add, _WORDS)
+
+
+def _sweep(model: DataFrame, needs: DataFrame, before: Totals, sweep: int) -> DataFrame:
+    """The tables of each bucket's repeated pairs, drawn from the probabilities that the sweep before
+    gives; draws are seeded by bucket and sweep, so a repeated task gives the same seating."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, contexts, counts = _read(left)
+        some = np.flatnonzero(counts > 1)
+        right = right.sort_by("word")
+        known = right["word"].to_numpy()
+        own, up = np.searchsorted(known, words[some].view(np.int64)), np.searchsorted(known, contexts[some].view(np.int64))
+        parent = before.parent(right["guests"].to_numpy(), right["theirs"].to_numpy())
+        bucket = left["bucket"][0].as_py()
+        tables = seat(counts[some], weight(right["tables"].to_numpy()[up]) * parent[own], DISCOUNT[0], np.random.default_rng([5, bucket, sweep]))
+        small, more = _small(tables)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "tables": pa.array([small], pa.binary()), "more_tables": pa.array([more], pa.binary())})
+
+    return model.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(run, "bucket int, tables binary, more_tables binary")
+
+
+def fit(scratch: Scratch, model: DataFrame, buckets: int) -> tuple[list[DataFrame], list[DataFrame], list[Totals]]:
+    """Of the kept sweeps: tables of repeated pairs, the table of words, and totals. Before the first
+    sweep half of a context's customers are taken to have tables, and the parent to know no word."""
+    fixed = scratch.save(_fixed(_parts(model, None, buckets)))
+    first = fixed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    seen = [Totals(first.n // 2, max(1, first.v), first.v, first.n)]
+    words = fixed.select("word", F.ceil(F.col("customers") / 2).alias("tables"), F.lit(0).cast("long").alias("guests"), F.lit(0).cast("long").alias("theirs"))
+    seated, kept = [], []
+    for k in range(SWEEPS):
+        needs = _repeated(model).join(words.select("word", "tables", "guests", "theirs"), "word")
+        seated.append(scratch.save(_sweep(model, needs, seen[-1], k)))
+        words = scratch.save(_totals(fixed, _parts(model, seated[-1], buckets), seen[-1], k + 1))
+        kept.append(words)
+        if len(kept) > KEPT:
+            scratch.drop(seated.pop(0), kept.pop(0))
+        found = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("guests", "theirs")]).first()
+        seen.append(Totals(found.guests, found.theirs, first.v, first.n))
+    scratch.drop(fixed)
+    return seated, kept, seen[-KEPT:]
 
 
 # ---- scoring -----------------------------------------------------------------------------------
 
-_SENT = "bucket int, chunk long, home binary, words binary, sizes binary, contexts binary, rows binary, hot binary"
-_BACK = "chunk long, home binary, bucket int, rows binary, sums binary, pairs binary"
+_TABLE = "bucket int, pairs boolean, keys binary, small binary, more binary"
+
 
+def look_up_table(model: DataFrame, seated: list[DataFrame], words: list[DataFrame]) -> DataFrame:
+    """Two rows per bucket: counts and tables by pair, and what is known of words, each by key."""
 
-def score(docs: DataFrame, model: DataFrame, seen: list[Totals], buckets: int) -> DataFrame:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                own, contexts, counts = _read(row)
+                tables = np.ones((KEPT, len(counts)), np.int64)
+                for j in range(KEPT):
+                    tables[j, counts > 1] = _wide(row[f"tables{j}"][0].as_py(), row[f"more_tables{j}"][0].as_py())
+                yield _table_row(row["bucket"][0].as_py(), True, pair_keys(own, contexts), np.stack([counts, *tables])).to_batches()[0]
+
+    def known(table: pa.Table) -> pa.Table:
+        names = ["n", "customers", *[f"{c}{j}" for j in range(KEPT) for c in ("tables", "guests", "theirs")]]
+        return _table_row(table["slot"][0].as_py(), False, table["word"].to_numpy().view(U), np.stack([table[c].to_numpy() for c in names]))
+
+    rows, by_word = model, None
+    for j in range(KEPT):
+        rows = rows.join(seated[j].select("bucket", F.col("tables").alias(f"tables{j}"), F.col("more_tables").alias(f"more_tables{j}")), "bucket")
+        one = words[j].select(*(["slot", "word", "n", "customers"] if j == 0 else ["word"]), *[F.col(c).alias(f"{c}{j}") for c in ("tables", "guests", "theirs")])
+        by_word = one if by_word is None else by_word.join(one, "word")
+    return rows.mapInArrow(pairs, _TABLE).unionByName(by_word.groupBy("slot").applyInArrow(known, _TABLE))
+
+
+def _table_row(bucket: int, pairs: bool, keys: np.ndarray, values: np.ndarray) -> pa.Table:
+    order = np.argsort(keys)
+    small, more = _small(values[:, order].reshape(-1))
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": [pairs], "keys": pa.array([keys[order].tobytes()], pa.binary()), "small": pa.array([small], pa.binary()), "more": pa.array([more], pa.binary())})
+
+
+_SENT = "bucket int, chunk long, home binary, pairs boolean, keys binary"
+_BACK = "chunk long, home binary, pairs boolean, bucket int, small binary, more binary"
+_WIDTH = {True: 1 + KEPT, False: 2 + 3 * KEPT}
+
+
+def score(docs: DataFrame, table: DataFrame, seen: list[Totals], buckets: int) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of docs.
 
-    A chunk sends each bucket its tokens, by word: context and row of each token; a word with HOT or
-    more tokens in the chunk goes as its distinct contexts only, and the chunk keeps the tokens. The
-    answer is a sum by row, and a value for each pair of a hot word; chunks add them up.
+    A chunk asks for its distinct pairs and for its distinct words (as words and as contexts) by key,
+    each once, and keeps its tokens as numbers of these words; the answers meet in the chunk again.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(seen)
-    total = int(seen[-1].customers.sum())
+    total, vocabulary = seen[-1].total, seen[-1].vocabulary
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for batch in pieces(batches, CHUNK):
             chunk = (task << 32) | number
             number += 1
-            word, context, first = tokens(*text_bytes(batch.column("text")))
-            row = row_of(first).astype(np.uint16)
-            order = np.lexsort((context, word))
-            w, c, r = word[order], context[order], row[order]
-            new = np.ones(len(w), bool)
-            new[1:] = w[1:] != w[:-1]
-            start = np.flatnonzero(new)
-            n = np.diff(np.append(start, len(w)))
-            of = np.repeat(np.arange(len(n)), n)
-            hot = n >= HOT
-            pair = new.copy()
-            pair[1:] |= c[1:] != c[:-1]
-            sent = ~hot[of] | pair
-            bucket = _bucket(w[start], buckets)
-            pair_of = np.cumsum(pair & hot[of]) - 1  # number of a hot pair within the chunk
-            keep = hot[of]
+            word, first = tokens(*text_bytes(batch.column("text")))
+            words, at = np.unique(np.append(word, START), return_inverse=True)
             ids = batch.column("doc_id")
-            home = {"doc_id": pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).tobytes(), "known": pa.compute.is_valid(ids).to_numpy(zero_copy_only=False).tobytes(), "n": np.diff(first).tobytes()}
-            by_row = np.argsort(r[keep], kind="stable")
-            home |= {"rows": np.bincount(r[keep], minlength=batch.num_rows).astype(np.uint32).tobytes(), "pairs": pair_of[keep][by_row].astype(np.uint32).tobytes(), "bucket": bucket[of[pair & keep]].astype(np.int32).tobytes()}
-            packed = pa.array([list(home.values())], pa.list_(pa.binary()))
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edge))
-            bound = np.append(start, len(w))
-            sizes = np.bincount(of[sent], minlength=len(n))
-            rows = []
-            for b in full.tolist():
-                i, j = edge[b], edge[b + 1]
-                x = slice(bound[i], bound[j])
-                s = sent[x]
-                rows.append((w[start[i:j]].tobytes(), sizes[i:j].astype(np.uint16).tobytes(), c[x][s].tobytes(), r[x][s & ~keep[x]].tobytes(), np.packbits(hot[i:j]).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            out = {"bucket": pa.array([chunk % buckets, *full.tolist()], pa.int32()), "chunk": pa.array([chunk] * (len(full) + 1), pa.int64()), "home": pa.array([_join(packed[0].as_py())] + [None] * len(full), pa.binary())}
-            for name, col in zip(("words", "sizes", "contexts", "rows", "hot"), cols, strict=True):
-                out[name] = pa.array([None, *col], pa.binary())
-            yield pa.RecordBatch.from_pydict(out)
+            home = [pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).tobytes(), pa.compute.is_valid(ids).to_numpy(zero_copy_only=False).tobytes(), first.tobytes(), words.tobytes(), at[:-1].astype(np.uint32).tobytes()]
+            out = {"bucket": [chunk % buckets], "pairs": [None], "keys": [None]}
+            for pairs, keys in ((True, np.unique(pair_keys(word, contexts_of(word, first)))), (False, words)):
+                edge = np.searchsorted(keys >> _shift(buckets), np.arange(buckets + 1).astype(U))
+                full = np.flatnonzero(np.diff(edge)).tolist()
+                out["bucket"] += full
+                out["pairs"] += [pairs] * len(full)
+                out["keys"] += [keys[edge[b] : edge[b + 1]].tobytes() for b in full]
+            n = len(out["bucket"])
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array([chunk] * n, pa.int64()), "home": pa.array([_join(home)] + [None] * (n - 1), pa.binary()), "pairs": pa.array(out["pairs"], pa.bool_()), "keys": pa.array(out["keys"], pa.binary())})
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        predict = Predictor(right, shared.value, total)
-        out: dict[str, list] = {n: [] for n in ("chunk", "home", "bucket", "rows", "sums", "pairs")}
-        for x in (left.slice(k, 1).to_pylist()[0] for k in range(len(left))):
-            got = dict.fromkeys(out)
-            got |= {"chunk": x["chunk"], "home": x["home"], "bucket": x["bucket"]}
-            if x["words"] is not None:
-                words, sizes, contexts = np.frombuffer(x["words"], U), np.frombuffer(x["sizes"], np.uint16).astype(np.int64), np.frombuffer(x["contexts"], np.uint16)
-                hot = np.repeat(np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=len(words)).astype(bool), sizes)
-                known, base, value = predict(words, sizes, contexts)
-                rows, of = np.unique(np.frombuffer(x["rows"], np.uint16), return_inverse=True)
-                cold = ~hot
-                count, *sums = [np.bincount(of, v[cold].astype(float), len(rows)) for v in (known, base, value)]
-                got |= {"rows": rows.tobytes() + count.astype(np.uint32).tobytes(), "sums": np.stack(sums).tobytes(), "pairs": np.stack([known[hot].astype(float), base[hot], value[hot]]).tobytes()}
-            for n in out:
-                out[n].append(got[n])
-        types = {"chunk": pa.int64(), "bucket": pa.int32()}
-        return pa.table({n: pa.array(v, types.get(n, pa.binary())) for n, v in out.items()})
-
-    def close(table: pa.Table) -> pa.Table:
-        ids, known, n, rows, pairs, bucket = _split(next(x for x in table["home"].to_pylist() if x is not None))
-        n = np.frombuffer(n, np.int64)
-        sums = np.zeros((3, len(n)))
-        bucket, value = np.frombuffer(bucket, np.int32), np.zeros((3, len(bucket) // 4))
-        for x in table.sort_by("bucket").to_pylist():
-            if x["sums"] is not None:
-                m = len(x["rows"]) // 6
-                at = np.frombuffer(x["rows"], np.uint16, m)
-                sums[0, at] += np.frombuffer(x["rows"][2 * m :], np.uint32)
-                sums[1:, at] += np.frombuffer(x["sums"]).reshape(2, -1)
-                here = np.flatnonzero(bucket == x["bucket"])
-                if len(here):
-                    if value.shape[1] != len(bucket):
-                        value = np.zeros((3, len(bucket)))
-                    value[:, here] = np.frombuffer(x["pairs"]).reshape(3, -1)
-        at, pair = np.repeat(np.arange(len(n)), np.frombuffer(rows, np.uint32)), np.frombuffer(pairs, np.uint32)
-        if len(pair):
-            sums += np.stack([np.bincount(at, v[pair], len(n)) for v in value])
-        return pa.table({"doc_id": pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(known, bool)), "n_tokens": n, "n_known": np.rint(sums[0]).astype(np.int64), "base_score": sums[1], "score": sums[2]})
+        known = {pairs: (np.zeros(0, U), np.zeros((width, 0), np.int64)) for pairs, width in _WIDTH.items()}
+        for x in right.to_pylist():
+            known[x["pairs"]] = np.frombuffer(x["keys"], U), _wide(x["small"], x["more"]).reshape(_WIDTH[x["pairs"]], -1)
+        small, more = [], []
+        for pairs, raw in zip(left["pairs"].to_pylist(), left["keys"].to_pylist(), strict=True):
+            if raw is None:
+                small.append(None)
+                more.append(None)
+                continue
+            asked, (keys, values) = np.frombuffer(raw, U), known[pairs]
+            got = np.zeros((len(values), len(asked)), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = keys[at] == asked
+                got[:, hit] = values[:, at[hit]]
+            a, b = _small(got.reshape(-1))
+            small.append(a)
+            more.append(b)
+        return pa.table({"chunk": left["chunk"], "home": left["home"], "pairs": left["pairs"], "bucket": left["bucket"], "small": pa.array(small, pa.binary()), "more": pa.array(more, pa.binary())})
+
+    def close(rows: pa.Table) -> pa.Table:
+        ids, valid, first, words, at = _split(next(x for x in rows["home"].to_pylist() if x is not None))
+        first, words, at = np.frombuffer(first, np.int64), np.frombuffer(words, U), np.frombuffer(at, np.uint32)
+        got: dict[bool, list[np.ndarray]] = {pairs: [np.zeros((width, 0), np.int64)] for pairs, width in _WIDTH.items()}
+        for x in rows.sort_by("bucket").to_pylist():  # buckets are leading bits, so in order of keys
+            if x["pairs"] is not None:
+                got[x["pairs"]].append(_wide(x["small"], x["more"]).reshape(_WIDTH[x["pairs"]], -1))
+        n, customers, *by_word = np.concatenate(got[False], axis=1)
+        word = words[at]
+        _, pair = np.unique(pair_keys(word, contexts_of(word, first)), return_inverse=True)
+        count, *tables = np.concatenate(got[True], axis=1)
+        before = np.roll(at, 1)
+        before[first[:-1]] = np.searchsorted(words, START)
+        p = np.zeros(len(at))
+        for k, x in enumerate(seen):
+            up, guests, theirs = by_word[3 * k : 3 * k + 3]
+            own = (count - DISCOUNT[0] * tables[k])[pair]
+            p += (own + weight(up)[before] * x.parent(guests, theirs)[at]) / (STRENGTH[0] + customers[before])
+        base = np.log10((n + 1) / (total + 1 * (vocabulary + 1)))
+        add = lambda x: np.add.reduceat(x, first[:-1])
+        return pa.table({"doc_id": pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(valid, bool)), "n_tokens": np.diff(first), "n_known": add((n > 0).astype(np.int64)[at]), "base_score": add(base[at]), "score": add(np.log10(p / len(seen)))})
 
     sent = docs.mapInArrow(send, _SENT)
-    back = sent.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(look_up, _BACK)
-    back = back.filter("chunk is not null")
+    back = sent.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, _BACK)
     return back.groupBy("chunk").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -367,8 +429,10 @@ def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int
     _, volume = text_volume(docs)
     buckets = 1 << max(4, int(max(1, volume // BUCKET)).bit_length())
     model = scratch.save(count_pairs(training, buckets))
-    seen = fit(model)
-    return score(bare(docs, "text"), model, seen, buckets), int(seen[-1].customers.sum())
+    seated, words, seen = fit(scratch, model, buckets)
+    table = scratch.save(look_up_table(model, seated, words))
+    scratch.drop(model, *seated, *words)
+    return score(bare(docs, "text"), table, seen, buckets), seen[-1].total
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,22 @@ def test_language_model_prefers_what_it_saw(spark):
     assert out[1] > out[2] + 3
 
 
+def test_language_model_keeps_contexts_apart(spark):
+    """Two words before that fall into one of 1023 hash classes still have restaurants of their own."""
+    from kinweave.llm.common import mix
+
+    names = [f"c{i}" for i in range(200)]
+    data = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in names])
+    kind = mix(lm.span_hashes(data, ends - [len(x) for x in names], ends) ^ np.uint64(99)) % np.uint64(1023)
+    seen = {}
+    a, b = next((seen[k], x) for k, x in zip(kind.tolist(), names, strict=True) if seen.setdefault(k, x) != x)
+    df = spark.createDataFrame([(i, f"{a} left" if i % 2 else f"{b} right") for i in range(200)], "doc_id long, text string")
+    probe = spark.createDataFrame([(1, f"{a} left"), (2, f"{a} right"), (3, f"{b} right"), (4, f"{b} left")], "doc_id long, text string")
+    out = {r.doc_id: r.score for r in lm.language_model(probe, df)[0].collect()}
+    assert out[1] > out[2] + 1 and out[3] > out[4] + 1
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     n = np.array([1, 2, 5, 40, 1000, 100_000])
