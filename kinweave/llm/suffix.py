@@ -33,12 +33,8 @@ CHUNK = 1 << 20
 SLICE = 16_000
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all anchors in order, and their fingerprints."""
-    n = len(data)
-    if n < MATCH:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    h = window_hashes(data, ANCHOR)
+def _owners(h: np.ndarray) -> np.ndarray:
+    """The place of the anchor of the MATCH bytes from each place on; h holds all ANCHOR-byte hashes."""
     best, place, have = h, np.arange(len(h), dtype=np.int32), 1
     while have < REACH + 1:  # the least of ever more neighbours, the left one of equals
         step = min(have, REACH + 1 - have)
@@ -46,10 +42,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         place = np.where(later, place[step:], place[: len(place) - step])
         best = np.where(later, best[step:], best[: len(best) - step])
         have += step
+    return place
+
+
+def _inside(offsets: np.ndarray) -> np.ndarray:
+    """Which MATCH bytes lie in one row."""
     row = row_of(offsets)
-    inside = row[: n - MATCH + 1] == row[MATCH - 1 :]
+    return row[: len(row) - MATCH + 1] == row[MATCH - 1 :]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all anchors in order, and their fingerprints."""
+    n = len(data)
+    if n < MATCH:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    h = window_hashes(data, ANCHOR)
     chosen = np.zeros(n, bool)
-    chosen[place[inside]] = True
+    chosen[_owners(h)[_inside(offsets)]] = True
     found = np.flatnonzero(chosen)
     return found, h[found]
 
@@ -219,8 +228,78 @@ def compare_surroundings(key: np.ndarray, around: np.ndarray, before: np.ndarray
     return mask
 
 
-def _covered(docs: DataFrame, buckets: int) -> DataFrame:
-    """By document with anchors: runs of bytes that go."""
+# ---- anchors with many surroundings ------------------------------------------------------------
+
+
+def _surroundings(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """AROUND bytes about each anchor, zeros outside its row, and how many before and from it are the row's."""
+    padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(MATCH, np.uint8)])
+    before = np.minimum(at - offsets[row], REACH)
+    after = np.minimum(offsets[row + 1] - at, MATCH)
+    around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[at]
+    edge = np.flatnonzero((before < REACH) | (after < MATCH))
+    span = np.arange(AROUND) - REACH
+    around[edge] *= (span >= -before[edge, None]) & (span < after[edge, None])
+    return around, before, after
+
+
+def hot_anchors(docs: DataFrame, hot: int, sample: int) -> np.ndarray:
+    """Anchors, in order, that have about `hot` or more different surroundings: counted on one text in
+    `sample`, those with half of it there or more. The choice changes where windows are compared, never
+    a result. At most some hundred thousand for 30 GB of text, as each has thousands of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, CHUNK):
+            data, offsets = text_bytes(batch.column("text"))
+            at, key = anchors(data, offsets)
+            row = np.searchsorted(offsets, at, "right") - 1
+            around, before, after = _surroundings(data, offsets, at, row)
+            own = row_hashes(around, 0, AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
+            both = np.unique(np.stack([key, own], axis=1), axis=0) if len(key) else np.zeros((0, 2), U)
+            yield pa.RecordBatch.from_pydict({"anchor": both[:, 0].view(np.int64) if len(both) else np.zeros(0, np.int64), "own": np.ascontiguousarray(both[:, 1]).view(np.int64)})
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(sample)) == 0).select("text")
+    each = some.mapInArrow(run, "anchor long, own long").distinct()
+    found = each.groupBy("anchor").count().filter(F.col("count") * 2 * sample >= hot).select("anchor").toArrow()
+    return np.sort(found["anchor"].to_numpy().view(U))
+
+
+def _is_in(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(keys), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
+
+
+def _hot_windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """One row for each window whose anchor is hot: a 128-bit digest of its bytes, doc_id, key and place."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, CHUNK):
+            data, offsets = text_bytes(batch.column("text"))
+            if len(data) < MATCH:
+                continue
+            h = window_hashes(data, ANCHOR)
+            at = np.flatnonzero(_inside(offsets))
+            at = at[_is_in(h, shared.value)[_owners(h)[at]]]
+            row = np.searchsorted(offsets, at, "right") - 1
+            raw, ids = data.tobytes(), _ids(batch)
+            digest = [hashlib.blake2b(raw[a : a + MATCH], digest_size=16).digest() for a in at.tolist()]
+            yield pa.RecordBatch.from_pydict({"window": pa.array(digest, pa.binary()), "doc_id": ids["doc_id"][row], "key": ids["key"][row], "place": (at - offsets[row]).astype(np.int32)})
+
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "window binary, doc_id long, key long, place int")
+
+
+def _hot_places(windows: DataFrame) -> DataFrame:
+    """By document: places of windows that a smaller document has too. The smallest doc_id is found
+    by an aggregation with partial sums in the map tasks, so no group holds a window's documents."""
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("window", "least")
+    return windows.join(least, "window").filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
+
+
+def _covered(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """By document with anchors: runs of bytes that go for the windows of anchors that aren't hot."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
     shift = U(64 - int(buckets).bit_length() + 1)
     wire = "bucket int, chunk long, home list, docs binary, edges binary, around binary".replace("home list", "home array<binary>")
 
@@ -237,13 +316,10 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
             local = np.concatenate(places).astype(np.int64)
             at = local + offsets[row]
             key = span_hashes(data, at, at + ANCHOR)
-            padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(MATCH, np.uint8)])
-            before = np.minimum(local, REACH)
-            after = np.minimum(np.diff(offsets)[row] - local, MATCH)
-            around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[at]
-            edge = np.flatnonzero((before < REACH) | (after < MATCH))
-            span = np.arange(AROUND) - REACH
-            around[edge] *= (span >= -before[edge, None]) & (span < after[edge, None])
+            cold = ~_is_in(key, shared.value)
+            row, local, at, key = row[cold], local[cold], at[cold], key[cold]
+            n = np.bincount(row, minlength=len(n))
+            around, before, after = _surroundings(data, offsets, at, row)
             doc = ids["doc_id"][row]
             own = row_hashes(around, 0, AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
             order = np.lexsort((doc, own, key))
@@ -305,14 +381,15 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
     return back.groupBy("chunk").applyInArrow(close, "doc_id long, key long, covered binary")
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = True, hot: int = SLICE, sample: int = 16) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `with_text`
     the kept bytes and the spans as (start, end).
 
     A text is its UTF-8 bytes; null counts as empty. Every byte goes that a 50-byte string covers
     which also starts in a document with a smaller doc_id; strings are judged on the input. Rows that
     repeat a doc_id never count as smaller than each other. Rows without doc_id come back as they are
-    and take no part. Extra columns are ignored; an empty table gives no rows.
+    and take no part. Extra columns are ignored; an empty table gives no rows. Windows of anchors with
+    about `hot` different surroundings (see hot_anchors) are compared row by row, all others in buckets.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = bare(docs, "text").withColumn("key", F.xxhash64("doc_id", "text"))
@@ -321,19 +398,26 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     every = scratch.save(_shared_anchors(some, buckets_for(2 * volume)))
     anchored = every.filter("anchors is not null").select("doc_id", "key", "anchors").dropDuplicates(["doc_id", "key"])
     left = some.join(anchored, ["doc_id", "key"])
-    found = scratch.save(_covered(left, 2 * buckets_for(2 * volume)).filter("covered is not null").dropDuplicates(["doc_id", "key"]))
+    many = hot_anchors(some, hot, sample)
+    found = scratch.save(_covered(left, 2 * buckets_for(2 * volume), many).filter("covered is not null").dropDuplicates(["doc_id", "key"]))
+    if len(many):
+        places = scratch.save(_hot_places(scratch.save(_hot_windows(some, many))))
+        found = found.join(places, ["doc_id", "key"], "full")
+    else:
+        found = found.withColumn("places", F.lit(None).cast("array<int>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, offsets = text_bytes(batch.column("text"))
             kept, spans = [], []
-            for r, x in enumerate(batch.column("covered").to_pylist()):
-                runs = np.frombuffer(x or b"", np.int32)
-                keep = np.zeros(offsets[r + 1] - offsets[r] + 1, np.int32)
-                keep[runs[::2]] = 1
-                keep[runs[1::2]] = -1
-                kept.append(data[offsets[r] : offsets[r + 1]][np.cumsum(keep[:-1]) == 0].tobytes())
-                spans.append(runs)
+            for r, (x, more) in enumerate(zip(batch.column("covered").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+                runs, places = np.frombuffer(x or b"", np.int32), np.array(more or [], np.int64)
+                step = np.zeros(offsets[r + 1] - offsets[r] + 1, np.int32)
+                np.add.at(step, np.concatenate([runs[::2], places]), 1)
+                np.add.at(step, np.concatenate([runs[1::2], places + MATCH]), -1)
+                gone = np.cumsum(step[:-1]) > 0
+                kept.append(data[offsets[r] : offsets[r + 1]][~gone].tobytes())
+                spans.append(_runs(gone))
             size = np.diff(offsets)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_removed": size - np.array([len(x) for x in kept], np.int64), "n_spans": np.array([len(x) // 2 for x in spans], np.int64), "new_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
@@ -341,7 +425,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
             )
 
     more = ", kept binary, spans array<struct<start:int,end:int>>" * with_text
-    hit = some.join(found, ["doc_id", "key"], "left" if with_text else "inner").select("doc_id", "key", "text", "covered")
+    hit = some.join(found, ["doc_id", "key"], "left" if with_text else "inner").select("doc_id", "key", "text", "covered", "places")
     done = hit.dropDuplicates(["doc_id", "key"]) if with_text else hit
     done = done.mapInArrow(cut, "doc_id long, key long, n_removed long, n_spans long, new_sha256 string" + more)
     done = done if with_text else done.dropDuplicates(["doc_id", "key"])

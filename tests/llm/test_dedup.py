@@ -12,6 +12,7 @@ from kinweave.llm.common import Scratch
 from kinweave.llm.exact import exact_dedup, keep_first
 from kinweave.llm.jaccard import jaccard_classes, keep_one
 from kinweave.llm.substring import plan_rounds, substring_dedup
+from kinweave.llm import suffix
 from kinweave.llm.suffix import suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,6 +114,20 @@ def test_suffix_random(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in out} == {i: w[:3] for i, w in want.items()}
 
 
+def test_suffix_hot_passage(spark):
+    """A passage in a third of the documents, other text around it: its edge anchors leave the buckets."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = some(150), some(90)
+    texts = [(i, some(90) + (passage if i % 3 == 0 else other if i % 5 == 0 else "") + some(rng.randrange(90))) for i in range(90)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert len(suffix.hot_anchors(df, 16, 1)) >= 2 and not len(suffix.hot_anchors(df, 1000, 1))
+    want = brute_bytes(texts)
+    for hot, sample in ((1, 1), (16, 1), (16, 4)):
+        out = suffix_dedup(df, hot=hot, sample=sample).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out} == want
+
+
 def shingle_set(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return set() if not w else {tuple(w)} if len(w) < 5 else set(zip(*[w[k:] for k in range(5)], strict=False))
