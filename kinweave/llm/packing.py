@@ -205,12 +205,21 @@ def plan_patterns(counts: np.ndarray, size: int) -> list[tuple[dict[int, int], i
 
 
 def _triple(have: np.ndarray, left: np.ndarray, gap: int) -> tuple[int, int, int] | None:
-    """Three lengths adding up to gap, from an index of pair sums."""
-    v = have[: gap + 1].astype(np.float32)
+    """Three lengths adding up to gap: pair sums are counted by convolution, less the pairs that the
+    stock doesn't allow beside the third length, so the longest candidate left has its pair."""
+    have = have[: gap + 1]
+    v = have.astype(np.float64)
     n = 1 << int(2 * gap + 1).bit_length()
-    sums = np.fft.irfft(np.fft.rfft(v, n) ** 2, n)[: gap + 1] > 0.5
+    sums = np.rint(np.fft.irfft(np.fft.rfft(v, n) ** 2, n)[: gap + 1]).astype(np.int64)
+    x = np.arange(gap // 2 + 1)
+    sums[2 * x] -= have[x] & (left[x] < 2)  # one piece twice
     c = np.arange(1, gap - 1)
-    for c in c[have[c] & sums[gap - c]][::-1][:64]:
+    c = c[have[c]]
+    rest = gap - 2 * c  # with c itself in the pair
+    pairs = sums[gap - c]
+    pairs -= np.where((left[c] == 1) & (rest > 0) & (rest != c) & have[np.maximum(rest, 0)], 2, 0)
+    pairs -= (left[c] == 2) & (rest == c)
+    for c in c[pairs > 0][::-1]:
         stock = left.copy()
         stock[c] -= 1
         if found := _pairs(stock > 0, stock > 1, int(gap - c)):

@@ -66,6 +66,16 @@ def test_patterns_use_every_piece(seed):
     assert (used == counts).all() and sequences <= 1.02 * math.ceil(lengths.sum() / 256) + 1
 
 
+def test_triple_is_found_behind_many_false_candidates():
+    """Single pieces x (no three in arithmetic progression) whose doubles fill gaps no one can fill."""
+    gap, left = 3500, np.zeros(4097, np.int64)
+    x = np.array([1 + sum(3**j for j in range(7) if k >> j & 1) for k in range(70)])
+    left[x] = left[gap - 2 * x] = 1
+    assert packing._triple(left > 0, left, gap) is None
+    left[1980], left[760] = 1, 2
+    assert packing._triple(left > 0, left, gap) == (1980, 760, 760)
+
+
 def test_transducer_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, machine, rng = Tokenizer.from_file(path), bpe.Transducer(path), random.Random(1)
