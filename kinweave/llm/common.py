@@ -1,12 +1,14 @@
 """Shared helpers: scratch tables in the cluster's shared folder, and vectorised text hashing.
 
-Word hashes are 64-bit polynomial fingerprints (a random 64-bit value per byte, an odd base, then
-a mixing step), computed for a whole Arrow batch at once. They are the same on every executor.
+A span's 64-bit hash takes eight bytes at a time through a non-linear mixing step (no polynomial, so
+strings of a regular build don't collide), for all spans of an Arrow batch at once; spans of over
+LONG bytes are hashed by BLAKE2b. Hashes are the same on every executor.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -18,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+_SEED = U(0x9E3779B97F4A7C15)
+#: The bytes of a little-endian letter that belong to a span with so many bytes left.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+#: Spans of more bytes are hashed by BLAKE2b, one by one.
+LONG = 256
 #: ASCII white space of the contracts: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_POWERS = np.ones(1, U), np.ones(1, U)
-
 
 ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -135,53 +137,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        one = np.full(size, _BASE, U)
-        one[0] = 1
-        inv = np.full(size, _BASE_INV, U)
-        inv[0] = 1
-        _POWERS = np.cumprod(one, dtype=U), np.cumprod(inv, dtype=U)
-    return _POWERS
+def letters(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on (and from the end on) as one number; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of data[starts[i]:ends[i]]."""
-    n = len(data) + 1
-    power, inverse = _powers(n)
-    prefix = np.zeros(n, U)
-    np.cumsum(_BYTE[data] * power[: n - 1], out=prefix[1:])
-    keep = n > (1 << 22)
-    out = mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U))
-    if keep:  # a very long text: give the tables back
-        global _POWERS
-        _POWERS = np.ones(1, U), np.ones(1, U)
+    """Hashes of data[starts[i]:ends[i]]."""
+    letter, size = letters(data), ends - starts
+    out = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + _SEED)
+    live, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - done
+        out[live] = mix(out[live] ^ (letter[starts[live] + done] & _FIRST[np.minimum(left, 8)]))
+        live, done = live[left > 8], done + 8
+    long = np.flatnonzero(size > LONG)
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprints of all k consecutive bytes, equal to span_hashes of the same spans, without
-    index arrays."""
-    n = len(data) + 1
-    power, inverse = _powers(n)
-    prefix = np.zeros(n, U)
-    np.cumsum(_BYTE[data] * power[: n - 1], out=prefix[1:])
-    out = prefix[k:] - prefix[: n - k]
-    out *= inverse[: n - k]
-    out += U(k)
-    return mix(out)
-
-
-def row_hashes(table: np.ndarray, first: int, end: int) -> np.ndarray:
-    """Fingerprints of columns first to end of each row of a byte matrix, column by column: memory is
-    one value per row."""
-    out = np.zeros(len(table), U)
-    for k in range(first, end):
-        out *= _BASE
-        out += _BYTE[table[:, k]]
-    return mix(out)
+def row_hashes(table: np.ndarray, first: int, end: int, seed: int = 0) -> np.ndarray:
+    """Hashes of columns first to end of each row of a byte matrix, eight columns at a time; another
+    seed gives independent ones."""
+    size = -(-(end - first) // 8) * 8
+    part = np.zeros((len(table), size), np.uint8)
+    part[:, : end - first] = table[:, first:end]
+    out = np.full(len(table), mix(np.array([seed], U) + _SEED)[0], U)
+    for column in part.view("<u8").T:
+        out = mix(out ^ column)
+    return out
 
 
 def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import U, Scratch, bare, mix, pieces, row_hashes, row_of, span_hashes, text_bytes, text_volume, window_hashes
+from kinweave.llm.common import U, Scratch, bare, mix, pieces, row_hashes, row_of, text_bytes, text_volume
+from kinweave.llm.common import letters as byte_letters
 from kinweave.llm.exchange import buckets_for, exchange
 
 #: Bytes of a match, bytes of an anchor, windows of a match around one anchor.
@@ -51,12 +52,24 @@ def _inside(offsets: np.ndarray) -> np.ndarray:
     return row[: len(row) - MATCH + 1] == row[MATCH - 1 :]
 
 
+def anchor_hashes(data: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Hashes of the ANCHOR bytes from each place, or from the places `at`, on. They place and filter
+    strings and never decide."""
+    w, n = byte_letters(data), len(data) - ANCHOR + 1
+    out = w[:n][at] * U(0x9E3779B97F4A7C15)
+    for k in (8, 16):
+        out ^= out >> U(29)
+        out += w[k : n + k][at]
+        out *= U(0xBF58476D1CE4E5B9)
+    return mix(out)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all anchors in order, and their fingerprints."""
     n = len(data)
     if n < MATCH:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    h = window_hashes(data, ANCHOR)
+    h = anchor_hashes(data)
     chosen = np.zeros(n, bool)
     chosen[_owners(h)[_inside(offsets)]] = True
     found = np.flatnonzero(chosen)
@@ -279,7 +292,7 @@ def _hot_windows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             data, offsets = text_bytes(batch.column("text"))
             if len(data) < MATCH:
                 continue
-            h = window_hashes(data, ANCHOR)
+            h = anchor_hashes(data)
             at = np.flatnonzero(_inside(offsets))
             at = at[_is_in(h, shared.value)[_owners(h)[at]]]
             row = np.searchsorted(offsets, at, "right") - 1
@@ -315,7 +328,7 @@ def _covered(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             local = np.concatenate(places).astype(np.int64)
             at = local + offsets[row]
-            key = span_hashes(data, at, at + ANCHOR)
+            key = anchor_hashes(data, at)
             cold = ~_is_in(key, shared.value)
             row, local, at, key = row[cold], local[cold], at[cold], key[cold]
             n = np.bincount(row, minlength=len(n))
