@@ -34,7 +34,7 @@ LEADERS = (1, 8, 8)
 #: Rows of a column in a block of the last round.
 BLOCK = 1000
 #: 64-bit words of a row's parities: bit k is the parity of the number of its n-grams of class k.
-PARITIES = 8
+PARITIES = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,16 +195,19 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den:
     rows = sets.select("doc_id", "key", *_PARITIES)
     links, label = None, None
     for turn, leaders in enumerate([*LEADERS, None]):
-        now = cells.withColumn("c", F.col("doc_id")) if label is None else cells.join(label, cells.doc_id == label.node, "left").select(*cells.columns, F.coalesce("component", "doc_id").alias("c"))
+        by_row = rows.withColumn("c", F.col("doc_id")) if label is None else rows.join(label, rows.doc_id == label.node, "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("c"))
+        now = cells.join(by_row, ["doc_id", "key"])
         # columns that hold two components or more
         held = now.groupBy("gram").agg(F.count(F.lit(1)).alias("held"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("gram", "held")
-        now = scratch.save(now.join(held, "gram").join(rows, ["doc_id", "key"]))
+        now = now.join(held, "gram").drop("key")
         if leaders:  # any pair that is met and linked may join components: counting waits for the last round
             draw = F.xxhash64("doc_id", F.lit(turn)) if leaders == 1 else F.xxhash64("doc_id", "gram", F.lit(turn))
             kind = F.pmod(F.xxhash64("doc_id", F.lit(turn + 100)), F.lit(leaders))
-            first = now.groupBy("gram", kind.alias("kind")).agg(F.min(F.struct(draw.alias("draw"), "doc_id")).alias("lead")).select("gram", F.col("lead.doc_id").alias("doc_id"))
-            pairs = _met(now, now.join(first, ["gram", "doc_id"], "left_semi"), ["gram"], F.lit(True), num, den).select("a", "b").distinct()
+            now = now.withColumn("kind", kind).withColumn("leads", F.row_number().over(Window.partitionBy("gram", "kind").orderBy(draw)) == 1)
+            now = scratch.save(now.drop("kind", "held"))
+            pairs = _met(now, now.filter("leads"), ["gram"], F.lit(True), num, den).select("a", "b").distinct()
         else:
+            now = scratch.save(now)
             blocks = F.ceil(F.col("held") / BLOCK)
             own, other = F.pmod(F.xxhash64("doc_id", F.lit(7)), blocks), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
             a = now.filter("short").withColumn("i", own.cast("int")).withColumn("j", other)
