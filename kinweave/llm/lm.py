@@ -1,18 +1,22 @@
 """Scoring by a hierarchical Pitman-Yor model.
 
 Restaurants: one for each context (the word before, or a text's start), all sharing one parent, whose
-base is uniform over the vocabulary. Words and contexts are known by their whole 64-bit fingerprints,
-so there are as many restaurants as the corpus has words. Seatings are drawn by blocked Gibbs sweeps
-over the distinct (context, word) pairs, which are dealt into buckets by a fingerprint of the pair, so
-neither a hot word nor a hot context fills one. What a sweep needs of a word - its customers and
-tables as a context, its customers and tables in the parent - is a Parquet table by word, summed and
-joined anew for each sweep. Predictive probabilities are averaged over the kept sweeps.
+base is uniform over the vocabulary. Words are known by their 64-bit hashes, contexts by 32 bits of
+the word before, so there are about as many restaurants as the corpus has words, and two words share
+one with a chance of 2^-32. Seatings are drawn by blocked Gibbs sweeps: all customers of a word in a
+restaurant get up and are seated anew, given everybody else's tables of the sweep before.
+
+The distinct (context, word) pairs are dealt into buckets by word; those of words that make up a share
+of 1 / HOT of the tokens or more (at most HOT, so a list of bounded size) are dealt by pair, so neither
+a hot word nor a hot context fills a bucket. What a sweep needs of a context, its number of tables, is
+summed in slots of contexts and sent back to the buckets that hold the context. Predictive
+probabilities are averaged over the kept sweeps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,136 +30,254 @@ from kinweave.llm.common import U, Scratch, bare, lower_ascii, mix, pieces, read
 END, START = U(0x5851F42D4C957F2D), U(0xD1B54A32D192ED03)
 DISCOUNT, STRENGTH = (0.8, 0.6), (1.0, 5.0)  # of contexts, of their parent
 SWEEPS, KEPT = 3, 2
-CHUNK, BUCKET = 4 << 20, 16 << 20
+#: Bytes of text in a chunk, and meant for a bucket; rows in a chunk; buckets for each slot of contexts.
+CHUNK, BUCKET, ROWS, PER_SLOT = 4 << 20, 16 << 20, 1 << 16, 8
+#: Words of a share of 1 / HOT of the tokens or more are dealt by pair.
+HOT = 2048
+#: Up to so many customers the number of tables is drawn from its exact distribution.
+EXACT = 32
+
+
+# ---- packed arrays -----------------------------------------------------------------------------
+
+_TYPES = ("|u1", "<u2", "<u4", "<i8", "<u8", "|b1")
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; counts (int64, not negative) in as few bytes as the largest needs."""
+    least = lambda a: next(t for t in _TYPES[:4] if not len(a) or a.max() <= np.iinfo(t).max)
+    arrays = tuple(a.astype(least(a)) if a.dtype == np.int64 else a for a in arrays)
+    head = np.array([len(arrays), *[x for a in arrays for x in (_TYPES.index(a.dtype.str), len(a))]], np.int64)
+    raw = head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(value: bytes) -> list[np.ndarray]:
+    """The arrays of a packed value; narrowed counts stay narrow but for those of one byte or two."""
+    raw = pa.decompress(value[8:], decompressed_size=int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2), 8 + 16 * n, []
+    for kind, size in head.tolist():
+        a = np.frombuffer(raw, _TYPES[kind], size, at)
+        at += a.nbytes
+        out.append(a)
+    return out
+
+
+def _wide(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64)
+
+
+# ---- tokens and pairs --------------------------------------------------------------------------
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words' fingerprints with an end after each row's, and n + 1 offsets."""
+    """Words' hashes with an end after each row's, and n + 1 offsets."""
     low = lower_ascii(data)
     starts, ends, first = word_spans(low, offsets)
     word = np.insert(span_hashes(low, starts, ends), first[1:], END)
     return word, first + np.arange(len(first))
 
 
+def context_codes(word: np.ndarray) -> np.ndarray:
+    """The restaurants of words as contexts."""
+    return (mix(word ^ U(99)) >> U(32)).astype(np.uint32)
+
+
 def contexts_of(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each, START at the start of a row."""
-    context = np.roll(word, 1)
-    context[first[:-1]] = START
-    return context
+    """The restaurant of each token: that of the word before, or of START at the start of a row."""
+    before = np.roll(word, 1)
+    before[first[:-1]] = START
+    return context_codes(before)
 
 
 def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(word + mix(context ^ U(99)))
+    return mix(word + mix(context.astype(U) + U(1)))
 
 
-def _shift(buckets: int) -> np.uint64:
-    return U(64 - int(buckets).bit_length() + 1)
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most CHUNK bytes of text, or one row, and of at most ROWS rows."""
+    for batch in pieces(batches, CHUNK):
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
 
 
-def _small(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts in one byte each, those of 255 or more in a second array."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
+def find(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in an array in order, and which of them are there."""
+    at = np.minimum(np.searchsorted(ordered, keys), max(len(ordered) - 1, 0))
+    return at, (ordered[at] == keys) if len(ordered) else np.zeros(len(keys), bool)
 
 
-def _wide(small: bytes, more: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(more, np.int64)
-    return out
+@dataclass
+class Deal:
+    """Where pairs go: buckets, slots of contexts, and the hot words in order."""
+
+    buckets: int
+    hot: np.ndarray
+
+    @property
+    def slots(self) -> int:
+        return max(1, self.buckets // PER_SLOT)
+
+    def bucket(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        key = np.where(find(self.hot, word)[1], pair_keys(word, context), mix(word ^ U(7)))
+        return (key >> U(64 - self.buckets.bit_length() + 1)).astype(np.int64)
+
+    def slot_edges(self, contexts: np.ndarray) -> np.ndarray:
+        """Where each slot begins in contexts in order, and the end."""
+        return np.searchsorted(contexts, np.arange(self.slots + 1) * ((1 << 32) // self.slots))
 
 
-def _distinct(keys: np.ndarray, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray, buckets: int):
-    """Distinct pairs in order of bucket and word: buckets, words, contexts, counts."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+def hot_words(docs: DataFrame) -> np.ndarray:
+    """Hashes, in order, of words with a share of 1 / HOT of the tokens or more, by counts over all
+    texts of the words that make up half as much of a chunk. The list decides where pairs are dealt,
+    never a count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            word, _ = tokens(*text_bytes(batch.column("text")))
+            found, n = np.unique(word, return_counts=True)
+            some = 2 * HOT * n >= len(word)
+            yield pa.RecordBatch.from_pydict({"word": pa.array([None, *found[some].view(np.int64).tolist()], pa.int64()), "n": np.append(len(word), n[some])})
+
+    seen = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = seen.filter("word is null").select(F.col("n").alias("total"))
+    found = seen.filter("word is not null").crossJoin(F.broadcast(total)).filter(F.col("n") * HOT >= F.col("total"))
+    return np.sort(np.array([r.word for r in found.select("word").collect()], np.int64).view(U))
+
+
+def _distinct(deal: Deal, word: np.ndarray, context: np.ndarray, counts: np.ndarray):
+    """Distinct pairs in order of bucket, word and context: buckets, words, contexts, counts."""
+    order = np.lexsort((context, word))
+    w, c = word[order], context[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
     at = np.flatnonzero(new)
     n = np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
-    w, c, b = words[order[at]], contexts[order[at]], (k[at] >> _shift(buckets)).astype(np.int64)
-    order = np.lexsort((w, b))
+    w, c = w[at], c[at]
+    b = deal.bucket(w, c)
+    order = np.argsort(b, kind="stable")
     return b[order], w[order], c[order], n[order]
 
 
-def _runs(words: np.ndarray) -> tuple[bytes, bytes]:
+def _runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words in order, each once, and how many pairs each has."""
-    new = np.ones(len(words), bool)
-    new[1:] = words[1:] != words[:-1]
-    at = np.flatnonzero(new)
-    return words[at].tobytes(), np.diff(np.append(at, len(words))).astype(np.uint32).tobytes()
-
+    at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+    return words[at], np.diff(np.append(at, len(words)))
 
-_PAIRS = "bucket int, words binary, sizes binary, contexts binary, small binary, more binary"
-_BLOBS = ("words", "sizes", "contexts", "small", "more")
 
-
-def count_pairs(docs: DataFrame, buckets: int) -> DataFrame:
-    """One row per bucket: its pairs and their counts. Map tasks count within a chunk first, so a
-    pair leaves a chunk once."""
+def count_pairs(docs: DataFrame, deal: Deal) -> DataFrame:
+    """One row per bucket: its words, their numbers of pairs, contexts and counts, in order of word and
+    context. Map tasks count within a chunk first, so a pair leaves a chunk once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, CHUNK):
+        for batch in chunks(batches):
             word, first = tokens(*text_bytes(batch.column("text")))
-            context = contexts_of(word, first)
-            bucket, words, contexts, counts = _distinct(pair_keys(word, context), word, context, np.ones(len(word), np.int64), buckets)
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edge))
-            cuts = [slice(edge[b], edge[b + 1]) for b in full]
-            columns = zip(*[(*_runs(words[x]), contexts[x].tobytes(), *_small(counts[x])) for x in cuts], strict=True)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32())} | {n: pa.array(c, pa.binary()) for n, c in zip(_BLOBS, columns, strict=True)})
+            bucket, words, contexts, counts = _distinct(deal, word, contexts_of(word, first), np.ones(len(word), np.int64))
+            full, at = np.unique(bucket, return_index=True)
+            cuts = [slice(a, b) for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True)]
+            yield pa.RecordBatch.from_pydict({"bucket": full.astype(np.int32), "pairs": pa.array([pack(*_runs(words[x]), contexts[x], counts[x]) for x in cuts], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        words, contexts, counts = _read(table)
-        _, words, contexts, counts = _distinct(pair_keys(words, contexts), words, contexts, counts, buckets)
-        blobs = (*_runs(words), contexts.tobytes(), *_small(counts))
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())} | {n: pa.array([x], pa.binary()) for n, x in zip(_BLOBS, blobs, strict=True)})
+        parts = [unpack(x) for x in table["pairs"].to_pylist()]
+        words = np.concatenate([np.repeat(w, s) for w, s, *_ in parts])
+        _, words, contexts, counts = _distinct(deal, words, np.concatenate([p[2] for p in parts]), np.concatenate([_wide(p[3]) for p in parts]))
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "pairs": pa.array([pack(*_runs(words), contexts, counts)], pa.binary())})
+
+    return docs.select("text").mapInArrow(send, "bucket int, pairs binary").groupBy("bucket").applyInArrow(merge, "bucket int, pairs binary")
 
-    return docs.select("text").mapInArrow(send, _PAIRS).groupBy("bucket").applyInArrow(merge, _PAIRS)
 
+@dataclass
+class Bucket:
+    """One bucket's pairs and their seating: tables of repeated pairs and the parent's tables of words."""
+
+    words: np.ndarray
+    sizes: np.ndarray
+    contexts: np.ndarray
+    counts: np.ndarray
+    drawn: np.ndarray  # a pair with one token has one table
+    theirs: np.ndarray
 
-def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, contexts and counts of the pairs of all rows, one after the other."""
-    get = lambda n, t: np.frombuffer(b"".join(table[n].to_pylist()), t)
-    counts = [_wide(a, b) for a, b in zip(table["small"].to_pylist(), table["more"].to_pylist(), strict=True)]
-    return np.repeat(get("words", U), get("sizes", np.uint32)), get("contexts", U), np.concatenate([*counts, np.zeros(0, np.int64)])
+    @staticmethod
+    def read(pairs: bytes, state: bytes | None) -> Bucket:
+        words, sizes, contexts, counts = unpack(pairs)
+        drawn, theirs = unpack(state) if state is not None else (np.ones((counts > 1).sum(), np.int64), np.ones(len(words), np.int64))
+        return Bucket(words, _wide(sizes), contexts, _wide(counts), _wide(drawn), _wide(theirs))
+
+    def owners(self) -> np.ndarray:
+        """The place in words of each pair's word."""
+        return np.repeat(np.arange(len(self.words)), self.sizes)
+
+    def tables(self) -> np.ndarray:
+        out = np.ones(len(self.counts), np.int64)
+        out[self.counts > 1] = self.drawn
+        return out
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owners(), values, len(self.words)).astype(np.int64)
 
 
 # ---- seating -----------------------------------------------------------------------------------
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that `customers` of one dish each open, seated one after the other: the k-th opens one
-    with probability weight / (weight + k - discount * tables). The first always does; from the 32nd
-    on, blocks of customers that grow with k are drawn at once from a binomial."""
-    tables = np.ones(len(customers), np.int64)
-    live = np.flatnonzero(customers > 1)
-    k = 1
+def _partitions(discount: float) -> np.ndarray:
+    """log of generalised Stirling numbers: ways to seat c customers at t tables, for c up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(2, EXACT + 1):
+        t = np.arange(1, c + 1)
+        with np.errstate(divide="ignore"):
+            out[c, 1 : c + 1] = np.logaddexp(out[c - 1, :c], out[c - 1, 1 : c + 1] + np.log(np.maximum(c - 1 - discount * t, 0)))
+    return out
+
+
+_WAYS = {d: _partitions(d) for d in DISCOUNT}
+
+
+def reseat(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes whose customers are all seated anew, where other dishes have `others` tables and
+    a new table gets the dish with probability `parent`.
+
+    Up to EXACT customers the number is drawn from its distribution given the others,
+    ways(c, t) * prod_{j < t} (strength + discount * (others + j)) * parent^t. Beyond, customers come in
+    one after the other, from the EXACT-th on in blocks that grow with those seated.
+    """
+    out = np.ones(len(customers), np.int64)
+    for c in range(2, EXACT + 1):
+        rows = np.flatnonzero(customers == c)
+        for at in np.array_split(rows, len(rows) // (1 << 16) + 1) if len(rows) else ():
+            t = np.arange(c)
+            open_ = np.log(strength + discount * (others[at, None] + t)) + np.log(parent[at, None])
+            out[at] = 1 + np.argmax(_WAYS[discount][c, 1 : c + 1] + np.cumsum(open_, axis=1) + rng.gumbel(size=open_.shape), axis=1)
+    live, k = np.flatnonzero(customers > EXACT), 1
     while len(live):
-        block = 1 if k < 32 else k // 8
-        size = np.minimum(customers[live] - k, block)
-        w = weight[live]
-        p = w / (w + k + (block - 1) / 2 - discount * tables[live])
-        tables[live] += (rng.random(len(live)) < p) if block == 1 else rng.binomial(size, p)
+        block = 1 if k < EXACT else k // 8
+        w = (strength + discount * (others[live] + out[live])) * parent[live]
+        p = w / (w + k + (block - 1) / 2 - discount * out[live])
+        out[live] += rng.binomial(np.minimum(customers[live] - k, block), p)
         k += block
         live = live[customers[live] > k]
-    return tables
+    return out
 
 
 @dataclass
 class Totals:
-    """Of a sweep: the parent's customers and tables; of the corpus: distinct words and tokens."""
+    """Of a sweep: the parent's customers and tables; of the corpus: distinct words and tokens; of hot
+    words: tokens, customers and tables in the parent."""
 
     guests: int
     theirs: int
     vocabulary: int
     total: int
+    hot: np.ndarray = field(default_factory=lambda: np.zeros((3, 0), np.int64))
 
-    def base(self) -> float:
-        """The weight of a new table of one word in the parent."""
-        return (STRENGTH[1] + DISCOUNT[1] * self.theirs) / (self.vocabulary + 1)
+    def uniform(self) -> float:
+        return 1 / (self.vocabulary + 1)
 
     def parent(self, guests: np.ndarray, theirs: np.ndarray) -> np.ndarray:
         """The parent's probabilities of words with so many customers and tables there."""
-        return (guests - DISCOUNT[1] * theirs + self.base()) / (STRENGTH[1] + self.guests)
+        new = (STRENGTH[1] + DISCOUNT[1] * self.theirs) * self.uniform()
+        return (guests - DISCOUNT[1] * theirs + new) / (STRENGTH[1] + self.guests)
 
 
 def weight(tables: np.ndarray) -> np.ndarray:
@@ -163,276 +285,259 @@ def weight(tables: np.ndarray) -> np.ndarray:
     return STRENGTH[0] + DISCOUNT[0] * tables
 
 
-#: By word: tokens, customers and tables as a context, customers and tables in the parent.
-_WORDS = "slot int, word long, n long, customers long, tables long, guests long, theirs long"
-
-
-def _parts(model: DataFrame, seated: DataFrame | None, buckets: int) -> DataFrame:
-    """Each bucket's share of the table of words, one row for each word of the bucket's pairs. A pair
-    with one token has one table in every sweep, so with `seated`, the tables of repeated pairs, only
-    those are gone through."""
-    drawn = seated is not None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(k, 1)])
-                words, contexts, counts = _read(row)
-                tables = (counts == 1).astype(np.int64)
-                if drawn:
-                    some = np.flatnonzero(counts > 1)
-                    words, contexts, counts, tables = words[some], contexts[some], counts[some], _wide(row["tables"][0].as_py(), row["more_tables"][0].as_py())
-                found, at = np.unique(np.concatenate([words, contexts]), return_inverse=True)
-                own, before = at[: len(words)], at[len(words) :]
-                add = lambda i, x: np.bincount(i, x, len(found)).astype(np.int64)  # noqa: E731, B023
-                sums = {"tables": add(before, tables), "guests": add(own, tables)}
-                if not drawn:
-                    sums = {"n": add(own, counts), "customers": add(before, counts)} | sums
-                yield pa.RecordBatch.from_pydict({"slot": (found >> _shift(buckets)).astype(np.int32), "word": found.view(np.int64)} | sums)
-
-    rows = model.join(seated, "bucket") if drawn else model
-    return rows.mapInArrow(run, "slot int, word long, " + "n long, customers long, " * (not drawn) + "tables long, guests long")
-
-
-def _repeated(model: DataFrame) -> DataFrame:
-    """bucket, word for the words and contexts of each bucket's repeated pairs."""
+def _context_tables(now: DataFrame, deal: Deal) -> DataFrame:
+    """bucket, slot, totals: for the contexts of a bucket's repeated pairs, in order, how many tables
+    each has in all buckets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(k, 1)])
-                words, contexts, counts = _read(row)
-                found = np.unique(np.concatenate([words[counts > 1], contexts[counts > 1]])).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"bucket": np.full(len(found), row["bucket"][0].as_py(), np.int32), "word": found})
-
-    return model.mapInArrow(run, "bucket int, word long")
-
-
-def _sums(table: pa.Table, *columns: str) -> tuple[np.ndarray, ...]:
-    """Words in order, and sums of the columns by word."""
-    word = table["word"].to_numpy().view(U)
-    order = np.argsort(word, kind="stable")
-    w = word[order]
-    new = np.ones(len(w), bool)
-    new[1:] = w[1:] != w[:-1]
-    at = np.flatnonzero(new)
-    return w[at], *[np.add.reduceat(table[c].to_numpy()[order], at) if len(at) else np.zeros(0, np.int64) for c in columns]
-
-
-_FIXED = "slot int, word long, n long, customers long, tables long, guests long"
-
-
-def _fixed(parts: DataFrame) -> DataFrame:
-    """The table of words as far as no sweep changes it: tables and guests of pairs with one token."""
+            for row in batch.to_pylist():
+                b = Bucket.read(row["pairs"], row["state"])
+                found, at = np.unique(b.contexts, return_inverse=True)
+                sums = np.bincount(at, b.tables(), len(found)).astype(np.int64)
+                wanted = np.zeros(len(found), bool)
+                wanted[at[b.counts > 1]] = True
+                edge = deal.slot_edges(found)
+                full = np.flatnonzero(np.diff(edge))
+                blobs = [pack(found[x], sums[x], wanted[x]) for x in (slice(edge[s], edge[s + 1]) for s in full)]
+                yield pa.RecordBatch.from_pydict({"slot": full.astype(np.int32), "bucket": np.full(len(full), row["bucket"], np.int32), "sums": pa.array(blobs, pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        names = ("n", "customers", "tables", "guests")
-        word, *values = _sums(table, *names)
-        return pa.table({"slot": np.full(len(word), table["slot"][0].as_py(), np.int32), "word": word.view(np.int64)} | dict(zip(names, values, strict=True)))
+        parts = [unpack(x) for x in table["sums"].to_pylist()]
+        found, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([_wide(p[1]) for p in parts]), len(found)).astype(np.int64)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        blobs = [pack(total[at[e - len(p[0]) : e]][p[2]]) for p, e in zip(parts, ends, strict=True)]
+        return pa.table({"bucket": table["bucket"], "slot": table["slot"], "totals": pa.array(blobs, pa.binary())})
 
-    return parts.groupBy("slot").applyInArrow(add, _FIXED)
+    return now.mapInArrow(send, "slot int, bucket int, sums binary").groupBy("slot").applyInArrow(add, "bucket int, slot int, totals binary")
 
 
-def _totals(fixed: DataFrame, parts: DataFrame, before: Totals, sweep: int) -> DataFrame:
-    """The table of words after a sweep: `fixed` and the parts of repeated pairs, and the parent's
-    seating of all that contexts send there."""
+def _sweep(now: DataFrame, totals: DataFrame, before: Totals, deal: Deal, sweep: int) -> DataFrame:
+    """bucket, state, guests, theirs (sums over words that aren't hot). Draws are seeded by bucket and
+    sweep, so a repeated task gives the same seating."""
 
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        word, n, customers, tables, guests = _sums(left, "n", "customers", "tables", "guests")
-        some, more_tables, more_guests = _sums(right, "tables", "guests")
-        at = np.searchsorted(word, some)
-        tables[at] += more_tables
-        guests[at] += more_guests
-        slot, theirs = left["slot"][0].as_py(), np.zeros(len(word), np.int64)
-        at = np.flatnonzero(guests)
-        theirs[at] = seat(guests[at], np.full(len(at), before.base()), DISCOUNT[1], np.random.default_rng([6, slot, sweep]))
-        return pa.table({"slot": np.full(len(word), slot, np.int32), "word": word.view(np.int64), "n": n, "customers": customers, "tables": tables, "guests": guests, "theirs": theirs})
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        b, rng = Bucket.read(row["pairs"], row["state"]), np.random.default_rng([5, row["bucket"], sweep])
+        some = np.flatnonzero(b.counts > 1)
+        is_hot = find(deal.hot, b.words)
+        guests, theirs = b.by_word(b.tables()), b.theirs.copy()
+        guests[is_hot[1]], theirs[is_hot[1]] = before.hot[1:, is_hot[0][is_hot[1]]]
+        own = b.owners()[some]
+        # the word's other customers in the parent, and the restaurant's other tables
+        rest = np.maximum(guests[own] - b.drawn, 0)
+        parent = before.parent(rest, np.minimum(theirs[own], rest))
+        known = np.concatenate([np.zeros(0, np.int64), *[_wide(unpack(x)[0]) for x in right.sort_by("slot")["totals"].to_pylist()]])
+        _, at = np.unique(b.contexts[some], return_inverse=True)
+        b.drawn = reseat(b.counts[some], known[at] - b.drawn, parent, STRENGTH[0], DISCOUNT[0], rng)
+        guests, cold = b.by_word(b.tables()), ~is_hot[1]
+        b.theirs = np.zeros(len(b.words), np.int64)
+        b.theirs[cold] = reseat(guests[cold], before.theirs - theirs[cold], np.full(cold.sum(), before.uniform()), STRENGTH[1], DISCOUNT[1], rng)
+        return pa.table({"bucket": pa.array([row["bucket"]], pa.int32()), "state": pa.array([pack(b.drawn, b.theirs)], pa.binary()), "guests": [int(guests[cold].sum())], "theirs": [int(b.theirs.sum())]})
+
+    return now.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, "bucket int, state binary, guests long, theirs long")
+
+
+def _hot_sums(now: DataFrame, deal: Deal) -> np.ndarray:
+    """Tokens and tables of each hot word, summed over buckets: at most HOT rows reach the driver."""
 
-    return fixed.groupBy("slot").cogroup(parts.groupBy("slot")).applyInArrow(add, _WORDS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Bucket.read(row["pairs"], row["state"])
+                at, ok = find(deal.hot, b.words)
+                yield pa.RecordBatch.from_pydict({"at": at[ok].astype(np.int32), "n": b.by_word(b.counts)[ok], "guests": b.by_word(b.tables())[ok]})
+
+    out = np.zeros((2, len(deal.hot)), np.int64)
+    if len(deal.hot):
+        for r in now.mapInArrow(run, "at int, n long, guests long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests")).collect():
+            out[:, r["at"]] = r.n, r.guests
+    return out
 
 
-def _sweep(model: DataFrame, needs: DataFrame, before: Totals, sweep: int) -> DataFrame:
-    """The tables of each bucket's repeated pairs, drawn from the probabilities that the sweep before
-    gives; draws are seeded by bucket and sweep, so a repeated task gives the same seating."""
+def _sizes(model: DataFrame, deal: Deal) -> tuple[int, int]:
+    """Tokens of all words, and distinct words that aren't hot."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, contexts, counts = _read(left)
-        some = np.flatnonzero(counts > 1)
-        right = right.sort_by("word")
-        known = right["word"].to_numpy()
-        own, up = np.searchsorted(known, words[some].view(np.int64)), np.searchsorted(known, contexts[some].view(np.int64))
-        parent = before.parent(right["guests"].to_numpy(), right["theirs"].to_numpy())
-        bucket = left["bucket"][0].as_py()
-        tables = seat(counts[some], weight(right["tables"].to_numpy()[up]) * parent[own], DISCOUNT[0], np.random.default_rng([5, bucket, sweep]))
-        small, more = _small(tables)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "tables": pa.array([small], pa.binary()), "more_tables": pa.array([more], pa.binary())})
-
-    return model.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(run, "bucket int, tables binary, more_tables binary")
-
-
-def fit(scratch: Scratch, model: DataFrame, buckets: int) -> tuple[list[DataFrame], list[DataFrame], list[Totals]]:
-    """Of the kept sweeps: tables of repeated pairs, the table of words, and totals. Before the first
-    sweep half of a context's customers are taken to have tables, and the parent to know no word."""
-    fixed = scratch.save(_fixed(_parts(model, None, buckets)))
-    first = fixed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    seen = [Totals(first.n // 2, max(1, first.v), first.v, first.n)]
-    words = fixed.select("word", F.ceil(F.col("customers") / 2).alias("tables"), F.lit(0).cast("long").alias("guests"), F.lit(0).cast("long").alias("theirs"))
-    seated, kept = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("pairs").to_pylist():
+                words, _, _, counts = unpack(raw)
+                yield pa.RecordBatch.from_pydict({"n": [int(_wide(counts).sum())], "v": [int((~find(deal.hot, words)[1]).sum())]})
+
+    r = model.select("pairs").mapInArrow(run, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return r.n or 0, r.v or 0
+
+
+def fit(scratch: Scratch, model: DataFrame, deal: Deal) -> tuple[list[DataFrame], list[Totals]]:
+    """States (bucket, state) and totals of the kept sweeps. At first every pair has one table, and
+    every word one in the parent."""
+    now = model.withColumn("state", F.lit(None).cast("binary"))
+    (n, cold), (tokens_, guests) = _sizes(model, deal), _hot_sums(now, deal)
+    vocabulary = cold + len(deal.hot)
+    seen = [Totals(max(1, n // 2), max(1, vocabulary), vocabulary, n, np.stack([tokens_, guests, np.ones(len(deal.hot), np.int64)]))]
+    kept: list[DataFrame] = []
     for k in range(SWEEPS):
-        needs = _repeated(model).join(words.select("word", "tables", "guests", "theirs"), "word")
-        seated.append(scratch.save(_sweep(model, needs, seen[-1], k)))
-        words = scratch.save(_totals(fixed, _parts(model, seated[-1], buckets), seen[-1], k + 1))
-        kept.append(words)
+        state = scratch.save(_sweep(now, _context_tables(now, deal), seen[-1], deal, k))
+        kept.append(state)
         if len(kept) > KEPT:
-            scratch.drop(seated.pop(0), kept.pop(0))
-        found = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("guests", "theirs")]).first()
-        seen.append(Totals(found.guests, found.theirs, first.v, first.n))
-    scratch.drop(fixed)
-    return seated, kept, seen[-KEPT:]
+            scratch.drop(kept.pop(0))
+        now = model.join(state.select("bucket", "state"), "bucket")
+        sums = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("guests", "theirs")]).first()
+        guests = _hot_sums(now, deal)[1]
+        uniform = np.full(len(guests), seen[-1].uniform())
+        theirs = reseat(guests, seen[-1].theirs - seen[-1].hot[2], uniform, STRENGTH[1], DISCOUNT[1], np.random.default_rng([6, k]))
+        seen.append(Totals(sums.guests + int(guests.sum()), sums.theirs + int(theirs.sum()), vocabulary, n, np.stack([tokens_, guests, theirs])))
+    return kept, seen[-KEPT:]
 
 
 # ---- scoring -----------------------------------------------------------------------------------
 
-_TABLE = "bucket int, pairs boolean, keys binary, small binary, more binary"
 
+def context_table(rows: DataFrame, deal: Deal) -> DataFrame:
+    """One row per slot: contexts in order, customers, and tables in each kept sweep. `rows` has pairs
+    and state0, state1, ... by bucket."""
 
-def look_up_table(model: DataFrame, seated: list[DataFrame], words: list[DataFrame]) -> DataFrame:
-    """Two rows per bucket: counts and tables by pair, and what is known of words, each by key."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = pa.Table.from_batches([batch.slice(k, 1)])
-                own, contexts, counts = _read(row)
-                tables = np.ones((KEPT, len(counts)), np.int64)
-                for j in range(KEPT):
-                    tables[j, counts > 1] = _wide(row[f"tables{j}"][0].as_py(), row[f"more_tables{j}"][0].as_py())
-                yield _table_row(row["bucket"][0].as_py(), True, pair_keys(own, contexts), np.stack([counts, *tables])).to_batches()[0]
-
-    def known(table: pa.Table) -> pa.Table:
-        names = ["n", "customers", *[f"{c}{j}" for j in range(KEPT) for c in ("tables", "guests", "theirs")]]
-        return _table_row(table["slot"][0].as_py(), False, table["word"].to_numpy().view(U), np.stack([table[c].to_numpy() for c in names]))
-
-    rows, by_word = model, None
-    for j in range(KEPT):
-        rows = rows.join(seated[j].select("bucket", F.col("tables").alias(f"tables{j}"), F.col("more_tables").alias(f"more_tables{j}")), "bucket")
-        one = words[j].select(*(["slot", "word", "n", "customers"] if j == 0 else ["word"]), *[F.col(c).alias(f"{c}{j}") for c in ("tables", "guests", "theirs")])
-        by_word = one if by_word is None else by_word.join(one, "word")
-    return rows.mapInArrow(pairs, _TABLE).unionByName(by_word.groupBy("slot").applyInArrow(known, _TABLE))
-
-
-def _table_row(bucket: int, pairs: bool, keys: np.ndarray, values: np.ndarray) -> pa.Table:
-    order = np.argsort(keys)
-    small, more = _small(values[:, order].reshape(-1))
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "pairs": [pairs], "keys": pa.array([keys[order].tobytes()], pa.binary()), "small": pa.array([small], pa.binary()), "more": pa.array([more], pa.binary())})
+            for row in batch.to_pylist():
+                seatings = [Bucket.read(row["pairs"], row[f"state{k}"]) for k in range(KEPT)]
+                b = seatings[0]
+                found, at = np.unique(b.contexts, return_inverse=True)
+                sums = [np.bincount(at, v, len(found)).astype(np.int64) for v in (b.counts, *[s.tables() for s in seatings])]
+                edge = deal.slot_edges(found)
+                full = np.flatnonzero(np.diff(edge))
+                blobs = [pack(found[x], *[v[x] for v in sums]) for x in (slice(edge[s], edge[s + 1]) for s in full)]
+                yield pa.RecordBatch.from_pydict({"slot": full.astype(np.int32), "sums": pa.array(blobs, pa.binary())})
 
+    def add(table: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in table["sums"].to_pylist()]
+        found, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([_wide(p[k]) for p in parts]), len(found)).astype(np.int64) for k in range(1, 2 + KEPT)]
+        return pa.table({"slot": table["slot"][:1], "sums": pa.array([pack(found, *sums)], pa.binary())})
 
-_SENT = "bucket int, chunk long, home binary, pairs boolean, keys binary"
-_BACK = "chunk long, home binary, pairs boolean, bucket int, small binary, more binary"
-_WIDTH = {True: 1 + KEPT, False: 2 + 3 * KEPT}
+    return rows.mapInArrow(send, "slot int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary")
 
 
-def score(docs: DataFrame, table: DataFrame, seen: list[Totals], buckets: int) -> DataFrame:
+def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Totals], deal: Deal) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score for every row of docs.
 
-    A chunk asks for its distinct pairs and for its distinct words (as words and as contexts) by key,
-    each once, and keeps its tokens as numbers of these words; the answers meet in the chunk again.
+    A chunk asks each bucket for its distinct pairs and their words, and each slot for its distinct
+    contexts, once each, and keeps its tokens as numbers of its words; the answers meet in the chunk.
     """
     total, vocabulary = seen[-1].total, seen[-1].vocabulary
+    places = deal.buckets + deal.slots
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, CHUNK):
+        for batch in chunks(batches):
             chunk = (task << 32) | number
             number += 1
             word, first = tokens(*text_bytes(batch.column("text")))
-            words, at = np.unique(np.append(word, START), return_inverse=True)
+            words, at = np.unique(word, return_inverse=True)
+            context = contexts_of(word, first)
+            bucket, w, c, _ = _distinct(deal, word, context, np.ones(len(word), np.int64))
+            full, start = np.unique(bucket, return_index=True)
+            asked = [pack(*_runs(w[a:b]), c[a:b]) for a, b in zip(start, np.append(start[1:], len(w)), strict=True)]
+            found = np.unique(context)
+            edge = deal.slot_edges(found)
+            slots = np.flatnonzero(np.diff(edge))
+            asked += [pack(found[edge[s] : edge[s + 1]]) for s in slots]
             ids = batch.column("doc_id")
-            home = [pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).tobytes(), pa.compute.is_valid(ids).to_numpy(zero_copy_only=False).tobytes(), first.tobytes(), words.tobytes(), at[:-1].astype(np.uint32).tobytes()]
-            out = {"bucket": [chunk % buckets], "pairs": [None], "keys": [None]}
-            for pairs, keys in ((True, np.unique(pair_keys(word, contexts_of(word, first)))), (False, words)):
-                edge = np.searchsorted(keys >> _shift(buckets), np.arange(buckets + 1).astype(U))
-                full = np.flatnonzero(np.diff(edge)).tolist()
-                out["bucket"] += full
-                out["pairs"] += [pairs] * len(full)
-                out["keys"] += [keys[edge[b] : edge[b + 1]].tobytes() for b in full]
-            n = len(out["bucket"])
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array([chunk] * n, pa.int64()), "home": pa.array([_join(home)] + [None] * (n - 1), pa.binary()), "pairs": pa.array(out["pairs"], pa.bool_()), "keys": pa.array(out["keys"], pa.binary())})
+            home = pack(pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(U), pa.compute.is_valid(ids).to_numpy(zero_copy_only=False), first, words, at)
+            where = [chunk % places, *full.tolist(), *(deal.buckets + slots).tolist()]
+            yield pa.RecordBatch.from_pydict({"place": pa.array(where, pa.int32()), "chunk": pa.array([chunk] * len(where), pa.int64()), "home": [True] + [False] * len(asked), "asked": pa.array([home, *asked], pa.binary())})
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = {pairs: (np.zeros(0, U), np.zeros((width, 0), np.int64)) for pairs, width in _WIDTH.items()}
-        for x in right.to_pylist():
-            known[x["pairs"]] = np.frombuffer(x["keys"], U), _wide(x["small"], x["more"]).reshape(_WIDTH[x["pairs"]], -1)
-        small, more = [], []
-        for pairs, raw in zip(left["pairs"].to_pylist(), left["keys"].to_pylist(), strict=True):
-            if raw is None:
-                small.append(None)
-                more.append(None)
-                continue
-            asked, (keys, values) = np.frombuffer(raw, U), known[pairs]
-            got = np.zeros((len(values), len(asked)), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                hit = keys[at] == asked
-                got[:, hit] = values[:, at[hit]]
-            a, b = _small(got.reshape(-1))
-            small.append(a)
-            more.append(b)
-        return pa.table({"chunk": left["chunk"], "home": left["home"], "pairs": left["pairs"], "bucket": left["bucket"], "small": pa.array(small, pa.binary()), "more": pa.array(more, pa.binary())})
-
-    def close(rows: pa.Table) -> pa.Table:
-        ids, valid, first, words, at = _split(next(x for x in rows["home"].to_pylist() if x is not None))
-        first, words, at = np.frombuffer(first, np.int64), np.frombuffer(words, U), np.frombuffer(at, np.uint32)
-        got: dict[bool, list[np.ndarray]] = {pairs: [np.zeros((width, 0), np.int64)] for pairs, width in _WIDTH.items()}
-        for x in rows.sort_by("bucket").to_pylist():  # buckets are leading bits, so in order of keys
-            if x["pairs"] is not None:
-                got[x["pairs"]].append(_wide(x["small"], x["more"]).reshape(_WIDTH[x["pairs"]], -1))
-        n, customers, *by_word = np.concatenate(got[False], axis=1)
-        word = words[at]
-        _, pair = np.unique(pair_keys(word, contexts_of(word, first)), return_inverse=True)
-        count, *tables = np.concatenate(got[True], axis=1)
-        before = np.roll(at, 1)
-        before[first[:-1]] = np.searchsorted(words, START)
-        p = np.zeros(len(at))
+        row = right.to_pylist()[0] if len(right) else {"pairs": None, "sums": None}
+        if row["pairs"] is not None:
+            seatings = [Bucket.read(row["pairs"], row[f"state{k}"]) for k in range(KEPT)]
+            b = seatings[0]
+            keys = pair_keys(np.repeat(b.words, b.sizes), b.contexts)
+            order = np.argsort(keys)
+            keys, by_pair = keys[order], np.stack([b.counts, *[s.tables() for s in seatings]])[:, order]
+            by_word = np.stack([b.by_word(b.counts), *[x for s in seatings for x in (s.by_word(s.tables()), s.theirs)]])
+        elif row["sums"] is not None:
+            known, *sums = unpack(row["sums"])
+            by_context = np.stack([_wide(x) for x in sums])
+
+        def values(table: np.ndarray, ordered: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+            at, ok = find(ordered, keys)
+            return list(np.where(ok, table[:, at], 0))
+
+        out = []
+        for home, raw in zip(left["home"].to_pylist(), left["asked"].to_pylist(), strict=True):
+            if home or row["pairs"] is None and row["sums"] is None:
+                out.append(raw if home else None)
+            elif row["sums"] is not None:
+                out.append(pack(*values(by_context, known, unpack(raw)[0])))
+            else:
+                w, sizes, c = unpack(raw)
+                out.append(pack(*values(by_pair, keys, pair_keys(np.repeat(w, sizes), c)), *values(by_word, b.words, w)))
+        return pa.table({"chunk": left["chunk"], "place": left["place"], "home": left["home"], "answer": pa.array(out, pa.binary())})
+
+    def close(table: pa.Table) -> pa.Table:
+        got = table.filter(pa.compute.invert(table["home"]))
+        answers = dict(zip(got["place"].to_pylist(), got["answer"].to_pylist(), strict=True))
+        ids, valid, first, words, at = unpack(table.filter(table["home"])["answer"][0].as_py())
+        first, word = _wide(first), words[at]
+        context = contexts_of(word, first)
+        bucket, w, c, _ = _distinct(deal, word, context, np.ones(len(word), np.int64))
+        full, start = np.unique(bucket, return_index=True)
+        by_pair, by_word = np.zeros((1 + KEPT, len(w)), np.int64), np.zeros((1 + 2 * KEPT, len(words)), np.int64)
+        for p, a, b in zip(full.tolist(), start, np.append(start[1:], len(w)), strict=True):
+            if answers[p] is not None:
+                values = [_wide(x) for x in unpack(answers[p])]
+                by_pair[:, a:b] = np.stack(values[: 1 + KEPT])
+                by_word[:, np.searchsorted(words, _runs(w[a:b])[0])] = np.stack(values[1 + KEPT :])
+        where, is_hot = find(deal.hot, words)
         for k, x in enumerate(seen):
-            up, guests, theirs = by_word[3 * k : 3 * k + 3]
-            own = (count - DISCOUNT[0] * tables[k])[pair]
-            p += (own + weight(up)[before] * x.parent(guests, theirs)[at]) / (STRENGTH[0] + customers[before])
+            n, guests, theirs = x.hot[:, where[is_hot]] if len(deal.hot) else np.zeros((3, 0), np.int64)
+            by_word[0, is_hot], by_word[1 + 2 * k, is_hot], by_word[2 + 2 * k, is_hot] = n, guests, theirs
+        found = np.unique(context)
+        edge, by_context = deal.slot_edges(found), np.zeros((1 + KEPT, len(found)), np.int64)
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            if answers[deal.buckets + s] is not None:
+                by_context[:, edge[s] : edge[s + 1]] = np.stack([_wide(x) for x in unpack(answers[deal.buckets + s])])
+        # each token's place among the pairs, the words and the contexts
+        order = np.argsort(keys := pair_keys(w, c))
+        pair, up = order[np.searchsorted(keys[order], pair_keys(word, context))], np.searchsorted(found, context)
+        customers, p = by_context[0], np.zeros(len(word))
+        for k, x in enumerate(seen):
+            own = by_pair[0] - DISCOUNT[0] * by_pair[1 + k]
+            p += (own[pair] + weight(by_context[1 + k])[up] * x.parent(by_word[1 + 2 * k], by_word[2 + 2 * k])[at]) / (STRENGTH[0] + customers[up])
+        n = by_word[0]
         base = np.log10((n + 1) / (total + 1 * (vocabulary + 1)))
         add = lambda x: np.add.reduceat(x, first[:-1])
-        return pa.table({"doc_id": pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(valid, bool)), "n_tokens": np.diff(first), "n_known": add((n > 0).astype(np.int64)[at]), "base_score": add(base[at]), "score": add(np.log10(p / len(seen)))})
-
-    sent = docs.mapInArrow(send, _SENT)
-    back = sent.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look_up, _BACK)
+        return pa.table({"doc_id": pa.array(ids.view(np.int64), mask=~valid), "n_tokens": np.diff(first), "n_known": add((n > 0).astype(np.int64)[at]), "base_score": add(base[at]), "score": add(np.log10(p / len(seen)))})
+
+    states = [f"state{k}" for k in range(KEPT)]
+    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    by_bucket = rows.select(F.col("bucket").alias("place"), "pairs", *states, *none("sums"))
+    by_slot = contexts.select((F.col("slot") + deal.buckets).alias("place"), *none("pairs", *states), "sums")
+    sent = docs.mapInArrow(send, "place int, chunk long, home boolean, asked binary")
+    back = sent.groupBy("place").cogroup(by_bucket.unionByName(by_slot).groupBy("place")).applyInArrow(look_up, "chunk long, place int, home boolean, answer binary")
     return back.groupBy("chunk").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def _join(parts: list[bytes]) -> bytes:
-    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
-
-
-def _split(raw: bytes) -> list[bytes]:
-    n = int(np.frombuffer(raw[:8], np.int64)[0])
-    sizes = np.frombuffer(raw[8 : 8 + 8 * n], np.int64)
-    ends = np.cumsum(sizes) + 8 + 8 * n
-    return [raw[b - s : b] for b, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-
-
 def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int]:
     """Scores of docs under a model of `training`, and the number of training tokens.
 
     Tokens: words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end; null counts as empty, so
     it has the end only. All rows of training are counted. Without any, every token is unknown.
-    Repeated rows count, and are scored, once each.
+    Repeated rows, and rows without doc_id, count and are scored once each; very long texts are chunks
+    of their own, handled whole. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     _, volume = text_volume(docs)
-    buckets = 1 << max(4, int(max(1, volume // BUCKET)).bit_length())
-    model = scratch.save(count_pairs(training, buckets))
-    seated, words, seen = fit(scratch, model, buckets)
-    table = scratch.save(look_up_table(model, seated, words))
-    scratch.drop(model, *seated, *words)
-    return score(bare(docs, "text"), table, seen, buckets), seen[-1].total
+    deal = Deal(1 << max(4, int(max(1, volume // BUCKET)).bit_length()), hot_words(training))
+    model = scratch.save(count_pairs(training, deal))
+    kept, seen = fit(scratch, model, deal)
+    rows = model
+    for k, state in enumerate(kept):
+        rows = rows.join(state.select("bucket", F.col("state").alias(f"state{k}")), "bucket")
+    contexts = scratch.save(context_table(rows, deal))
+    return score(bare(docs, "text"), rows, contexts, seen, deal), seen[-1].total
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

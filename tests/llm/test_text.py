@@ -184,31 +184,67 @@ def test_language_model_prefers_what_it_saw(spark):
 
 
 def test_language_model_keeps_contexts_apart(spark):
-    """Two words before that fall into one of 1023 hash classes still have restaurants of their own."""
-    from kinweave.llm.common import mix
-
-    names = [f"c{i}" for i in range(200)]
-    data = np.frombuffer("".join(names).encode(), np.uint8)
-    ends = np.cumsum([len(x) for x in names])
-    kind = mix(lm.span_hashes(data, ends - [len(x) for x in names], ends) ^ np.uint64(99)) % np.uint64(1023)
-    seen = {}
-    a, b = next((seen[k], x) for k, x in zip(kind.tolist(), names, strict=True) if seen.setdefault(k, x) != x)
-    df = spark.createDataFrame([(i, f"{a} left" if i % 2 else f"{b} right") for i in range(200)], "doc_id long, text string")
-    probe = spark.createDataFrame([(1, f"{a} left"), (2, f"{a} right"), (3, f"{b} right"), (4, f"{b} left")], "doc_id long, text string")
+    """Each word before has a restaurant of its own."""
+    df = spark.createDataFrame([(i, "a left" if i % 2 else "b right") for i in range(200)], "doc_id long, text string")
+    probe = spark.createDataFrame([(1, "a left"), (2, "a right"), (3, "b right"), (4, "b left")], "doc_id long, text string")
     out = {r.doc_id: r.score for r in lm.language_model(probe, df)[0].collect()}
     assert out[1] > out[2] + 1 and out[3] > out[4] + 1
 
 
-def test_seating():
+def test_language_model_counts_many_rows_of_one_batch(spark):
+    rows = 70_000
+    df = spark.range(rows).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 5).alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        scored, n = lm.language_model(df, df)
+        assert n == 2 * rows
+        assert [tuple(r) for r in scored.groupBy("n_tokens", "n_known").count().collect()] == [(2, 2, rows)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def brute_tables(c, others, parent, strength, discount):
+    """P(t tables | c customers of the dish), summed over all orders of opening."""
+    ways = {(1, 1): 1.0}
+    for k in range(2, c + 1):
+        for t in range(1, k + 1):
+            ways[k, t] = ways.get((k - 1, t - 1), 0.0) + (k - 1 - discount * t) * ways.get((k - 1, t), 0.0)
+    p = [ways[c, t] * math.prod((strength + discount * (others + j)) * parent for j in range(t)) for t in range(1, c + 1)]
+    return np.array(p) / sum(p)
+
+
+def test_reseating_draws_from_the_conditional():
     rng = np.random.default_rng(0)
+    for c, others, parent in ((2, 3, 0.1), (5, 40, 0.02), (9, 0, 0.5), (20, 12, 0.05)):
+        got = lm.reseat(np.full(40_000, c), np.full(40_000, others), np.full(40_000, parent), 1.0, 0.8, rng)
+        want = brute_tables(c, others, parent, 1.0, 0.8)
+        assert np.abs(np.bincount(got, minlength=c + 1)[1:] / 40_000 - want).max() < 0.012
     n = np.array([1, 2, 5, 40, 1000, 100_000])
-    t = lm.seat(n, np.full(6, 2.0), 0.5, rng)
+    t = lm.reseat(n, np.full(6, 3), np.full(6, 0.1), 1.0, 0.8, rng)
     assert t[0] == 1 and (t >= 1).all() and (t <= n).all()
-    mean = np.mean([lm.seat(np.full(200, 30), np.full(200, 2.0), 0.5, rng).mean() for _ in range(20)])
-    expect, tables = 1.0, 1.0
-    for k in range(1, 30):  # the mean recursion is close to exact at this size
-        tables += 2.0 / (2.0 + k - 0.5 * tables)
-    assert expect < mean == pytest.approx(tables, rel=0.1)
+
+
+def test_scores_equal_the_seating(spark):
+    """With one seating that can't vary (no pair repeats) the score is a closed form."""
+    df = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
+    scored, n = lm.language_model(df, df)
+    got = {r.doc_id: r.score for r in scored.collect()}
+    (s0, s1), (d0, d1) = lm.STRENGTH, lm.DISCOUNT
+    guests = {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, None: 2}  # one table for each pair
+    assert n == 7
+    new = lambda theirs: (s1 + d1 * theirs) / 7
+    for i, words in ((1, ["a", "b", "c", None]), (2, ["d", "e", None])):
+        bounds = []
+        for ends in (1, 2):  # the parent seats the end's two customers at one or two tables
+            theirs = {w: 1 for w in guests} | {None: ends}
+            total, tables = 0.0, sum(theirs.values())
+            for k, w in enumerate(words):
+                customers = 2 if k == 0 else 1
+                parent = (guests[w] - d1 * theirs[w] + new(tables)) / (s1 + sum(guests.values()))
+                total += math.log10((1 - d0 + (s0 + d0 * customers) * parent) / (s0 + customers))
+            bounds.append(total)
+        assert min(bounds) - 1e-9 <= got[i] <= max(bounds) + 1e-9
 
 
 def test_quality(docs, awkward, empty):
