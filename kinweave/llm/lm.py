@@ -1,9 +1,9 @@
 """Scoring by a hierarchical Pitman-Yor model.
 
 Restaurants: one for each context (the word before, or a text's start), all sharing one parent, whose
-base is uniform over the vocabulary. Words are known by their 64-bit hashes, contexts by 32 bits of
-the word before, so there are about as many restaurants as the corpus has words, and two words share
-one with a chance of 2^-32. Seatings are drawn by blocked Gibbs sweeps: all customers of a word in a
+base is uniform over the vocabulary. Words are known by their 64-bit hashes, contexts by 32 bits: the
+number of a hot word, else a hash. So there are about as many restaurants as the corpus has words, and
+two words share one with a chance of 2^-31. Seatings are drawn by blocked Gibbs sweeps: all customers of a word in a
 restaurant get up and are seated anew, given everybody else's tables of the sweep before.
 
 The distinct (context, word) pairs are dealt into buckets by word; those of words that make up a share
@@ -29,7 +29,7 @@ from kinweave.llm.common import U, Scratch, bare, lower_ascii, mix, pieces, read
 #: Stand for a text's end as a word, and for its start as a context.
 END, START = U(0x5851F42D4C957F2D), U(0xD1B54A32D192ED03)
 DISCOUNT, STRENGTH = (0.8, 0.6), (1.0, 5.0)  # of contexts, of their parent
-SWEEPS, KEPT = 3, 2
+SWEEPS, KEPT = 3, 2  # the last two sweeps' states are carried along
 #: Bytes of text in a chunk, and meant for a bucket; rows in a chunk; buckets for each slot of contexts.
 CHUNK, BUCKET, ROWS, PER_SLOT = 4 << 20, 16 << 20, 1 << 16, 8
 #: Words of a share of 1 / HOT of the tokens or more are dealt by pair.
@@ -48,7 +48,8 @@ def pack(*arrays: np.ndarray) -> bytes:
     least = lambda a: next(t for t in _TYPES[:4] if not len(a) or a.max() <= np.iinfo(t).max)
     arrays = tuple(a.astype(least(a)) if a.dtype == np.int64 else a for a in arrays)
     head = np.array([len(arrays), *[x for a in arrays for x in (_TYPES.index(a.dtype.str), len(a))]], np.int64)
-    raw = head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    planes = [a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T if a.dtype.itemsize < 8 else a for a in arrays]  # bytes of one rank together
+    raw = head.tobytes() + b"".join(a.tobytes() for a in planes)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -58,9 +59,10 @@ def unpack(value: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2), 8 + 16 * n, []
     for kind, size in head.tolist():
-        a = np.frombuffer(raw, _TYPES[kind], size, at)
+        width = np.dtype(_TYPES[kind]).itemsize
+        a = np.frombuffer(raw, np.uint8, size * width, at)
         at += a.nbytes
-        out.append(a)
+        out.append((np.ascontiguousarray(a.reshape(width, size).T) if 1 < width < 8 else a.copy()).reshape(-1).view(_TYPES[kind]))
     return out
 
 
@@ -79,18 +81,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word, first + np.arange(len(first))
 
 
-def context_codes(word: np.ndarray) -> np.ndarray:
-    """The restaurants of words as contexts."""
-    return (mix(word ^ U(99)) >> U(32)).astype(np.uint32)
-
-
-def contexts_of(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The restaurant of each token: that of the word before, or of START at the start of a row."""
-    before = np.roll(word, 1)
-    before[first[:-1]] = START
-    return context_codes(before)
-
-
 def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix(word + mix(context.astype(U) + U(1)))
 
@@ -115,6 +105,14 @@ class Deal:
     buckets: int
     hot: np.ndarray
 
+    def contexts(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The restaurant of each token: that of the word before, or of START at the start of a row.
+        Codes of hot words are even and spread evenly."""
+        before = np.roll(word, 1)
+        before[first[:-1]] = START
+        at, is_hot = find(self.hot, before)
+        return np.where(is_hot, at.astype(U) << U(32 - HOT.bit_length()), (mix(before ^ U(99)) >> U(32)) | U(1)).astype(np.uint32)
+
     @property
     def slots(self) -> int:
         return max(1, self.buckets // PER_SLOT)
@@ -129,9 +127,9 @@ class Deal:
 
 
 def hot_words(docs: DataFrame) -> np.ndarray:
-    """Hashes, in order, of words with a share of 1 / HOT of the tokens or more, by counts over all
-    texts of the words that make up half as much of a chunk. The list decides where pairs are dealt,
-    never a count."""
+    """Hashes, in order, of at most HOT words with a share of about 1 / HOT of the tokens or more, by
+    counts of the words that make up half as much of a chunk, on one text in eight. The list decides
+    where pairs are dealt and how contexts are spelled, never a count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -140,21 +138,28 @@ def hot_words(docs: DataFrame) -> np.ndarray:
             some = 2 * HOT * n >= len(word)
             yield pa.RecordBatch.from_pydict({"word": pa.array([None, *found[some].view(np.int64).tolist()], pa.int64()), "n": np.append(len(word), n[some])})
 
-    seen = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = seen.filter("word is null").select(F.col("n").alias("total"))
-    found = seen.filter("word is not null").crossJoin(F.broadcast(total)).filter(F.col("n") * HOT >= F.col("total"))
-    return np.sort(np.array([r.word for r in found.select("word").collect()], np.int64).view(U))
-
-
-def _distinct(deal: Deal, word: np.ndarray, context: np.ndarray, counts: np.ndarray):
-    """Distinct pairs in order of bucket, word and context: buckets, words, contexts, counts."""
-    order = np.lexsort((context, word))
-    w, c = word[order], context[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
-    at = np.flatnonzero(new)
-    n = np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
-    w, c = w[at], c[at]
+    some = docs.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(8)) == 0)
+    seen = some.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = seen.filter("word is null").first()
+    if total is None:
+        return np.zeros(0, U)
+    found = seen.filter(F.col("word").isNotNull() & (F.col("n") * HOT >= total.n)).orderBy(F.desc("n"), "word").limit(HOT)
+    return np.sort(np.array([r.word for r in found.collect()], np.int64).view(U))
+
+
+def _distinct(deal: Deal, words: np.ndarray, at: np.ndarray, context: np.ndarray, counts: np.ndarray | None = None):
+    """Distinct pairs (words[at], context), words in order, by bucket, word and context: buckets,
+    words, contexts, counts (of pairs that come once each where `counts` is None)."""
+    key = at.astype(U) << U(32) | context
+    if counts is None:
+        key, n = np.unique(key, return_counts=True)
+    else:
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+        key = key[first]
+    w, c = words[key >> U(32)], key.astype(np.uint32)
     b = deal.bucket(w, c)
     order = np.argsort(b, kind="stable")
     return b[order], w[order], c[order], n[order]
@@ -173,15 +178,16 @@ def count_pairs(docs: DataFrame, deal: Deal) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             word, first = tokens(*text_bytes(batch.column("text")))
-            bucket, words, contexts, counts = _distinct(deal, word, contexts_of(word, first), np.ones(len(word), np.int64))
+            bucket, words, contexts, counts = _distinct(deal, *np.unique(word, return_inverse=True), deal.contexts(word, first))
             full, at = np.unique(bucket, return_index=True)
             cuts = [slice(a, b) for a, b in zip(at, np.append(at[1:], len(bucket)), strict=True)]
             yield pa.RecordBatch.from_pydict({"bucket": full.astype(np.int32), "pairs": pa.array([pack(*_runs(words[x]), contexts[x], counts[x]) for x in cuts], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in table["pairs"].to_pylist()]
-        words = np.concatenate([np.repeat(w, s) for w, s, *_ in parts])
-        _, words, contexts, counts = _distinct(deal, words, np.concatenate([p[2] for p in parts]), np.concatenate([_wide(p[3]) for p in parts]))
+        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        at = np.repeat(at, np.concatenate([p[1] for p in parts]))
+        _, words, contexts, counts = _distinct(deal, words, at, np.concatenate([p[2] for p in parts]), np.concatenate([_wide(p[3]) for p in parts]))
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "pairs": pa.array([pack(*_runs(words), contexts, counts)], pa.binary())})
 
     return docs.select("text").mapInArrow(send, "bucket int, pairs binary").groupBy("bucket").applyInArrow(merge, "bucket int, pairs binary")
@@ -314,8 +320,9 @@ def _context_tables(now: DataFrame, deal: Deal) -> DataFrame:
 
 
 def _sweep(now: DataFrame, totals: DataFrame, before: Totals, deal: Deal, sweep: int) -> DataFrame:
-    """bucket, state, guests, theirs (sums over words that aren't hot). Draws are seeded by bucket and
-    sweep, so a repeated task gives the same seating."""
+    """bucket, pairs, state, before (the state until now), guests and theirs (sums over words that aren't
+    hot), hot (places and tables of hot words). Draws are seeded by bucket and sweep, so a repeated task
+    gives the same seating."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
@@ -334,74 +341,78 @@ def _sweep(now: DataFrame, totals: DataFrame, before: Totals, deal: Deal, sweep:
         guests, cold = b.by_word(b.tables()), ~is_hot[1]
         b.theirs = np.zeros(len(b.words), np.int64)
         b.theirs[cold] = reseat(guests[cold], before.theirs - theirs[cold], np.full(cold.sum(), before.uniform()), STRENGTH[1], DISCOUNT[1], rng)
-        return pa.table({"bucket": pa.array([row["bucket"]], pa.int32()), "state": pa.array([pack(b.drawn, b.theirs)], pa.binary()), "guests": [int(guests[cold].sum())], "theirs": [int(b.theirs.sum())]})
+        blobs = {"pairs": row["pairs"], "state": pack(b.drawn, b.theirs), "before": row["state"], "hot": pack(is_hot[0][is_hot[1]], guests[is_hot[1]])}
+        return pa.table({"bucket": pa.array([row["bucket"]], pa.int32())} | {k: pa.array([x], pa.binary()) for k, x in blobs.items()} | {"guests": [int(guests[cold].sum())], "theirs": [int(b.theirs.sum())]})
 
-    return now.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, "bucket int, state binary, guests long, theirs long")
+    now = now.select("bucket", "pairs", "state")
+    return now.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, "bucket int, pairs binary, state binary, before binary, hot binary, guests long, theirs long")
 
 
-def _hot_sums(now: DataFrame, deal: Deal) -> np.ndarray:
-    """Tokens and tables of each hot word, summed over buckets: at most HOT rows reach the driver."""
+def _hot_sums(values: DataFrame, deal: Deal, n: int) -> np.ndarray:
+    """n sums for each hot word over the packed (places, values ...) of all buckets: at most HOT rows
+    reach the driver."""
+    names = [f"v{k}" for k in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Bucket.read(row["pairs"], row["state"])
-                at, ok = find(deal.hot, b.words)
-                yield pa.RecordBatch.from_pydict({"at": at[ok].astype(np.int32), "n": b.by_word(b.counts)[ok], "guests": b.by_word(b.tables())[ok]})
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict(dict(zip(["at", *names], map(_wide, unpack(raw)), strict=True)))
 
-    out = np.zeros((2, len(deal.hot)), np.int64)
+    out = np.zeros((n, len(deal.hot)), np.int64)
     if len(deal.hot):
-        for r in now.mapInArrow(run, "at int, n long, guests long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests")).collect():
-            out[:, r["at"]] = r.n, r.guests
+        for r in values.mapInArrow(run, ", ".join(f"{c} long" for c in ["at", *names])).groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).collect():
+            out[:, r["at"]] = r[1:]
     return out
 
 
-def _sizes(model: DataFrame, deal: Deal) -> tuple[int, int]:
-    """Tokens of all words, and distinct words that aren't hot."""
+def _sizes(model: DataFrame, deal: Deal) -> DataFrame:
+    """By bucket: tokens of all words, distinct words that aren't hot, and hot words' tokens and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("pairs").to_pylist():
-                words, _, _, counts = unpack(raw)
-                yield pa.RecordBatch.from_pydict({"n": [int(_wide(counts).sum())], "v": [int((~find(deal.hot, words)[1]).sum())]})
+                b = Bucket.read(raw, None)
+                at, ok = find(deal.hot, b.words)
+                yield pa.RecordBatch.from_pydict({"n": [int(b.counts.sum())], "v": [int((~ok).sum())], "hot": pa.array([pack(at[ok], b.by_word(b.counts)[ok], b.by_word(b.tables())[ok])], pa.binary())})
 
-    r = model.select("pairs").mapInArrow(run, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    return r.n or 0, r.v or 0
+    return model.select("pairs").mapInArrow(run, "n long, v long, hot binary")
 
 
-def fit(scratch: Scratch, model: DataFrame, deal: Deal) -> tuple[list[DataFrame], list[Totals]]:
-    """States (bucket, state) and totals of the kept sweeps. At first every pair has one table, and
-    every word one in the parent."""
+def fit(scratch: Scratch, model: DataFrame, deal: Deal) -> tuple[DataFrame, list[Totals]]:
+    """The pairs of all buckets with the states of the kept sweeps (before, state), and those sweeps'
+    totals. At first every pair has one table, and every word one in the parent."""
+    sizes = scratch.save(_sizes(model, deal))
+    r, (tokens_, guests) = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first(), _hot_sums(sizes.select("hot"), deal, 2)
+    n, vocabulary = r.n, r.v + int((tokens_ > 0).sum())
+    seen = [Totals(max(1, n // 2), max(1, vocabulary), vocabulary, n, np.stack([tokens_, guests, np.minimum(guests, 1)]))]
     now = model.withColumn("state", F.lit(None).cast("binary"))
-    (n, cold), (tokens_, guests) = _sizes(model, deal), _hot_sums(now, deal)
-    vocabulary = cold + len(deal.hot)
-    seen = [Totals(max(1, n // 2), max(1, vocabulary), vocabulary, n, np.stack([tokens_, guests, np.ones(len(deal.hot), np.int64)]))]
-    kept: list[DataFrame] = []
     for k in range(SWEEPS):
-        state = scratch.save(_sweep(now, _context_tables(now, deal), seen[-1], deal, k))
-        kept.append(state)
-        if len(kept) > KEPT:
-            scratch.drop(kept.pop(0))
-        now = model.join(state.select("bucket", "state"), "bucket")
-        sums = state.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("guests", "theirs")]).first()
-        guests = _hot_sums(now, deal)[1]
+        new = scratch.save(_sweep(now, _context_tables(now, deal), seen[-1], deal, k))
+        scratch.drop(model if k == 0 else now)
+        now = new
+        sums = now.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("guests", "theirs")]).first()
+        guests = _hot_sums(now.select("hot"), deal, 1)[0]
         uniform = np.full(len(guests), seen[-1].uniform())
         theirs = reseat(guests, seen[-1].theirs - seen[-1].hot[2], uniform, STRENGTH[1], DISCOUNT[1], np.random.default_rng([6, k]))
+        theirs = np.minimum(theirs, guests)
         seen.append(Totals(sums.guests + int(guests.sum()), sums.theirs + int(theirs.sum()), vocabulary, n, np.stack([tokens_, guests, theirs])))
-    return kept, seen[-KEPT:]
+    return now, seen[-KEPT:]
 
 
 # ---- scoring -----------------------------------------------------------------------------------
 
 
+#: Columns of the kept sweeps' states.
+KEPT_STATES = ("before", "state")
+
+
 def context_table(rows: DataFrame, deal: Deal) -> DataFrame:
-    """One row per slot: contexts in order, customers, and tables in each kept sweep. `rows` has pairs
-    and state0, state1, ... by bucket."""
+    """One row per slot: contexts in order, customers, and tables in each kept sweep."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seatings = [Bucket.read(row["pairs"], row[f"state{k}"]) for k in range(KEPT)]
+                seatings = [Bucket.read(row["pairs"], row[k]) for k in KEPT_STATES]
                 b = seatings[0]
                 found, at = np.unique(b.contexts, return_inverse=True)
                 sums = [np.bincount(at, v, len(found)).astype(np.int64) for v in (b.counts, *[s.tables() for s in seatings])]
@@ -416,7 +427,7 @@ def context_table(rows: DataFrame, deal: Deal) -> DataFrame:
         sums = [np.bincount(at, np.concatenate([_wide(p[k]) for p in parts]), len(found)).astype(np.int64) for k in range(1, 2 + KEPT)]
         return pa.table({"slot": table["slot"][:1], "sums": pa.array([pack(found, *sums)], pa.binary())})
 
-    return rows.mapInArrow(send, "slot int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary")
+    return rows.select("pairs", *KEPT_STATES).mapInArrow(send, "slot int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary")
 
 
 def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Totals], deal: Deal) -> DataFrame:
@@ -429,14 +440,17 @@ def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Tota
     places = deal.buckets + deal.slots
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        task, count = TaskContext.get().partitionId(), 0
         for batch in chunks(batches):
-            chunk = (task << 32) | number
-            number += 1
+            chunk = (task << 32) | count
+            count += 1
             word, first = tokens(*text_bytes(batch.column("text")))
-            words, at = np.unique(word, return_inverse=True)
-            context = contexts_of(word, first)
-            bucket, w, c, _ = _distinct(deal, word, context, np.ones(len(word), np.int64))
+            words, at, n = np.unique(word, return_inverse=True, return_counts=True)
+            context = deal.contexts(word, first)
+            bucket, w, c, _ = _distinct(deal, words, at, context)
+            by_use = np.argsort(-n, kind="stable")  # small numbers for frequent words: they pack well
+            number = np.empty(len(words), np.int64)
+            number[by_use] = np.arange(len(words))
             full, start = np.unique(bucket, return_index=True)
             asked = [pack(*_runs(w[a:b]), c[a:b]) for a, b in zip(start, np.append(start[1:], len(w)), strict=True)]
             found = np.unique(context)
@@ -444,14 +458,14 @@ def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Tota
             slots = np.flatnonzero(np.diff(edge))
             asked += [pack(found[edge[s] : edge[s + 1]]) for s in slots]
             ids = batch.column("doc_id")
-            home = pack(pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(U), pa.compute.is_valid(ids).to_numpy(zero_copy_only=False), first, words, at)
+            home = pack(pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(U), pa.compute.is_valid(ids).to_numpy(zero_copy_only=False), first, words[by_use], number[at])
             where = [chunk % places, *full.tolist(), *(deal.buckets + slots).tolist()]
             yield pa.RecordBatch.from_pydict({"place": pa.array(where, pa.int32()), "chunk": pa.array([chunk] * len(where), pa.int64()), "home": [True] + [False] * len(asked), "asked": pa.array([home, *asked], pa.binary())})
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         row = right.to_pylist()[0] if len(right) else {"pairs": None, "sums": None}
         if row["pairs"] is not None:
-            seatings = [Bucket.read(row["pairs"], row[f"state{k}"]) for k in range(KEPT)]
+            seatings = [Bucket.read(row["pairs"], row[k]) for k in KEPT_STATES]
             b = seatings[0]
             keys = pair_keys(np.repeat(b.words, b.sizes), b.contexts)
             order = np.argsort(keys)
@@ -480,9 +494,13 @@ def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Tota
         got = table.filter(pa.compute.invert(table["home"]))
         answers = dict(zip(got["place"].to_pylist(), got["answer"].to_pylist(), strict=True))
         ids, valid, first, words, at = unpack(table.filter(table["home"])["answer"][0].as_py())
-        first, word = _wide(first), words[at]
-        context = contexts_of(word, first)
-        bucket, w, c, _ = _distinct(deal, word, context, np.ones(len(word), np.int64))
+        first, order = _wide(first), np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        words, at = words[order], place[at]
+        word = words[at]
+        context = deal.contexts(word, first)
+        bucket, w, c, _ = _distinct(deal, words, at, context)
         full, start = np.unique(bucket, return_index=True)
         by_pair, by_word = np.zeros((1 + KEPT, len(w)), np.int64), np.zeros((1 + 2 * KEPT, len(words)), np.int64)
         for p, a, b in zip(full.tolist(), start, np.append(start[1:], len(w)), strict=True):
@@ -511,10 +529,9 @@ def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Tota
         add = lambda x: np.add.reduceat(x, first[:-1])
         return pa.table({"doc_id": pa.array(ids.view(np.int64), mask=~valid), "n_tokens": np.diff(first), "n_known": add((n > 0).astype(np.int64)[at]), "base_score": add(base[at]), "score": add(np.log10(p / len(seen)))})
 
-    states = [f"state{k}" for k in range(KEPT)]
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    by_bucket = rows.select(F.col("bucket").alias("place"), "pairs", *states, *none("sums"))
-    by_slot = contexts.select((F.col("slot") + deal.buckets).alias("place"), *none("pairs", *states), "sums")
+    by_bucket = rows.select(F.col("bucket").alias("place"), "pairs", *KEPT_STATES, *none("sums"))
+    by_slot = contexts.select((F.col("slot") + deal.buckets).alias("place"), *none("pairs", *KEPT_STATES), "sums")
     sent = docs.mapInArrow(send, "place int, chunk long, home boolean, asked binary")
     back = sent.groupBy("place").cogroup(by_bucket.unionByName(by_slot).groupBy("place")).applyInArrow(look_up, "chunk long, place int, home boolean, answer binary")
     return back.groupBy("chunk").applyInArrow(close, "doc_id long, n_tokens long, n_known long, base_score double, score double")
@@ -530,12 +547,10 @@ def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int
     """
     scratch = Scratch(docs.sparkSession, "lm")
     _, volume = text_volume(docs)
+    training = bare(training, "text")
     deal = Deal(1 << max(4, int(max(1, volume // BUCKET)).bit_length()), hot_words(training))
     model = scratch.save(count_pairs(training, deal))
-    kept, seen = fit(scratch, model, deal)
-    rows = model
-    for k, state in enumerate(kept):
-        rows = rows.join(state.select("bucket", F.col("state").alias(f"state{k}")), "bucket")
+    rows, seen = fit(scratch, model, deal)
     contexts = scratch.save(context_table(rows, deal))
     return score(bare(docs, "text"), rows, contexts, seen, deal), seen[-1].total
 
