@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ SWEEPS, KEPT = 3, 2  # the last two sweeps' states are carried along
 CHUNK, BUCKET, ROWS, PER_SLOT = 4 << 20, 16 << 20, 1 << 16, 8
 #: Words of a share of 1 / HOT of the tokens or more are dealt by pair.
 HOT = 2048
+#: Texts are scored in so many parts, one after the other: what is asked and answered for one part is
+#: given back before the next.
+PARTS = 3
 #: Up to so many customers the number of tables is drawn from its exact distribution.
 EXACT = 32
 
@@ -552,7 +556,12 @@ def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int
     model = scratch.save(count_pairs(training, deal))
     rows, seen = fit(scratch, model, deal)
     contexts = scratch.save(context_table(rows, deal))
-    return score(bare(docs, "text"), rows, contexts, seen, deal), seen[-1].total
+    docs, out = bare(docs, "text"), []
+    for k in range(PARTS):
+        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == k)
+        out.append(scratch.save(score(some, rows, contexts, seen, deal)))
+    scratch.drop(rows, contexts)
+    return reduce(DataFrame.unionByName, out), seen[-1].total
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
