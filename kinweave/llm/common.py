@@ -56,14 +56,14 @@ class Scratch:
             spark.conf.set(ROWS_PER_BATCH, "1200")
 
     def save(self, df: DataFrame) -> DataFrame:
+        """`df`, written and read again. Shuffle files of tables that nothing refers to any more are let go
+        first."""
+        self.tidy()
         self.n += 1
         path = f"{self.root}/{self.n}"
-        schema = df.schema
         df.write.parquet(path)
-        del df  # else its shuffle files would outlive the clean-up below
-        out = self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
-        self.tidy()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -73,8 +73,10 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def tidy(self) -> None:
-        """Let Spark's cleaner drop the shuffle files of finished jobs."""
+        """Let Spark's cleaner drop the shuffle files of finished jobs. Spark's event queue refers to the
+        last query until another one ends, so a query without a job goes first."""
         gc.collect()
+        self.spark.sql("SELECT 1").collect()
         self.spark._jvm.System.gc()
 
 

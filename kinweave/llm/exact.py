@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import Scratch, bare
@@ -11,10 +11,14 @@ from kinweave.llm.common import Scratch, bare
 SUPPORT = 1024
 
 
+def _digest(text: Column) -> Column:
+    """The SHA-256 of a text after each run of [\\x20\\x09-\\x0D] became one space."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of the text after each run of [\\x20\\x09-\\x0D] became one space."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return bare(docs, "text").select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    """doc_id and the digest of the text."""
+    return bare(docs, "text").select("doc_id", _digest(F.col("text")).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -45,6 +49,12 @@ def exact_dedup(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the later rows of each group of equal texts."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """docs without the later rows of each group of equal texts.
+
+    Rows are matched by doc_id and text, so one that repeats a doc_id with another text is judged for
+    itself; rows equal in both stay or go together, as do rows of a group without any doc_id. Null counts
+    as an empty text; all columns pass through; an empty table stays empty.
+    """
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    mine = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (_digest(docs["text"]) == kept["text_sha256"])
+    return docs.join(kept, mine, "left_semi")

@@ -3,6 +3,7 @@ trained by follow-the-regularised-leader with elastic-net penalties, calibrated
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,11 @@ ROWS_PER_LANGUAGE = 400
 SCALE = 20.0
 #: The share of the fitted rows that is kept back for the temperature.
 CALIBRATION = 0.2
+#: The class of texts in no language, learned from texts whose characters are shuffled, one for every
+#: fourth fitted row. A text goes if it has so many letters and that probability of being such a text.
+NOISE, NOISE_SHARE, NOISE_LETTERS, NOISE_SCORE = "noise", 4, 40, 0.9
+#: Bytes of text handled at a time.
+PIECE = 1 << 19
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +61,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES, np.int64), 0
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, PIECE):
             ids, offsets = ngrams(batch.column("text").to_pylist())
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 seen = np.zeros(FEATURES, bool)
@@ -125,10 +131,17 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, alpha: float =
     return w[:-1], w[-1]
 
 
-def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+def shuffled(text: str) -> str:
+    """The text with its characters in another order, the same for equal texts."""
+    order = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass"))).permutation(len(text))
+    return "".join(np.array(list(text), object)[order]) if text else ""
+
+
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, noise: bool = False) -> Model:
     """A model from text and lang of `labelled`. Document frequencies come from all its rows; weights
     and temperature from about `rows_per_language` rows of each language, those whose doc_id has the
-    smallest hashes. Rows without lang are left out; without any, the model knows no language."""
+    smallest hashes. Rows without lang are left out; without any, the model knows no language. Repeated
+    rows count each; very long texts are read whole. With `noise` the model knows the class NOISE too."""
     labelled = bare(labelled, "text", "lang").filter("lang is not null")
     count = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(count)
@@ -141,16 +154,21 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mode
     chosen = labelled.join(F.broadcast(share), "lang").filter(uniform < F.col("share")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
-            ids, offsets = ngrams(batch.column("text").to_pylist())
+        for batch in pieces(batches, PIECE):
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            if noise:
+                some = [x for x in texts if zlib.crc32((x or "").encode("utf-8", "surrogatepass")) % NOISE_SHARE == 0]
+                texts, langs = texts + [shuffled(x or "") for x in some], langs + [NOISE] * len(some)
+            ids, offsets = ngrams(texts)
             at, size = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 u, c = np.unique(ids[a:b], return_counts=True)
                 at.append(u)
                 size.append(c.astype(np.int32))
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "at": pa.array(at, pa.list_(pa.int32())), "size": pa.array(size, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "size": pa.array(size, pa.list_(pa.int32()))})
 
     got = chosen.mapInArrow(run, "lang string, at array<int>, size array<int>").toArrow()
+    languages += [NOISE] * (noise and NOISE not in languages)
     number = {x: k for k, x in enumerate(languages)}
     rows = []
     for lang, at, size in zip(got["lang"].to_pylist(), got["at"], got["size"], strict=True):
@@ -175,13 +193,15 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mode
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (calibrated probability).
 
-    A text that is null or has no letter gives `und` and score 0. Only the text is read. The model
-    (a fixed number of features times languages) is the same on all executors; nothing is shuffled.
+    A text that is null or has no letter gives `und` and score 0. Only the text is read, whole however
+    long. The model (a fixed number of features times languages) is the same on all executors; nothing is
+    shuffled. Repeated rows, and rows without doc_id, give equal rows; the first of equally likely
+    languages, by name, is given; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
+        for batch in pieces(batches, PIECE):
             lang, score = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": score})
 
@@ -193,16 +213,23 @@ def training_part(docs: DataFrame) -> DataFrame:
     return docs.filter(remainder(3) != 1)
 
 
-def known_language(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """docs without those of no language (null or no letter), or of one given less than `min_score`:
-    rows are filtered where they are read, all columns pass through. By default no score is too low,
-    since texts of a few words get low scores and may well be clean."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(training_part(docs)))
+def known_language(docs: DataFrame) -> DataFrame:
+    """docs without texts in no language: those that are null or have no letter, and those of
+    NOISE_LETTERS letters or more that the model takes for shuffled characters with a probability of
+    NOISE_SCORE or more. Shorter texts say too little. Rows are filtered where they are read and all
+    columns pass through; without any labelled row every text with a letter stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(training_part(docs), noise=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1 << 20):
-            lang, score = shared.value.predict(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_()))
+        for batch in pieces(batches, PIECE):
+            texts = batch.column("text").to_pylist()
+            keep = [bool(t and LETTER.search(t)) for t in texts]
+            if shared.value.languages:
+                lang, score = shared.value.predict(texts)
+                sure = [k for k, (x, s) in enumerate(zip(lang, score, strict=True)) if x == NOISE and s >= NOISE_SCORE]
+                for k in sure:
+                    keep[k] = keep[k] and sum(1 for _ in LETTER.finditer(texts[k])) < NOISE_LETTERS
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

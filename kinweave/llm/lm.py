@@ -561,6 +561,7 @@ def language_model(docs: DataFrame, training: DataFrame) -> tuple[DataFrame, int
         some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == k)
         out.append(scratch.save(score(some, rows, contexts, seen, deal)))
     scratch.drop(rows, contexts)
+    scratch.tidy()
     return reduce(DataFrame.unionByName, out), seen[-1].total
 
 

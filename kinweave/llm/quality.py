@@ -19,7 +19,7 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 #: Documents on which costs and rejections are estimated; only the order of the rules depends on it.
-SAMPLE = 400
+SAMPLE, SAMPLE_CHARS = 400, 20_000
 
 
 class Texts:
@@ -131,10 +131,11 @@ def cascade(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> tuple[Rule, ...]:
     """rules ordered by rejection per cost, both estimated on at most `sample` documents (those
-    with the smallest hashes). The verdict doesn't depend on the order, only the work does."""
-    short = bare(docs, "text").filter("octet_length(text) <= 100000")
+    with the smallest hashes), of which the first SAMPLE_CHARS characters each are looked at. The verdict
+    doesn't depend on the order, only the work does."""
+    short = bare(docs, "text").filter("text is not null")
     ids = [r.doc_id for r in short.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample).collect()]
-    texts = [r.text for r in short.filter(F.col("doc_id").isin(ids)).select("text").limit(sample).collect()] if ids else []
+    texts = [r.text for r in short.filter(F.col("doc_id").isin(ids)).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(sample).collect()] if ids else []
     if not texts:
         return rules
     data, offsets = text_bytes(pa.array(texts, pa.string()))

@@ -212,6 +212,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     found = _windows(left, window, buckets_for(volume)).filter("covered is not null")
     found = scratch.save(found.groupBy("doc_id", "key").agg(F.first("covered").alias("covered")))
 
+    scratch.tidy()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, offsets = text_bytes(batch.column("text"))

@@ -11,6 +11,8 @@ from kinweave.llm.components import components
 from kinweave.llm.common import Scratch
 from kinweave.llm.exact import exact_dedup, keep_first
 from kinweave.llm.jaccard import jaccard_classes, keep_one
+from kinweave.llm.lm import language_model
+from kinweave.llm.quality import quality
 from kinweave.llm.substring import plan_rounds, substring_dedup
 from kinweave.llm import suffix
 from kinweave.llm.suffix import suffix_dedup
@@ -33,6 +35,29 @@ def test_exact(docs, awkward, empty):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_keepers_without_or_with_repeated_doc_ids(spark):
+    rows = [(1, "a b c d e f"), (1, "other text of its own here"), (None, "a b c d e f"), (None, "only here without an id"), (2, "A b c d e f"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, keep_first(df).collect()), key=repr) == sorted([rows[0], rows[1], rows[3], rows[4], rows[6]], key=repr)
+    assert sorted(map(tuple, keep_one(df).collect()), key=repr) == sorted([rows[0], rows[1], rows[3], rows[5], rows[6]], key=repr)
+
+
+def test_structured_words_are_told_apart(spark):
+    """Thue-Morse words, which collide under any polynomial modulo 2^64."""
+    x, y = "a", "b"
+    for _ in range(10):
+        x, y = x + y, y + x
+    tail = " ".join(f"w{k}" for k in range(34))
+    df = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup(df, with_text=False).collect()] == [0, 0]
+    one = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_classes(one).collect()} == {1: 1, 2: 2}
+    lines = spark.createDataFrame([(1, f"{x}\n{y}\n{x}")], "doc_id long, text string")
+    assert [r.n_dup_lines for r in quality(lines).collect()] == [1]
+    scored, _ = language_model(spark.createDataFrame([(1, y)], "doc_id long, text string"), spark.createDataFrame([(1, x)], "doc_id long, text string"))
+    assert [r.n_known for r in scored.collect()] == [1]  # the end only
+
+
 def test_exact_hot_group(spark):
     df = spark.createDataFrame([(i, "same" if i % 3 else f"own {i}") for i in range(300)], "doc_id long, text string")
     out = {r.doc_id: r for r in exact_dedup(df, support=8).collect()}

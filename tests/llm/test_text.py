@@ -117,6 +117,21 @@ def test_language_edges(spark, docs, empty):
     assert langid.identify(empty, model).collect() == []
 
 
+def test_known_language_drops_noise_and_keeps_prose(spark, empty):
+    train = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r.text for r in train.limit(40).collect() if r.text and len(r.text) > 200]
+    extra = [(10**6 + k, langid.shuffled(t), None, "x", 1) for k, t in enumerate(texts)] + [(2 * 10**6, None, None, "x", 1), (2 * 10**6 + 1, "12 %", None, "x", 1)]
+    both = train.unionByName(spark.createDataFrame(extra, train.schema))
+    kept = {r.doc_id for r in langid.known_language(both).collect()}
+    assert not {i for i in kept if i >= 2 * 10**6}
+    assert len({i for i in kept if i >= 10**6}) <= 0.1 * len(texts)
+    letters = {r.doc_id for r in train.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+    assert {i for i in kept if i < 10**6} == letters
+    none = spark.createDataFrame([(1, "a b", None), (2, "1", None), (None, "c", None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in langid.known_language(none).collect()) == ["a b", "c"]
+    assert langid.known_language(empty).collect() == []
+
+
 REGEX = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
