@@ -31,7 +31,9 @@ REACH = MATCH - ANCHOR
 AROUND = REACH + MATCH
 CHUNK = 1 << 20
 #: Surroundings sorted at a time within a bucket (more if one anchor has more).
-SLICE = 16_000
+SLICE = 4_000
+#: Anchors with about so many different surroundings are compared window by window, outside the buckets.
+HOT = 16_000
 
 
 def _owners(h: np.ndarray) -> np.ndarray:
@@ -187,6 +189,17 @@ def _runs(covered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).astype(np.int32)
 
 
+def _changes(order: np.ndarray, key: np.ndarray, own: np.ndarray, around: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which surroundings, in this order, differ from the one before. Hashes bring equal ones together;
+    their bytes decide."""
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
+        a, b = order[:-1][~new[1:]], order[1:][~new[1:]]
+        new[1:][~new[1:]] = (around[a] != around[b]).any(axis=1) | (before[a] != before[b]) | (after[a] != after[b])
+    return new
+
+
 def compare_surroundings(key: np.ndarray, around: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each surrounding (AROUND bytes with the anchor at REACH; `before` and `after` bytes of it
     are the document's), a mask of window offsets whose string also stands in a smaller document."""
@@ -196,9 +209,8 @@ def compare_surroundings(key: np.ndarray, around: np.ndarray, before: np.ndarray
         return mask
     own = row_hashes(around, 0, AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
     order = np.lexsort((doc, own, key))
-    k, o, d = key[order], own[order], doc[order]
-    new = np.ones(m, bool)
-    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    k, d = key[order], doc[order]
+    new = _changes(order, key, own, around, before, after)
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     # window offsets that lie in the document
@@ -336,11 +348,9 @@ def _covered(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             doc = ids["doc_id"][row]
             own = row_hashes(around, 0, AROUND) ^ mix(before.astype(U) << U(8) | after.astype(U))
             order = np.lexsort((doc, own, key))
-            k, o = key[order], own[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+            new = _changes(order, key, own, around, before, after)
             first = order[np.flatnonzero(new)]
-            unique = np.empty(len(k), np.int64)
+            unique = np.empty(len(key), np.int64)
             unique[order] = np.cumsum(new) - 1
             bucket = (key[first] >> shift).astype(np.int64)
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -394,14 +404,15 @@ def _covered(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     return back.groupBy("chunk").applyInArrow(close, "doc_id long, key long, covered binary")
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = True, hot: int = SLICE, sample: int = 16) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = True, hot: int = HOT, sample: int = 16) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `with_text`
     the kept bytes and the spans as (start, end).
 
     A text is its UTF-8 bytes; null counts as empty. Every byte goes that a 50-byte string covers
     which also starts in a document with a smaller doc_id; strings are judged on the input. Rows that
     repeat a doc_id never count as smaller than each other. Rows without doc_id come back as they are
-    and take no part. Extra columns are ignored; an empty table gives no rows. Windows of anchors with
+    and take no part. Very long texts are handled whole. Extra columns are ignored; an empty table gives
+    no rows. Windows of anchors with
     about `hot` different surroundings (see hot_anchors) are compared row by row, all others in buckets.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
@@ -412,13 +423,15 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, hot: int = SLICE, samp
     anchored = every.filter("anchors is not null").select("doc_id", "key", "anchors").dropDuplicates(["doc_id", "key"])
     left = some.join(anchored, ["doc_id", "key"])
     many = hot_anchors(some, hot, sample)
-    found = scratch.save(_covered(left, 2 * buckets_for(2 * volume), many).filter("covered is not null").dropDuplicates(["doc_id", "key"]))
+    found = scratch.save(_covered(left, 4 * buckets_for(2 * volume), many).filter("covered is not null").dropDuplicates(["doc_id", "key"]))
     if len(many):
         places = scratch.save(_hot_places(scratch.save(_hot_windows(some, many))))
         found = found.join(places, ["doc_id", "key"], "full")
     else:
         found = found.withColumn("places", F.lit(None).cast("array<int>"))
 
+    scratch.tidy()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, offsets = text_bytes(batch.column("text"))
