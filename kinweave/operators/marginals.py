@@ -134,9 +134,11 @@ def attr_tvd(df1: DataFrame, df2: DataFrame, attrs: list[str]) -> DataFrame:
 
 def composition(child: DataFrame, fk: str, attr: str) -> DataFrame:
     """(key, n): groups by their multiset of values. A group's multiset is its sorted (value, count)
-    list, so its length is bounded by the attribute's domain, not by the group's size."""
+    list, so its length is bounded by the attribute's domain, not by the group's size. In values, the
+    separators x and , are escaped, so different multisets have different keys."""
+    value = F.regexp_replace(F.col(attr).cast("string"), r"([\\x,])", r"\\$1")
     counts = child.groupBy(fk, attr).agg(F.count(F.lit(1)).alias("c"))
-    key = counts.groupBy(fk).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("x", F.col(attr).cast("string"), F.col("c").cast("string")))), ",").alias("key"))
+    key = counts.groupBy(fk).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("x", value, F.col("c").cast("string")))), ",").alias("key"))
     return key.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 

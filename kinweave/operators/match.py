@@ -15,7 +15,9 @@ def match(a: DataFrame, b: DataFrame, columns: list[str], key_a: str, key_b: str
     for c in columns:
         if c not in a.columns or c not in b.columns:
             raise ValueError(f"{c} is missing")
-    a, b = a.withColumn("_bucket", F.lit("")), b.withColumn("_bucket", F.lit(""))
+    star = F.struct(F.lit(True).alias("star"), F.lit("").alias("value"))
+    start = lambda df: df.withColumn("_bucket", F.array().cast("array<struct<star:boolean,value:string>>")).withColumn("_agreed", F.lit(0))
+    a, b = start(a), start(b)
     for c in columns:
         n_a = a.groupBy("_bucket", c).agg(F.count(F.lit(1)).alias("_na"))
         n_b = b.groupBy("_bucket", c).agg(F.count(F.lit(1)).alias("_nb"))
@@ -24,10 +26,11 @@ def match(a: DataFrame, b: DataFrame, columns: list[str], key_a: str, key_b: str
         def step(df: DataFrame, key: str, c: str = c, both: DataFrame = both) -> DataFrame:
             w = Window.partitionBy("_bucket", c).orderBy(key)
             j = df.withColumn("_r", F.row_number().over(w)).join(both, ["_bucket", c], "left")
-            tag = F.when(F.col("_r") <= F.coalesce("_both", F.lit(0)), F.concat(F.lit("="), F.col(c).cast("string"))).otherwise("*")
-            return j.withColumn("_bucket", F.concat("_bucket", F.lit("/"), tag)).drop("_r", "_both")
+            same = F.col("_r") <= F.coalesce("_both", F.lit(0))
+            tag = F.when(same, F.struct(F.lit(False).alias("star"), F.col(c).cast("string").alias("value"))).otherwise(star)
+            return j.withColumn("_bucket", F.concat("_bucket", F.array(tag))).withColumn("_agreed", F.col("_agreed") + same.cast("int")).drop("_r", "_both")
 
         a, b = step(a, key_a), step(b, key_b)
-    number = lambda df, key: df.select(key, "_bucket", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)).alias("_r"))
-    out = number(a, key_a).join(number(b, key_b), ["_bucket", "_r"])
-    return out.select(key_a, key_b, (F.length("_bucket") - F.length(F.translate("_bucket", "=", ""))).alias("agreed"))
+    number = lambda df, key: df.select(key, "_bucket", "_agreed", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)).alias("_r"))
+    out = number(a, key_a).join(number(b, key_b).drop("_agreed"), ["_bucket", "_r"])
+    return out.select(key_a, key_b, F.col("_agreed").alias("agreed"))

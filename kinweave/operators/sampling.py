@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from kinweave.functions.columns import md5_int
 
@@ -31,9 +32,16 @@ def expand(counts: DataFrame, n: str) -> DataFrame:
 def conditional_fill(rows: DataFrame, by: list[str], key: str, weights: DataFrame, value: str) -> DataFrame:
     """rows with a new column: within each combination of `by`, values are dealt out so that their
     counts are the randomised rounding of `weights` (by, value, v). Rows are numbered within their
-    context, values have ranges of numbers, and the two are joined on the context."""
+    context, values have ranges of numbers, and the two are joined on the context. In a context without
+    weights all values of `weights` are dealt out evenly."""
     w = Window.partitionBy(*by)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    values = [r[0] for r in weights.select(value).distinct().collect()]  # bounded by the attribute's domain
+    weights = weights.select(*by, value, F.col("v").cast("double").alias("v"))
+    if values:
+        bare = sizes.drop("_n").join(weights.select(*by).distinct(), by, "left_anti")
+        every = F.array(*map(F.lit, values)).cast(ArrayType(weights.schema[value].dataType))
+        weights = weights.unionByName(bare.select(*by, F.explode(every).alias(value), F.lit(1.0).alias("v")))
     counts = random_round(weights.join(sizes, by), by, value, "_n")
     upto = F.sum("n_drawn").over(w.orderBy(value))
     ranges = counts.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("n_drawn")).select(*by, value, "_lo", "_hi")

@@ -86,7 +86,7 @@ def noisy_marginal(spark, d):
     return privacy.noisy(_ab(spark, d)[0], privacy.sigma(1, 0.25, 4), F.concat("o_orderstatus", "o_orderpriority")).withColumn("v", r6("v"))
 
 
-@query("SELECT 2::INT AS sensitivity, 4::INT AS queries, 8.0::DOUBLE AS sigma")
+@query("SELECT 2::INT AS sensitivity, 4::INT AS queries, sqrt(pow(2, 2) * 4 / 0.25) AS sigma")
 def gaussian_sigma(spark, d):
     return spark.createDataFrame([(2, 4, privacy.sigma(2, 0.25, 4))], "sensitivity int, queries int, sigma double")
 
@@ -218,7 +218,7 @@ TPCH = {
     "tpch_q04": "SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= timestamp '1996-07-01' AND o_orderdate < timestamp '1996-10-01' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate + interval 30 days) GROUP BY o_orderpriority",
     "tpch_q05": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderdate >= timestamp '1996-01-01' AND o_orderdate < timestamp '1998-01-01' GROUP BY n_name",
     "tpch_q07": "SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS INT) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 1) AS revenue FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_nationkey < 5 AND n2.n_nationkey < 5 AND n1.n_nationkey <> n2.n_nationkey GROUP BY 1, 2, 3",
-    "tpch_q09": "SELECT n_name, CAST(year(o_orderdate) AS INT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 2) AS sum_profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%1%' GROUP BY 1, 2",
+    "tpch_q09": "SELECT n_name, CAST(year(o_orderdate) AS INT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 2) AS sum_profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%a%' GROUP BY 1, 2",
     "tpch_q12": "SELECT l_returnflag, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= timestamp '1996-01-01' AND l_shipdate < timestamp '1997-01-01' AND l_shipdate > o_orderdate GROUP BY l_returnflag",
     "tpch_q14": "SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0.0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= timestamp '1996-01-01' AND l_shipdate < timestamp '1997-01-01'",
     "tpch_q17": "SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 20 AND l_quantity < (SELECT 0.5 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)",

@@ -74,8 +74,9 @@ def synthesise(parent: DataFrame, pk: str, parent_attrs: list[str], child: DataF
 def _fill(rows: DataFrame, key: str, given: list[str], weights: DataFrame, value: str) -> DataFrame:
     if given:
         return sampling.conditional_fill(rows, given, key, weights, value)
-    one = sampling.conditional_fill(rows.withColumn("_one", F.lit(1)), ["_one"], key, weights.withColumn("_one", F.lit(1)), value)
-    return one.drop("_one")
+    # one context: drawn by each row's own hash, without a window over all rows
+    w = weights.select(F.lit(1).alias("_one"), value, (F.round(F.col("v") * 1000) + 1).cast("long").alias("n"))
+    return sampling.inverse_cdf(rows.withColumn("_one", F.lit(1)), ["_one"], F.concat_ws("#", F.lit(value), key), w, value).drop("_one")
 
 
 @query()

@@ -57,7 +57,10 @@ def read_domain(path: str, columns: list[str]) -> dict[str, int]:
     """attr -> size from a domain file {attr: {"size": n}}, in the order of columns."""
     with open(path, encoding="utf-8") as f:
         found = json.load(f)
-    return {c: int(found[c]["size"]) for c in columns if c in found}
+    missing = [c for c in columns if c not in found]
+    if missing:
+        raise ValueError(f"{path} has no domain for {missing}")
+    return {c: int(found[c]["size"]) for c in columns}
 
 
 def write_domain(path: str, domain: dict[str, int], continuous: set[str] = frozenset()) -> None:
@@ -96,4 +99,4 @@ def row_counts(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES
 def error_lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbers behind "error:" in log files."""
     found = F.regexp_extract("value", r"error:\s*([-+0-9.eE]+)", 1)
-    return spark.read.text(path).select(F.try_to_number(found, F.lit("S999999.999999")).cast("double").alias("error")).filter("error is not null")
+    return spark.read.text(path).select(found.try_cast("double").alias("error")).filter("error is not null")

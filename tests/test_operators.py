@@ -197,7 +197,7 @@ def test_sources(spark, tmp_path):
     tables.write_csv(df, str(tmp_path / "csv"))
     assert tables.read_csv(spark, str(tmp_path / "csv"), "K_KEY int, v string").count() == 2
     tables.write_domain(str(tmp_path / "d.json"), {"a": 3, "b": 5}, {"b"})
-    assert tables.read_domain(str(tmp_path / "d.json"), ["b", "a", "zz"]) == {"b": 5, "a": 3}
+    assert tables.read_domain(str(tmp_path / "d.json"), ["b", "a"]) == {"b": 5, "a": 3}
     assert json.loads((tmp_path / "d.json").read_text())["b"]["type"] == "continuous"
     (tmp_path / "log").write_text("error: 0.25\nother\nerror: 3\n")
     assert sorted(r.error for r in tables.error_lines(spark, str(tmp_path / "log")).collect()) == [0.25, 3.0]
@@ -217,3 +217,59 @@ def test_stream_marginal(spark, tmp_path):
     q = live.start(live.windowed_marginal(events, ["k"], "ts", "1 minute", "1 minute"), "live_marginal", str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [(r.k, r.v) for r in spark.table("live_marginal").collect()] == [("a", 2)]
+
+
+def test_match_counts_columns_not_signs(spark):
+    from kinweave.operators.match import match
+
+    a = spark.createDataFrame([(1, "x=y=z", "/*"), (2, "/", "q")], "ka int, u string, v string")
+    b = spark.createDataFrame([(7, "x=y=z", "other"), (8, "*", "q")], "kb int, u string, v string")
+    assert sorted(map(tuple, match(a, b, ["u", "v"], "ka", "kb").collect())) == [(1, 7, 1), (2, 8, 1)]
+
+
+def test_composition_tells_values_with_separators_apart(spark):
+    from kinweave.operators.marginals import composition
+
+    df = spark.createDataFrame([(1, "Ax1,B"), (2, "A"), (2, "B")], "g int, v string")
+    assert sorted(r.n for r in composition(df, "g", "v").collect()) == [1, 1]
+
+
+def test_fill_without_weights_deals_evenly(spark):
+    from kinweave.operators.sampling import conditional_fill
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "k int, c string")
+    w = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.0)], "c string, val string, v double")
+    got = {r.k: r.val for r in conditional_fill(rows, ["c"], "k", w, "val").collect()}
+    assert got[1] == "x" and sorted([got[2], got[3]]) == ["x", "y"]
+
+
+def test_error_lines_read_any_number(spark, tmp_path):
+    from kinweave.sources.tables import error_lines
+
+    (tmp_path / "log").write_text("error: 0.5\nerror: 1.2e-05\nerror: 3e-4\nerror: 12345678.5\nno\nerror: -\n")
+    assert sorted(r.error for r in error_lines(spark, str(tmp_path / "log")).collect()) == [1.2e-05, 3e-4, 0.5, 12345678.5]
+
+
+def test_domain_of_a_column_that_the_file_lacks(tmp_path):
+    import pytest
+
+    from kinweave.sources.tables import read_domain, write_domain
+
+    write_domain(str(tmp_path / "d"), {"a": 3})
+    assert read_domain(str(tmp_path / "d"), ["a"]) == {"a": 3}
+    with pytest.raises(ValueError):
+        read_domain(str(tmp_path / "d"), ["a", "b"])
+
+
+def test_seeds_change_draws(spark):
+    from pyspark.sql import functions as F
+
+    from kinweave.operators import draws
+
+    df = spark.range(200).withColumn("w", F.col("id") % 2)
+    one = [{r.id for r in draws.fixed_subset(df, "id", 20, s).collect()} for s in (1, 1, 2)]
+    assert one[0] == one[1] != one[2] and len(one[2]) == 20
+    assert all(r.w for r in draws.weighted_subset(df, "id", F.col("w"), 30, 3).collect())
+    sizes = sorted(r["count"] for r in draws.near_equal_parts(df, "id", 7, 5).groupBy("part").count().collect())
+    assert sizes[-1] - sizes[0] <= 1 and sum(sizes) == 200
+    assert [r.n for r in draws.numbered_rows(df, [-F.col("id")], "n").orderBy("id").collect()] == list(range(199, -1, -1))
