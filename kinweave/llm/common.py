@@ -7,6 +7,7 @@ LONG bytes are hashed by BLAKE2b. Hashes are the same on every executor.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import tempfile
@@ -113,6 +114,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give memory that arrays no longer use back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def pieces(batches: Iterable[pa.RecordBatch], limit: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of text, or one row: memory stays bounded."""
     for batch in batches:
@@ -125,6 +135,7 @@ def pieces(batches: Iterable[pa.RecordBatch], limit: int = 1 << 21, column: str
             end = max(start + 1, int(np.searchsorted(size, done + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+            release()
 
 
 # ---- hashing -----------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from kinweave.llm.common import U, pieces, text_bytes
+from kinweave.llm.common import U, pieces, release, text_bytes
 
 #: Bytes of text in a chunk, and bytes of packed keys meant for a bucket.
 CHUNK, BUCKET = 4 << 20, 16 << 20
@@ -105,6 +105,7 @@ def exchange(docs: DataFrame, buckets: int, keys_of: Callable, answer: Callable,
             )
 
     def compare(table: pa.Table) -> pa.Table:
+        release()
         homes = table.filter(pa.compute.is_valid(table["home"]))
         sent = table.filter(pa.compute.is_valid(table["keys"]))
         raw = sent["keys"].to_pylist()

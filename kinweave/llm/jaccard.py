@@ -96,7 +96,7 @@ def shared_counts(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             }
         )
 
-    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_shingles long, n_shared long, sign1 long, sign2 long", across_rows=True, exact=False)
+    return exchange(docs, buckets, keys_of, answer, "doc_id long, key long, n_shingles long, n_shared long, sign1 long, sign2 long", across_rows=True, exact=False, chunk_bytes=2 << 20)
 
 
 def parities(keys: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

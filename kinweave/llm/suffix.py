@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import U, Scratch, bare, mix, pieces, row_hashes, row_of, text_bytes, text_volume
+from kinweave.llm.common import U, Scratch, bare, mix, pieces, release, row_hashes, row_of, text_bytes, text_volume
 from kinweave.llm.common import letters as byte_letters
 from kinweave.llm.exchange import buckets_for, exchange
 
@@ -32,6 +33,9 @@ AROUND = REACH + MATCH
 CHUNK = 1 << 20
 #: Surroundings sorted at a time within a bucket (more if one anchor has more).
 SLICE = 4_000
+#: Surroundings are compared in so many parts, told apart by the anchor's hash, one after the other: what
+#: one part sends is given back before the next.
+PARTS = 2
 #: Anchors with about so many different surroundings are compared window by window, outside the buckets.
 HOT = 16_000
 
@@ -322,8 +326,8 @@ def _hot_places(windows: DataFrame) -> DataFrame:
     return windows.join(least, "window").filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
 
 
-def _covered(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """By document with anchors: runs of bytes that go for the windows of anchors that aren't hot."""
+def _covered(docs: DataFrame, buckets: int, hot: np.ndarray, part: int) -> DataFrame:
+    """By document with anchors: runs of bytes that go for the windows of anchors of a part that aren't hot."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     shift = U(64 - int(buckets).bit_length() + 1)
     wire = "bucket int, chunk long, home list, docs binary, edges binary, around binary".replace("home list", "home array<binary>")
@@ -341,7 +345,7 @@ def _covered(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             local = np.concatenate(places).astype(np.int64)
             at = local + offsets[row]
             key = anchor_hashes(data, at)
-            cold = ~_is_in(key, shared.value)
+            cold = ~_is_in(key, shared.value) & (key % U(PARTS) == U(part))
             row, local, at, key = row[cold], local[cold], at[cold], key[cold]
             n = np.bincount(row, minlength=len(n))
             around, before, after = _surroundings(data, offsets, at, row)
@@ -365,6 +369,7 @@ def _covered(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             )
 
     def compare(table: pa.Table) -> pa.Table:
+        release()
         homes, sent = table.filter(pa.compute.is_valid(table["home"])), table.filter(pa.compute.is_valid(table["docs"]))
         raw = sent["docs"].to_pylist()
         get = lambda n, t: np.frombuffer(b"".join(sent[n].to_pylist()), t)
@@ -421,9 +426,12 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, hot: int = HOT, sample
     some = docs.filter("doc_id is not null")
     every = scratch.save(_shared_anchors(some, buckets_for(2 * volume)))
     anchored = every.filter("anchors is not null").select("doc_id", "key", "anchors").dropDuplicates(["doc_id", "key"])
-    left = some.join(anchored, ["doc_id", "key"])
+    left = scratch.save(some.join(anchored, ["doc_id", "key"]))
     many = hot_anchors(some, hot, sample)
-    found = scratch.save(_covered(left, 4 * buckets_for(2 * volume), many).filter("covered is not null").dropDuplicates(["doc_id", "key"]))
+    parts = [scratch.save(_covered(left, 4 * buckets_for(2 * volume), many, k).filter("covered is not null").dropDuplicates(["doc_id", "key"])) for k in range(PARTS)]
+    scratch.drop(left)
+    found = scratch.save(reduce(DataFrame.unionByName, parts).groupBy("doc_id", "key").agg(F.collect_list("covered").alias("covered")))
+    del left
     if len(many):
         places = scratch.save(_hot_places(scratch.save(_hot_windows(some, many))))
         found = found.join(places, ["doc_id", "key"], "full")
@@ -437,7 +445,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, hot: int = HOT, sample
             data, offsets = text_bytes(batch.column("text"))
             kept, spans = [], []
             for r, (x, more) in enumerate(zip(batch.column("covered").to_pylist(), batch.column("places").to_pylist(), strict=True)):
-                runs, places = np.frombuffer(x or b"", np.int32), np.array(more or [], np.int64)
+                runs, places = np.frombuffer(b"".join(x or []), np.int32), np.array(more or [], np.int64)
                 step = np.zeros(offsets[r + 1] - offsets[r] + 1, np.int32)
                 np.add.at(step, np.concatenate([runs[::2], places]), 1)
                 np.add.at(step, np.concatenate([runs[1::2], places + MATCH]), -1)
