@@ -1,17 +1,19 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Generators propose spans with high recall. Those that pass the format's own test (the base spans)
-stay. The others are scored by boosted trees on format and context features; the trees are fitted by
-MLlib on a small generated set and then written out as one SQL expression, so scoring needs no UDF.
+stay. The others are scored by boosted trees on format and context features. The trees are fitted by
+MLlib on generated candidates that are put into passages of the corpus at hand; a logistic fit on held-back
+ones turns their margin into a probability (Platt), and thresholds are set on further ones. All of it is
+written out as one SQL expression, so scoring needs no UDF.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import bare
@@ -28,25 +30,31 @@ BASE = {
 }
 #: A character without which a pattern can't match, looked for first.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-#: Generators beside the base ones: spelled-out addresses, colon-separated addresses, numbers without
-#: a country code, dotted card numbers.
+_AT, _DOT = r"\x20?[\[({<]\x20?at\x20?[\])}>]\x20?", r"(?:\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?|\x20dot\x20)"
+#: Generators beside the base ones: addresses with at or dot spelled out, in brackets or set apart by
+#: spaces; colon-separated addresses, short forms too; numbers without a country code; dotted card numbers.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,5}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "email": rf"(?i)(?<!{_LOCAL}){_LOCAL}++(?:{_AT}{_HOST}++(?:(?:{_DOT}|\.){_HOST}++)++|(?:\x20at\x20|@){_HOST}++(?:{_DOT}{_HOST}++)++|\x20@\x20{_HOST}++(?:(?:{_DOT}|\x20?\.){_HOST}++)++)",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9.])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9.])",
-    "phone": r"(?<![0-9+.,-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])",
+    "phone": r"(?<![0-9+.,-])\(?[0-9]{2,5}\)?[\x20./-][0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])",
 }
-#: Context words, looked for just before a candidate.
+#: Context words, looked for in the CONTEXT_CHARS characters before a candidate.
 CONTEXT = {
-    "contact": r"(?i)\b(?:call|phone|tel|telephone|mobile|cell|fax|dial|reach|text|contact|whatsapp|e-?mail|mail|write|address)\b",
-    "payment": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment|pay)\b",
-    "network": r"(?i)\b(?:ip|ipv6|host|server|login|client|remote|address)\b",
-    "other": r"(?i)\b(?:order|invoice|isbn|version|page|pages|date|dated|part|serial|ref|item|total|table|score|code|id|vol|no)\b",
+    "contact": r"(?i)\b(?:call|phone|tel|telephone|telefon|mobile|cell|fax|dial|reach|text|contact|kontakt|whatsapp|e-?mail|mail|write|address|llame|appelez)\b",
+    "payment": r"(?i)\b(?:card|karte|carte|tarjeta|visa|mastercard|amex|credit|debit|payment|pay)\b",
+    "network": r"(?i)\b(?:ip|ipv6|host|server|login|client|remote|address|ping)\b",
+    "other": r"(?i)\b(?:order|invoice|isbn|version|page|pages|date|dated|part|serial|ref|item|total|table|score|code|id|vol|no|time|at)\b",
 }
-FEATURES = ("kind", "loose", "n_chars", "n_digits", "n_seps", "bracket", "dots", "luhn", "contact", "payment", "network", "other", "letter_before", "letter_after", "year", "tld")
-TOP_LEVEL = r"(?i)(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"
-#: Rows of the generated set the trees are fitted on, and the precision thresholds are set for.
-GENERATED, PRECISION = 2400, 0.99
+CONTEXT_CHARS = 24
+FEATURES = (
+    "kind", "loose", "n_chars", "n_digits", "n_seps", "bracket", "dots", "luhn", "contact", "payment", "network", "other", "letter_before", "letter_after", "year", "tld",
+    "colons", "short_form", "hex_letters", "valid_v6", "spelled_dot",
+)
+TOP_LEVEL = r"(?i)(?<![A-Za-z0-9])(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info)$"
+#: Generated candidates, corpus passages they are put into, words of a passage on each side, and the
+#: share of personal data among held-back candidates that each kind's threshold is set for.
+GENERATED, HOSTS, HOST_WORDS, PRECISION = 4800, 400, 8, 0.99
 
 
 def _digits(value: Column) -> Column:
@@ -88,7 +96,7 @@ def _spans(kind: str, loose: bool, text: Column) -> Column:
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
     all_of = F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    need = NEEDS.get(kind) if not loose else {"email": "dot", "ip": ":", "card": "."}.get(kind)
+    need = NEEDS.get(kind) if not loose else {"ip": ":", "card": "."}.get(kind)
     here = text.rlike(pattern) if need is None else F.contains(text, F.lit(need)) & text.rlike(pattern)
     return F.when(here, all_of).otherwise(empty)
 
@@ -103,7 +111,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def features(c: Column, text: Column) -> Column:
-    before = F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24)))
+    before = F.substring(text, F.greatest(c["start"] - (CONTEXT_CHARS - 1), F.lit(1)), F.least(c["start"], F.lit(CONTEXT_CHARS)))
     after = F.substring(text, c["end"] + 1, F.lit(1))
     value = c["value"]
     n = F.length(_digits(value))
@@ -114,6 +122,8 @@ def features(c: Column, text: Column) -> Column:
         **{name: before.rlike(pattern) for name, pattern in CONTEXT.items()},
         "letter_before": before.rlike(r"\p{L}$"), "letter_after": after.rlike(r"^\p{L}"),
         "year": value.rlike(r"^\(?(?:19|20)[0-9]{2}[\x20.)-]"), "tld": value.rlike(TOP_LEVEL),
+        "colons": F.length(F.regexp_replace(value, "[^:]", "")), "short_form": F.contains(value, F.lit("::")), "hex_letters": F.length(F.regexp_replace(value, "[^A-Fa-f]", "")),
+        "valid_v6": value.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | (value.rlike("^[^:]*(?::[^:]+)*::(?:[^:]+:)*[^:]*$") & value.rlike("[0-9A-Fa-f]{2}")), "spelled_dot": value.rlike("(?i)dot"),
     }
     return F.struct(*[got[f].cast("double").alias(f) for f in FEATURES])
 
@@ -121,9 +131,20 @@ def features(c: Column, text: Column) -> Column:
 # ---- the generated set and the trees -----------------------------------------------------------
 
 
-def generated(spark: SparkSession, rows: int = GENERATED) -> DataFrame:
-    """doc_id, text, label: one candidate in a sentence, from templates for personal data (1) and for
-    look-alikes (0). Words and digits come from hashes, so the set is the same everywhere."""
+def passages(docs: DataFrame, hosts: int = HOSTS, words: int = HOST_WORDS) -> DataFrame:
+    """host (from 0), before, after: words around the middle of at most `hosts` texts, those with the
+    smallest hashes. Candidates for the fit are put between them; nothing is labelled by the corpus."""
+    w = F.split("text", r"[\x20\x09-\x0D]+")
+    found = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text")).limit(hosts).withColumn("w", w).withColumn("mid", (F.size("w") / 2).cast("int"))
+    cut = lambda a: F.array_join(F.slice("w", F.greatest(a, F.lit(1)), F.lit(words)), " ")
+    found = found.select(cut(F.col("mid") + 1 - words).alias("before"), cut(F.col("mid") + 1).alias("after"))
+    return found.withColumn("host", F.row_number().over(Window.orderBy("before", "after")) - 1)
+
+
+def generated(docs: DataFrame, rows: int = GENERATED) -> DataFrame:
+    """doc_id, text, label, at: one candidate in a passage of the corpus (at its place `at`), from templates
+    for personal data (1) and for look-alikes (0). Words and digits come from hashes, so the set is the
+    same for the same corpus. Without any text the passages are empty."""
 
     def number(k: int, seed: int) -> Column:
         return F.lpad(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(10**k)).cast("string"), k, "0")
@@ -134,27 +155,41 @@ def generated(spark: SparkSession, rows: int = GENERATED) -> DataFrame:
     def pick(seed: int, *options: str) -> Column:
         return F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(len(options))) + 1).cast("int"))
 
+    def joined(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
     sep, n3, m3, n4 = pick(1, "-", " ", "."), number(3, 2), number(3, 3), number(4, 4)
-    block = lambda s: F.concat(number(4, s), sep, number(4, s + 1), sep, number(4, s + 2), sep, number(4, s + 3))
-    call = pick(5, "call", "phone:", "tel", "mobile", "reach me on", "fax", "please text", "contact us at")
-    pay = pick(6, "card", "visa card", "credit card no", "pay with", "mastercard")
+    block = lambda s: joined(number(4, s), sep, number(4, s + 1), sep, number(4, s + 2), sep, number(4, s + 3))
+    call = pick(5, "call", "phone:", "tel", "mobile", "reach me on", "fax", "please text", "contact us at", "Telefon", "tel.:")
+    pay = pick(6, "card", "visa card", "credit card no", "pay with", "mastercard", "Karte", "carte")
     plain = pick(7, "order", "invoice", "isbn", "version", "pages", "dated", "part", "serial", "ref", "item", "score", "table")
-    at, dot = pick(8, " at ", " [at] ", " (at) ", "(at)"), pick(9, " dot ", " [dot] ", "(dot)")
-    hexes = F.concat_ws(":", *[F.substring(F.hex(F.xxhash64("doc_id", F.lit(20 + k))), 1, 4) for k in range(8)])
+    boxed, boxed_dot = pick(8, " [at] ", " (at) ", "(at)", "[AT]", "{at}"), pick(9, " [dot] ", "(dot)", " (dot) ", "[DOT]")
+    dot, tld = F.when(F.xxhash64("doc_id", F.lit(22)) % 2 == 0, F.lit(" dot ")).otherwise(boxed_dot), pick(12, "com", "org", "net", "de", "fr", "es")
+    hexed = lambda k: F.lower(F.substring(F.hex(F.xxhash64("doc_id", F.lit(20 + k))), 1, 4))
+    net = pick(13, "server", "login from", "host", "ip", "client", "ping", "seen")
     templates = [
-        (1, F.concat(call, F.lit(" "), n3, sep, m3, sep, n4)), (1, F.concat(call, F.lit(" ("), n3, F.lit(") "), m3, F.lit("-"), n4)),
-        (1, F.concat(word(10), at, word(11), dot, pick(12, "com", "org", "net", "de"))), (1, F.concat(F.lit("write to "), word(10), at, word(11), dot, pick(12, "com", "org", "net"))),
-        (1, F.concat(pick(13, "server", "login from", "host", "ip", "client"), F.lit(" "), hexes)), (1, F.concat(pay, F.lit(" "), block(30))),
-        (0, F.concat(plain, F.lit(" "), n3, sep, m3, sep, n4)), (0, F.concat(word(14), F.lit(" "), n3, sep, m3, sep, n4)),
-        (0, F.concat(plain, F.lit(" "), block(40))), (0, F.concat(word(15), F.lit(" "), block(50))),
-        (0, F.concat(plain, F.lit(" "), pick(16, "19", "20"), number(2, 17), F.lit("-0"), number(2, 18), F.lit("-"), number(2, 19))),
-        (0, F.concat(word(10), F.lit(" at "), word(11), F.lit(" dot "), word(12))), (0, F.concat(plain, F.lit(" "), number(3, 60), F.lit("."), number(3, 61), F.lit("."), number(3, 62), F.lit("."), F.lit("9"), number(2, 63))),
+        (1, joined(call, " ", n3, sep, m3, sep, n4)), (1, joined(call, " (", n3, ") ", m3, "-", n4)), (1, joined(call, " 0", number(2, 23), pick(24, " ", "-", "/"), m3, " ", n4)),
+        (1, joined(word(10), pick(25, " at ", "@"), word(11), dot, tld)), (1, joined("write to ", word(10), " at ", word(11), " dot ", tld)),
+        (1, joined(word(10), boxed, word(11), F.when(F.xxhash64("doc_id", F.lit(26)) % 2 == 0, F.lit(".")).otherwise(boxed_dot), tld)), (1, joined(word(10), " @ ", word(11), pick(27, ".", " dot "), tld)),
+        (1, joined(net, " ", F.concat_ws(":", *map(hexed, range(8))))), (1, joined(net, " ", hexed(0), ":", hexed(1), "::", hexed(2))), (1, joined(net, " fe80::", hexed(0), ":", hexed(1), ":", hexed(2), ":", hexed(3))),
+        (1, joined(pay, " ", block(30))),
+        (0, joined(plain, " ", n3, sep, m3, sep, n4)), (0, joined(word(14), " ", n3, sep, m3, sep, n4)),
+        (0, joined(plain, " ", block(40))), (0, joined(word(15), " ", block(50))),
+        (0, joined(plain, " ", pick(16, "19", "20"), number(2, 17), "-0", number(2, 18), "-", number(2, 19))),
+        (0, joined(word(10), " at ", word(11), " dot ", word(12))), (0, joined(word(10), " @ ", word(11), ".", word(12))),
+        (0, joined(plain, " ", number(3, 60), ".", number(3, 61), ".", number(3, 62), ".9", number(2, 63))),
+        (0, joined(pick(28, "at ", "time ", "on ", ""), number(2, 64), ":", number(2, 65), ":", number(2, 66))), (0, joined(pick(29, "a", "std ", "x "), "::", pick(31, "b", "d", "fa"))), (0, joined(number(1, 67), ":", number(1, 68), ":", number(2, 69), ":", number(2, 74))),
     ]
     text, label = F.lit(None), F.lit(None)
     for k, (y, t) in enumerate(templates):
         here = F.col("doc_id") % len(templates) == k
         text, label = F.when(here, t).otherwise(text), F.when(here, y).otherwise(label)
-    return spark.range(rows).withColumnRenamed("id", "doc_id").select("doc_id", F.concat(word(70), F.lit(" "), word(71), F.lit(" "), text, F.lit(" "), word(72)).alias("text"), label.cast("double").alias("label"))
+    hosts = passages(docs).cache()
+    n = max(1, hosts.count())
+    made = docs.sparkSession.range(rows).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("made"), label.cast("double").alias("label"))
+    placed = made.withColumn("host", F.pmod(F.xxhash64("doc_id"), F.lit(n))).join(F.broadcast(hosts), "host", "left")
+    before = F.concat(F.coalesce("before", F.lit("")), F.lit(" "))
+    return placed.select("doc_id", F.concat(before, F.col("made"), F.lit(" "), F.coalesce("after", F.lit(""))).alias("text"), "label", F.length(before).alias("at"), F.length("made").alias("made"))
 
 
 def _tree_sql(node, weight: float) -> str:
@@ -165,32 +200,46 @@ def _tree_sql(node, weight: float) -> str:
 
 
 class Booster:
-    """Boosted trees as one SQL expression over a struct f of FEATURES, and a threshold by kind."""
+    """Boosted trees and their calibration as one SQL expression over a struct f of FEATURES, a probability
+    threshold by kind, and what held-back candidates say: {kind: (precision, recall)}."""
+
+    def __init__(self, score: str, thresholds: dict[int, float], measured: dict[str, tuple[float, float]], model=None):
+        self.score, self.thresholds, self.measured, self.model = score, thresholds, measured, model
+
 
-    def __init__(self, margin: str, thresholds: dict[int, float]):
-        self.margin, self.thresholds = margin, thresholds
+def labelled(docs: DataFrame, rows: int = GENERATED) -> DataFrame:
+    """doc_id, label, f: the features of the generated candidates of `generated`, not of the passages'
+    own."""
+    one = candidates(generated(docs, rows)).select("row.*", F.explode(F.filter("candidates", lambda c: ~c["base"])).alias("c"))
+    mine = (F.col("c.start") >= F.col("at")) & (F.col("c.end") <= F.col("at") + F.col("made"))
+    return one.filter(mine).select("doc_id", "label", features(F.col("c"), F.col("text")).alias("f"))
 
 
-def fit(spark: SparkSession, rows: int = GENERATED, precision: float = PRECISION, trees: int = 12, depth: int = 4) -> Booster:
-    """Trees fitted on three quarters of the generated set; on the last quarter, each kind's
-    threshold is the lowest score at which the share of personal data is at least `precision`."""
-    one = candidates(generated(spark, rows)).select("row.doc_id", "row.label", F.explode(F.filter("candidates", lambda c: ~c["base"])).alias("c"), "text")
-    one = one.select("doc_id", "label", features(F.col("c"), F.col("text")).alias("f")).repartition(1).cache()
-    flat = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(one.filter("doc_id % 4 <> 3").select("label", "f.*"))
+def fit(docs: DataFrame, rows: int = GENERATED, precision: float = PRECISION, trees: int = 16, depth: int = 5) -> Booster:
+    """Trees fitted on three fifths of the generated candidates; on a fifth, their margin is turned into a
+    probability; on the last, each kind's threshold is the lowest probability of a half or more at which the
+    share of personal data is at least `precision`. The generated set is of a fixed size, whatever the
+    corpus."""
+    one = labelled(docs, rows).repartition(1).cache()
+    flat = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(one.filter("doc_id % 5 < 3").select("label", "f.*"))
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, minInstancesPerNode=5).fit(flat)
     margin = " + ".join(f"({_tree_sql(t._call_java('rootNode'), w)})" for t, w in zip(model.trees, model.treeWeights, strict=True))
-    held = one.filter("doc_id % 4 = 3").selectExpr("cast(f.kind as int) as kind", "label", f"{margin} as m").collect()
+    scored = VectorAssembler(inputCols=["m"], outputCol="x").transform(one.filter("doc_id % 5 = 3").selectExpr("label", f"{margin} as m"))
+    platt = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3).fit(scored)
+    score = f"1D / (1D + exp(-({float(platt.coefficients[0])!r}D * ({margin}) + ({float(platt.intercept)!r}D))))"
+    held = one.filter("doc_id % 5 = 4").selectExpr("cast(f.kind as int) as kind", "label", f"{score} as p").collect()
     one.unpersist()
-    thresholds = {}
-    for kind in range(len(KINDS)):
-        scored = sorted(((r.m, r.label) for r in held if r.kind == kind), reverse=True)
-        good, best = 0.0, None
-        for k, (m, y) in enumerate(scored, 1):
+    thresholds, measured = {}, {}
+    for kind, name in enumerate(KINDS):
+        rated = sorted(((r.p, r.label) for r in held if r.kind == kind), reverse=True)
+        good, best, right, taken = 0.0, None, 0.0, 0
+        for k, (p, y) in enumerate(rated, 1):
             good += y
-            if good >= precision * k and (k == len(scored) or scored[k][0] < m):
-                best = m
+            if p >= 0.5 and good >= precision * k and (k == len(rated) or rated[k][0] < p):
+                best, right, taken = p, good, k
         thresholds[kind] = float("inf") if best is None else best
-    return Booster(margin, thresholds)
+        measured[name] = (right / taken if taken else 0.0, right / good if good else 0.0)
+    return Booster(score, thresholds, measured, model)
 
 
 # ---- the operator ------------------------------------------------------------------------------
@@ -203,7 +252,7 @@ def _overlap(a: Column, b: Column) -> Column:
 def locate(docs: DataFrame, booster: Booster) -> DataFrame:
     """row, text, base and spans; see `find`."""
     three = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
-    limits = F.array(*[F.lit(booster.thresholds[k]) for k in range(len(KINDS))])
+    limits = F.array(*[F.lit(float(booster.thresholds[k])) for k in range(len(KINDS))])
 
     def better(o: Column, c: Column) -> Column:
         place = lambda x: F.struct(x["start"], x["end"], x["kind"])
@@ -212,7 +261,7 @@ def locate(docs: DataFrame, booster: Booster) -> DataFrame:
     df = candidates(docs)
     df = df.select("row", "text", F.transform(F.filter("candidates", lambda c: c["base"]), three).alias("base"), F.filter("candidates", lambda c: ~c["base"]).alias("more"))
     df = df.withColumn("more", F.transform("more", lambda c: F.struct(three(c).alias("span"), features(c, F.col("text")).alias("f"))))
-    df = df.withColumn("more", F.expr(f"transform(more, c -> struct(c.span.kind as kind, c.span.start as start, c.span.end as end, transform(array(c.f), f -> {booster.margin})[0] as score))"))
+    df = df.withColumn("more", F.expr(f"transform(more, c -> struct(c.span.kind as kind, c.span.start as start, c.span.end as end, transform(array(c.f), f -> {booster.score})[0] as score))"))
     df = df.withColumn("more", F.filter("more", lambda c: (c["score"] >= F.get(limits, c["kind"])) & ~F.exists("base", lambda b: _overlap(b, c))))
     df = df.withColumn("more", F.filter("more", lambda c: ~F.exists("more", lambda o: better(o, c))))
     return df.select("row", "text", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", F.transform("more", three))).alias("spans"))
@@ -223,10 +272,13 @@ def find(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
     exclusive, sorted by kind, then start. Spans are the base ones and those candidates whose score
     reaches their kind's threshold and that overlap no base span and no better candidate.
 
-    Null counts as empty and has no spans. Every row is handled alone: nothing is shuffled, and
-    repeated rows give equal rows. An empty table gives none.
+    Null counts as empty and has no spans. Texts are read whole, however long; of candidates with equal
+    scores the first by place is kept. Every row is handled alone: nothing is shuffled but the few rows of
+    the fit, and repeated rows give equal rows. Other columns are ignored, whatever their names. An empty
+    table gives none.
     """
-    return locate(bare(docs, "text"), booster or fit(docs.sparkSession)).select("row.doc_id", "text", "base", "spans")
+    docs = bare(docs, "text")
+    return locate(docs, booster or fit(docs)).select("row.doc_id", "text", "base", "spans")
 
 
 def spelled(spans: Column) -> Column:
@@ -243,7 +295,7 @@ def summary(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
     """docs with each span of text replaced by [KIND]; of spans that overlap, the first one's tag
     stands for all. Null texts stay null; other columns pass through."""
-    df, text = locate(docs, booster or fit(docs.sparkSession)), F.col("text")
+    df, text = locate(docs, booster or fit(bare(docs, "text"))), F.col("text")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 

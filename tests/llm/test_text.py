@@ -149,7 +149,31 @@ def base_spans(text):
 
 @pytest.fixture(scope="module")
 def booster(spark):
-    return pii.fit(spark)
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+
+
+def test_pii_score_equals_the_library_and_is_measured(spark, booster):
+    from pyspark.ml.feature import VectorAssembler
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    flat = pii.labelled(docs, 1500).selectExpr("f", "f.*", f"{booster.score} as p")
+    out = booster.model.transform(VectorAssembler(inputCols=list(pii.FEATURES), outputCol="x").transform(flat)).select("p", "rawPrediction").collect()
+    pairs = sorted((r.rawPrediction[1], r.p) for r in out)
+    assert len(pairs) > 1000 and all(a[1] <= b[1] + 1e-9 for a, b in zip(pairs, pairs[1:], strict=False))
+    logit = lambda p: math.log(p / (1 - p))
+    (m0, p0), (m1, p1) = pairs[0], pairs[-1]
+    for m, p in pairs[::50]:  # the probability is one logistic curve over the library's own margin
+        assert logit(p) == pytest.approx(logit(p0) + (logit(p1) - logit(p0)) * (m - m0) / (m1 - m0), abs=1e-6)
+    assert all(precision >= 0.97 and recall >= 0.9 for precision, recall in booster.measured.values()), booster.measured
+
+
+def test_pii_finds_planted_forms(spark, booster):
+    planted = ["ping fe80::1ff:fe23:4567:890a ok", "host 2001:db8::ff00 is up", "reach bob [at] mail (dot) example [dot] com soon", "ana(at)correo.es", "call (212) 555-0187 or", "visa card 4000.1234.5678.9010 to"]
+    clean = ["at 12:34:56 it", "std::vector and a::b here", "look at this dot there", "order 4000.1234.5678.9010 to", "dated 2024-05-06 then", "meet @ noon. Then go"]
+    df = spark.createDataFrame(list(enumerate(planted + clean)), "doc_id long, text string")
+    n = {r.doc_id: len(r.spans) for r in pii.find(df, booster).collect()}
+    assert [n[k] for k in range(len(planted))] == [1] * len(planted)
+    assert [n[k + len(planted)] for k in range(len(clean))] == [0] * len(clean)
 
 
 def test_pii(spark, booster, empty):
