@@ -77,6 +77,7 @@ class Scratch:
         """Let Spark's cleaner drop the shuffle files of finished jobs. Spark's event queue refers to the
         last query until another one ends, so a query without a job goes first."""
         gc.collect()
+        release()
         self.spark.sql("SELECT 1").collect()
         self.spark._jvm.System.gc()
 

@@ -132,12 +132,14 @@ def features(c: Column, text: Column) -> Column:
 
 
 def passages(docs: DataFrame, hosts: int = HOSTS, words: int = HOST_WORDS) -> DataFrame:
-    """host (from 0), before, after: words around the middle of at most `hosts` texts, those with the
-    smallest hashes. Candidates for the fit are put between them; nothing is labelled by the corpus."""
-    w = F.split("text", r"[\x20\x09-\x0D]+")
-    found = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text")).limit(hosts).withColumn("w", w).withColumn("mid", (F.size("w") / 2).cast("int"))
+    """host (from 0), before, after: words around the middle of at most `hosts` texts, those whose
+    doc_ids have the smallest hashes. Candidates for the fit are put between them; nothing is labelled by the corpus."""
+    # texts stay where they are read: the hashes' limit comes first, from doc_id alone
+    h = F.xxhash64("doc_id")
+    upto = docs.select(h.alias("h")).orderBy("h").limit(hosts).agg(F.max("h")).first()[0]
+    found = docs.filter((h <= F.lit(upto)) & (F.length("text") > 0)).withColumn("w", F.split("text", r"[\x20\x09-\x0D]+")).withColumn("mid", (F.size("w") / 2).cast("int"))
     cut = lambda a: F.array_join(F.slice("w", F.greatest(a, F.lit(1)), F.lit(words)), " ")
-    found = found.select(cut(F.col("mid") + 1 - words).alias("before"), cut(F.col("mid") + 1).alias("after"))
+    found = found.select(cut(F.col("mid") + 1 - words).alias("before"), cut(F.col("mid") + 1).alias("after")).orderBy("before", "after").limit(hosts)
     return found.withColumn("host", F.row_number().over(Window.orderBy("before", "after")) - 1)
 
 
@@ -210,12 +212,13 @@ class Booster:
 def labelled(docs: DataFrame, rows: int = GENERATED) -> DataFrame:
     """doc_id, label, f: the features of the generated candidates of `generated`, not of the passages'
     own."""
-    one = candidates(generated(docs, rows)).select("row.*", F.explode(F.filter("candidates", lambda c: ~c["base"])).alias("c"))
+    made = generated(docs, rows).cache()  # a few rows: the templates are not planned again by each pattern
+    one = candidates(made).select("row.*", F.explode(F.filter("candidates", lambda c: ~c["base"])).alias("c"))
     mine = (F.col("c.start") >= F.col("at")) & (F.col("c.end") <= F.col("at") + F.col("made"))
     return one.filter(mine).select("doc_id", "label", features(F.col("c"), F.col("text")).alias("f"))
 
 
-def fit(docs: DataFrame, rows: int = GENERATED, precision: float = PRECISION, trees: int = 16, depth: int = 5) -> Booster:
+def fit(docs: DataFrame, rows: int = GENERATED, precision: float = PRECISION, trees: int = 12, depth: int = 5) -> Booster:
     """Trees fitted on three fifths of the generated candidates; on a fifth, their margin is turned into a
     probability; on the last, each kind's threshold is the lowest probability of a half or more at which the
     share of personal data is at least `precision`. The generated set is of a fixed size, whatever the
