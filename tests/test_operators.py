@@ -273,3 +273,41 @@ def test_seeds_change_draws(spark):
     sizes = sorted(r["count"] for r in draws.near_equal_parts(df, "id", 7, 5).groupBy("part").count().collect())
     assert sizes[-1] - sizes[0] <= 1 and sum(sizes) == 200
     assert [r.n for r in draws.numbered_rows(df, [-F.col("id")], "n").orderBy("id").collect()] == list(range(199, -1, -1))
+
+
+def test_names_of_slots_and_projections():
+    from kinweave.operators import lattice
+
+    flat = ["city", "m3_age", "m5_age", "m3_sex"]
+    assert lattice.members_of(flat) == (["city"], {3: ("age", "sex"), 5: ("age",)})
+    assert lattice.canonical(flat) == {"m5_age": "m0_age", "m3_age": "m1_age", "m3_sex": "m1_sex"}
+    assert lattice.canonical(["m0_age", "m4_age", "m4_sex", "city"]) == {"m0_age": "m0_age", "m4_age": "m1_age", "m4_sex": "m1_sex"}
+    assert len(lattice.placements(["m0_age", "m1_sex"], 4)) == 12 and {"m0_age": "m3_age", "m1_sex": "m0_sex"} in lattice.placements(["m0_age", "m1_sex"], 4)
+    assert lattice.reorderings(["m0_age", "m1_age"]) == [{"m0_age": "m0_age", "m1_age": "m1_age"}, {"m0_age": "m1_age", "m1_age": "m0_age"}]
+    assert lattice.flattened_domain({"city": 3}, {"age": 5}, 2) == {"city": 3, "m0_age": 5, "m1_age": 5}
+    assert lattice.placed(("city", "m0_age"), 3, [frozenset({"city", "m1_age", "m2_age"})]) == [("city", "m1_age"), ("city", "m2_age")]
+    domain = {"a": 2, "b": 3, "c": 50}
+    assert lattice.lattice([("a", "b", "c"), ("a", "b")], domain, 2) == {("a",): ("a", "b"), ("a", "b"): ("a", "b"), ("a", "c"): ("a", "b", "c"), ("b",): ("a", "b"), ("b", "c"): ("a", "b", "c"), ("c",): ("a", "b", "c")}
+
+
+def test_codes_outside_the_lists_and_days(spark):
+    from kinweave.operators import codecs
+
+    df = spark.createDataFrame([(1, "F", 0, 0), (2, "?", 4, 0), (3, None, 3, 5), (4, "P", 2, 9)], "k int, s string, q int, r int")
+    out = df.select("k", codecs.code_of("s", codecs.STATUS).alias("c"), codecs.days_of(F.col("q"), F.col("r")).alias("d"))
+    back = out.select("k", codecs.name_of(F.when(F.col("c") >= 0, F.col("c")), codecs.STATUS).alias("s"), "c", "d")
+    assert sorted(map(tuple, back.collect())) == [(1, "F", 0, 0), (2, None, -1, None), (3, None, -1, 30), (4, "P", 2, 29)]
+    assert sorted(r[0] is None for r in out.select(codecs.name_of(F.col("c"), codecs.STATUS)).collect()) == [False, False, True, True]
+
+
+def test_hierarchy_draws_only_what_exists(spark):
+    from kinweave.operators import codecs
+
+    items = spark.createDataFrame([("d1", "a", 1), ("d1", "b", 2), ("d1", "b", 3), ("d2", "c", 4)], "dep string, aisle string, item int")
+    rows = spark.createDataFrame([(k, "d1" if k % 2 else "d2", k % 5) for k in range(200)], "key int, dep string, index int")
+    out = codecs.fill_hierarchy(rows, "key", items, "dep", "aisle", "item").collect()
+    assert len(out) == 200
+    have = {tuple(r) for r in items.collect()}
+    assert all((r.dep, r.aisle, r.item) in have for r in out)
+    assert all(r.valid == (r.key % 5 < (2 if r.key % 2 else 1)) for r in out)
+    assert all(r.aisle == "ab"[r.key % 5] for r in out if r.valid and r.dep == "d1")
