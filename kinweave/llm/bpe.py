@@ -27,6 +27,13 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 MEMO = 300_000
 #: Pre-tokens of up to so many bytes are kept in the table.
 SHORT = 48
+#: Characters of a text that are split into pre-tokens at a time.
+BLOCK = 1 << 16
+#: A pre-token that ends so many characters before a block's end is final: the pattern looks at no more
+#: than two characters beyond a token.
+AHEAD = 3
+#: Pre-tokens that are encoded at a time.
+TOKENS = 1 << 17
 
 
 def byte_letters() -> list[str]:
@@ -200,22 +207,46 @@ class Transducer:
         self.ids[end : end + len(ids)] = ids
         self.first = np.concatenate([self.first, end + first[1:]])
 
+    def pre_tokens(self, text: str) -> Iterator[list[str | int]]:
+        """A text's pre-tokens in lists of about BLOCK characters; special tokens' strings as ids."""
+        if self.split_special and any(s in text for s in self.special):
+            at = 0
+            for found in self.split_special.finditer(text):
+                yield from _blocks(text[at : found.start()])
+                yield [self.special[found[0]]]
+                at = found.end()
+            yield from _blocks(text[at:])
+        else:
+            yield from _blocks(text)
+
+    def portions(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The ids of all texts, about TOKENS pre-tokens at a time: the first text's number, ids, and n + 1
+        offsets of that text and those after it. A text may go on in the next portion."""
+        tokens: list[str | int] = []
+        count, first = [0], 0
+        for row, text in enumerate(texts):
+            for block in self.pre_tokens(text):
+                tokens += block
+                if len(tokens) >= TOKENS:
+                    yield first, *self._encode(tokens, [*count, len(tokens)])
+                    tokens, count, first = [], [0], row
+            count.append(len(tokens))
+        if len(count) > 1:
+            yield first, *self._encode(tokens, count)
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and n + 1 offsets."""
-        tokens: list[str] = []
-        count = [0]
-        special = {}
-        for text in texts:
-            if self.split_special and any(s in text for s in self.special):
-                for part in self.split_special.split(text):
-                    if part in self.special:
-                        special[len(tokens)] = self.special[part]
-                        tokens.append("")
-                    else:
-                        tokens += PATTERN.findall(part)
-            else:
-                tokens += PATTERN.findall(text)
-            count.append(len(tokens))
+        size, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)]
+        for first, ids, offsets in self.portions(texts):
+            size[first : first + len(offsets) - 1] += np.diff(offsets)
+            parts.append(ids)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(size)])
+
+    def _encode(self, tokens: list[str | int], count: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens in a row, and offsets for the numbers of pre-tokens in `count`."""
+        special = {k: w for k, w in enumerate(tokens) if isinstance(w, int)} if self.special else {}
+        for k in special:
+            tokens[k] = ""
         long = [k for k, w in enumerate(tokens) if len(w) > SHORT]
         far = [tokens[k] for k in long]
         for k in long:
@@ -237,11 +268,67 @@ class Transducer:
         return source[at], total[np.array(count)]
 
     def decode(self, ids: list[int], step: int = 4096) -> str:
-        """Bytes of the ids through an incremental UTF-8 machine; what isn't UTF-8 becomes U+FFFD."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        table = self.bytes_of.__getitem__
-        out = [machine.decode(b"".join(map(table, ids[k : k + step]))) for k in range(0, len(ids), step)]
-        return "".join(out) + machine.decode(b"", True)
+        """The text of the ids, `step` of them at a time."""
+        reader = Reader(self)
+        return "".join([reader.read(ids[k : k + step]) for k in range(0, len(ids), step)]) + reader.end()
+
+
+class Reader:
+    """Incremental decoder of one row of ids: bytes through a UTF-8 machine; what isn't UTF-8 becomes
+    U+FFFD."""
+
+    def __init__(self, machine: Transducer):
+        self.bytes_of = machine.bytes_of.__getitem__
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def read(self, ids: list[int]) -> str:
+        return self.utf8.decode(b"".join(map(self.bytes_of, ids)))
+
+    def end(self) -> str:
+        return self.utf8.decode(b"", True)
+
+
+class Answer:
+    """What is known of one text's ids so far: their number, both digests, and the ids and the decoded
+    text themselves where asked for."""
+
+    def __init__(self, machine: Transducer, whole: bool):
+        self.reader, self.n = Reader(machine), 0
+        self.ids_digest, self.text_digest = hashlib.sha256(), hashlib.sha256()
+        self.ids: list[np.ndarray] | None = [] if whole else None
+        self.text: list[str] = []
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        self.ids_digest.update(ids.astype("<u4").tobytes())
+        self._say(self.reader.read(ids.tolist()))
+        if self.ids is not None:
+            self.ids.append(ids)
+
+    def end(self) -> None:
+        self._say(self.reader.end())
+
+    def _say(self, text: str) -> None:
+        self.text_digest.update(text.encode())
+        if self.ids is not None:
+            self.text.append(text)
+
+
+def _blocks(text: str) -> Iterator[list[str | int]]:
+    """The pattern's matches, block by block, as on the whole text. Matches near a block's end may change
+    with what follows, so they are left to the next block; a match longer than a block gets a larger one."""
+    at, size = 0, BLOCK
+    while at < len(text):
+        end = at + size
+        tokens = PATTERN.findall(text, at, end)
+        stop = min(end, len(text))
+        while end < len(text) and tokens and stop > end - AHEAD:
+            stop -= len(tokens.pop())
+        if tokens:
+            yield tokens
+            at, size = stop, BLOCK
+        else:
+            size *= 2
 
 
 _MACHINES: dict[str, Transducer] = {}
@@ -258,27 +345,32 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Tru
     ids and decoded.
 
     Null counts as empty: no ids, an empty text. Special tokens' strings in a text become the
-    special ids, as the library does by default. Nothing is shuffled; each worker's memory is a
-    batch of at most 1 MB of text (or one text), and a table of bounded size. Repeated rows give
-    equal rows; an empty table gives none.
+    special ids, as the library does by default. Nothing is shuffled. Texts are read in blocks, and digests
+    and the decoder go along with them: a worker holds a batch of at most 1 MB of text (or one text),
+    the ids of TOKENS pre-tokens and a table of bounded size; with `with_ids` the batch's results as
+    well. Repeated rows give equal rows; an empty table gives none; other columns are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in pieces(batches, 1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, offsets = machine.encode_batch(texts)
-            raw, flat = memoryview(ids.astype("<u4").tobytes()), ids.tolist()
-            spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-            decoded = [machine.decode(flat[a:b]) for a, b in spans]
+            answers: list[Answer] = []
+            for first, ids, offsets in machine.portions([t or "" for t in batch.column("text").to_pylist()]):
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    if first + k == len(answers):
+                        answers.append(Answer(machine, with_ids))
+                    answers[first + k].add(ids[a:b])
+            for x in answers:
+                x.end()
             out = {
-                "doc_id": batch.column("doc_id"), "n_tokens": np.diff(offsets),
-                "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in spans],
-                "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
+                "doc_id": batch.column("doc_id"), "n_tokens": [x.n for x in answers],
+                "ids_sha256": [x.ids_digest.hexdigest() for x in answers], "decoded_sha256": [x.text_digest.hexdigest() for x in answers],
             }
             if with_ids:
-                out |= {"ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))), "decoded": decoded}
+                offsets = np.concatenate([[0], np.cumsum([x.n for x in answers])])
+                ids = np.concatenate([part for x in answers for part in x.ids])
+                out |= {"ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))), "decoded": ["".join(x.text) for x in answers]}
             yield pa.RecordBatch.from_pydict(out)
 
     return bare(docs, "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)

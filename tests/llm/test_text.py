@@ -90,6 +90,21 @@ def test_transducer_equals_the_library():
     assert machine.decode(cut, step=1) == t.decode(cut, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("block, tokens", [(1, 1), (4, 3), (7, 50), (1 << 16, 1 << 17)])
+def test_blocks_change_no_token(monkeypatch, block, tokens):
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    monkeypatch.setattr(bpe, "TOKENS", tokens)
+    rng = random.Random(block)
+    parts = ["'", "ll", "l", "'re", "s", " ", "  ", "\n", "\t ", "7", "42", "..", "é", "x" * 30, "\u3000"]
+    texts = [x or "" for x in ODD] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    for text in texts:
+        assert [w for b in bpe._blocks(text) for w in b] == bpe.PATTERN.findall(text)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, machine = Tokenizer.from_file(path), bpe.transducer(path)
+    ids, at = machine.encode_batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_encode_decode(docs, awkward, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = {r.doc_id: r for r in bpe.encode_decode(docs).collect()}
