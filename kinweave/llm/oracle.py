@@ -59,4 +59,17 @@ QUALITY = rf"""
            NOT (base_failed OR 4 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * letter_words < n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept
     FROM b"""
 
-ORACLE_SQL = {"op1_exact_dedup": EXACT, "op2_substring_dedup": SUBSTRING, "op5_ngram_jaccard_join": JACCARD, "op7_suffix_array_dedup": SUFFIX, "op10_quality_rules": QUALITY}
+MIXING = r"""
+    WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+        strlen(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS n, strlen(regexp_replace(coalesce(text, ''), '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS m FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS z, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+    r AS (SELECT *, sum(z) OVER () AS t, coalesce(sum(3 * z) OVER o, 0) AS zs, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS ws FROM s
+        WINDOW o AS (ORDER BY z / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, w * (t - zs) / ws > 3 * z AS stops FROM r),
+    g AS (SELECT source, z, CASE WHEN stops THEN (3 * z)::DOUBLE ELSE (w * (t - coalesce(sum(3 * z) FILTER (stops) OVER (), 0)))::DOUBLE / (sum(w) FILTER (NOT stops) OVER ())::DOUBLE END AS target FROM c),
+    k AS (SELECT *, -ln((('0x' || substr(md5('20#' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / CASE WHEN n > 0 THEN (n + 9 * m)::DOUBLE / (10 * n)::DOUBLE ELSE 0.1::DOUBLE END AS e FROM d),
+    p AS (SELECT doc_id, size, z, target, floor(target + 0.5)::BIGINT AS words, coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY e, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+        FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
+    SELECT doc_id, size, z AS source_size, target, CASE WHEN z = 0 THEN 0 ELSE words // z * size + greatest(0, least(size, words % z - before)) END::BIGINT AS taken FROM p"""
+
+ORACLE_SQL = {"op13_source_mixing": MIXING, "op1_exact_dedup": EXACT, "op2_substring_dedup": SUBSTRING, "op5_ngram_jaccard_join": JACCARD, "op7_suffix_array_dedup": SUFFIX, "op10_quality_rules": QUALITY}

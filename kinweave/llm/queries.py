@@ -10,6 +10,8 @@ from kinweave.llm.exact import exact_dedup
 from kinweave.llm.jaccard import jaccard_classes
 from kinweave.llm.langid import op6_language_id
 from kinweave.llm.lm import op9_lm_scoring
+from kinweave.llm.merkle import audited, tampered_text
+from kinweave.llm.mixing import mix
 from kinweave.llm.oracle import ORACLE_SQL
 from kinweave.llm.packing import pack
 from kinweave.llm.pii import find, summary
@@ -53,4 +55,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op7_suffix_array_dedup, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(read_documents(spark, sf_dir), tampered_text())
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op7_suffix_array_dedup, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules, op12_merkle_manifest, op13_source_mixing)}
