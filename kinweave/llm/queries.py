@@ -16,6 +16,7 @@ from kinweave.llm.oracle import ORACLE_SQL
 from kinweave.llm.packing import pack
 from kinweave.llm.pii import find, summary
 from kinweave.llm.quality import quality
+from kinweave.llm.repair import damage, repair
 from kinweave.llm.substring import substring_dedup
 from kinweave.llm.suffix import suffix_dedup
 
@@ -55,6 +56,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair(damage(conversations), conversations)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(read_documents(spark, sf_dir), tampered_text())
 
@@ -63,4 +69,4 @@ def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op7_suffix_array_dedup, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules, op12_merkle_manifest, op13_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_substring_dedup, op3_best_fit_packing, op4_pii, op5_ngram_jaccard_join, op6_language_id, op7_suffix_array_dedup, op8_bpe_encode_decode, op9_lm_scoring, op10_quality_rules, op11_conversation_repair, op12_merkle_manifest, op13_source_mixing)}

@@ -6,8 +6,11 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from functools import cache
 
-from kinweave.llm import merkle, mixing
+import pytest
+
+from kinweave.llm import merkle, mixing, repair
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, size int"
@@ -151,3 +154,122 @@ def test_mix_of_nothing(spark, empty):
     assert mixing.mix(empty).collect() == []
     blank = spark.createDataFrame([(1, None, None, None, None, "g", 1), (2, " ", None, "a", None, "g", 1)], SCHEMA)
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in mixing.mix(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+# ---- conversation repair -----------------------------------------------------------------------
+
+TURNS = "conv_id long, turn long, role string, text string, g string, pos int"
+INK = re.compile(r"[^\x20\x09-\x0D]")
+
+
+def plain_damage(rows):
+    out = []
+    for conv, turn, role, text, *_ in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+def cheapest(rows, kinds):
+    """(cost, audit, repaired lines) by recursion over rows and the roles so far."""
+    n = len(rows)
+
+    @cache
+    def best(i, state, inserted):
+        """state: the last initial, or empty"""
+        found = [(0, "", None)] if i == n and state in ("", "a") else []
+        take = lambda cost, letter, key: (cost + best(*key)[0], letter + best(*key)[1], (letter, key))
+        follows = {"": "su", "s": "u", "u": "a", "a": "u"}[state]
+        free = follows[-1]
+        if inserted < 3:
+            found.append(take(3, "I", (i, free, inserted + 1)))
+        if i < n:
+            found.append(take(4, "D", (i + 1, state, 0)))
+            if kinds[i] in (None, "truncated"):
+                more = 3 if kinds[i] else 0
+                found.append(take(3 + more, "R", (i + 1, free, 0)))
+                if rows[i][2][:1] and rows[i][2][:1] in follows:
+                    found.append(take(more, "K", (i + 1, rows[i][2][:1], 0)))
+        return min(found, key=lambda x: x[:2], default=(10**9, "", None))
+
+    cost, audit, step = best(0, "", 0)
+    key, lines = (0, "", 0), []
+    while best(*key)[2]:
+        letter, after = best(*key)[2]
+        role = {"u": "user", "a": "assistant"}.get(after[1])
+        lines += [f"{role}:"] if letter == "I" else [f"{role}:{rows[key[0]][3]}"] if letter == "R" else [f"{rows[key[0]][2]}:{rows[key[0]][3]}"] if letter == "K" else []
+        key = after
+    return cost, audit, lines
+
+
+def plain_repair(rows, ids):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[0]].append(r)
+    out = []
+    for conv in ids:
+        mine = sorted(groups[conv], key=lambda r: (r[1] is not None, r[1] or 0, r[2], sha(r[3])))
+        kinds, seen = [], set()
+        for r in mine:
+            ink = INK.findall(r[3])
+            kinds.append("blank" if not ink else "duplicate" if r[2:] in seen else "truncated" if ink[-1] not in ".!?" else None)
+            seen.add(r[2:])
+        turns = [r[1] for r in mine if r[1] is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(mine, mine[1:]))
+        cost, audit, lines = cheapest(mine, kinds)
+        out.append((conv, gaps, *[kinds.count(x) for x in ("blank", "duplicate", "truncated")], illegal, cost, audit, sha("\n".join(lines))))
+    return out
+
+
+def some_turns(seed, convs, most):
+    rng = random.Random(seed)
+    rows = []
+    for c in [*range(convs), None]:
+        for t in range(rng.randrange(1, most)):
+            role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "ümlaut", "sys:tem"])
+            rows.append((c, rng.choice([t, t, t, t + 2, None]), role, rng.choice(["Yes.", "Why? ", "no end", " \t", None, "", "Ä!\n\n", "x" * 500 + "."]) if t % 3 else f"Text {t}.", "g", 1))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "convs", "most", "segment", "fold"), [(1, 60, 9, 1024, 1024), (2, 25, 30, 4, 2), (3, 12, 40, 3, 3)])
+def test_repair(spark, seed, convs, most, segment, fold):
+    rows = some_turns(seed, convs, most)
+    df = spark.createDataFrame(rows, TURNS).repartition(4)
+    damaged = plain_damage(rows)
+    assert sorted(map(tuple, repair.damage(df).collect()), key=repr) == sorted(damaged, key=repr)
+    got = repair.repair(repair.damage(df), df, segment, fold).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(plain_repair(damaged, {r[0] for r in rows}), key=repr)
+
+
+def test_a_long_conversation(spark):
+    """One conversation of most rows, with production parameters: several segments."""
+    rng = random.Random(8)
+    rows = [(1, t, rng.choice(["user", "assistant", "system"]), f"Text {t}{rng.choice(['.', ''])}", "g", 1) for t in range(2500)] + [(2, 1, "user", "Hi.", "g", 1)]
+    got = {r.conv_id: r for r in repair.repair(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got[2][1:8] == (0, 0, 0, 0, 0, 3, "KI")
+    words = "".join({"u": "u", "a": "a", "s": "s"}[r[2][0]] if r[3].endswith(".") else r[2][0].upper() for r in rows[:-1])
+    cost, _, edits = repair.trace(words, repair.END, repair.START, True)
+    assert (got[1].cost, got[1].audit) == (cost, "".join("I" * len(a) + b for a, b, _ in edits))
+
+
+def test_repaired_rows_follow_the_grammar(spark):
+    rows = some_turns(4, 30, 12)
+    df = spark.createDataFrame(rows, TURNS)
+    out = defaultdict(list)
+    for r in sorted(repair.repaired_rows(df, 4, 2).collect(), key=lambda r: r.number):
+        out[r.conv_id].append((r.role, r.text))
+    want = {c: h for c, *_, h in plain_repair([(c, t, r if r is not None else " ", x if x is not None else " ") for c, t, r, x, *_ in rows], {r[0] for r in rows})}
+    assert {c: sha("\n".join(f"{r}:{t}" for r, t in lines)) for c, lines in out.items()} == {c: h for c, h in want.items() if h != sha("")}
+    assert all(re.fullmatch("s?(ua)+", "".join(r[:1] for r, _ in lines)) for lines in out.values())
+
+
+def test_repair_of_nothing(spark):
+    nothing = spark.createDataFrame([], TURNS)
+    ids = spark.createDataFrame([(1,), (None,)], "conv_id long")
+    assert sorted(map(tuple, repair.repair(nothing, ids).collect()), key=repr) == [(1, 0, 0, 0, 0, 0, 0, "", sha("")), (None, 0, 0, 0, 0, 0, 0, "", sha(""))]
+    assert repair.repair(nothing).collect() == []
