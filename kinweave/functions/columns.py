@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.ordered import number_within
+
 
 def md5_int(key: Column) -> Column:
     """A 32-bit integer from the MD5 of a key's text: the same on every engine. For tests and
@@ -69,19 +71,17 @@ def dictionary(df: DataFrame, column: str) -> DataFrame:
 
 
 def wide_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """The same for columns with very many values: values are sorted over all executors, and each
-    partition's ranks start where the ones before it end."""
-    part = df.select(column).distinct().orderBy(column).select(column, F.spark_partition_id().alias("p"))
-    ranked = part.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(column)))
-    sizes = ranked.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(before, "p").select(column, (F.col("r") + F.col("before") - 1).cast("int").alias("code"))
+    """The same for columns with very many values: they are ranked in ranges over all executors."""
+    return number_within(df.select(column).distinct(), [], [F.col(column)], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
-    """df with column replaced by its code; Spark broadcasts the dictionary only while it is small."""
-    return df.join(codes, column).drop(column).withColumnRenamed("code", column)
+    """df with column replaced by its code: -1 for a value that the dictionary lacks, null for null. Spark
+    broadcasts the dictionary only while it is small."""
+    found = df.join(codes.filter(F.col(column).isNotNull()), column, "left")
+    return found.withColumn("code", F.when(F.col(column).isNotNull(), F.coalesce("code", F.lit(-1)))).drop(column).withColumnRenamed("code", column)
 
 
 def decode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
-    return df.withColumnRenamed(column, "code").join(codes, "code").drop("code")
+    """The inverse; a code that the dictionary lacks becomes null."""
+    return df.withColumnRenamed(column, "code").join(codes, "code", "left").drop("code")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import columns as C
+from kinweave.operators.ordered import number_within
 from kinweave.operators.sampling import inverse_cdf
 
 #: Fixed values of the public benchmark's columns.
@@ -105,17 +106,18 @@ def days_of(q: Column, r: Column) -> Column:
 def fill_hierarchy(rows: DataFrame, key: str, items: DataFrame, upper: str, lower: str, item: str) -> DataFrame:
     """rows (key, upper, index) with a lower name and an item: the lower name has the given index within
     the upper one; an index that it doesn't have is replaced by a draw of lower names in proportion to their
-    items. Items are drawn evenly within (upper, lower). Draws come from the key's hash."""
+    items. Items are drawn evenly within (upper, lower). Draws come from the key's hash. A row whose upper name
+    is null or has no items stays, with nulls and valid false."""
+    items = items.filter(F.col(upper).isNotNull() & F.col(lower).isNotNull())
     pairs = index_within(items, upper, lower)
     found = rows.join(pairs.drop("n"), [upper, "index"], "left").withColumn("valid", F.col(lower).isNotNull())
     bad = inverse_cdf(found.filter(~F.col("valid")).drop(lower), [upper], F.concat(F.col(key).cast("string"), F.lit("a")), pairs.select(upper, lower, "n"), lower)
     both = found.filter("valid").select(key, upper, lower, "valid").unionByName(bad.select(key, upper, lower, "valid"))
-    w = Window.partitionBy(upper, lower)
     # evenly drawn items are found by their number within the pair: an equality join, no ranges
-    numbered = items.select(upper, lower, item).withColumn("_i", F.row_number().over(w.orderBy(item)) - 1)
+    numbered = number_within(items.select(upper, lower, item), [upper, lower], [F.col(item)], "_i")
     sizes = pairs.select(upper, lower, "n")
     u = C.md5_int(F.concat(F.col(key).cast("string"), F.lit("p")))
-    return both.join(sizes, [upper, lower]).withColumn("_i", F.shiftright(u * F.col("n"), 32)).join(numbered, [upper, lower, "_i"]).select(key, upper, lower, item, "valid")
+    return both.join(sizes, [upper, lower], "left").withColumn("_i", F.shiftright(u * F.col("n"), 32)).join(numbered, [upper, lower, "_i"], "left").select(key, upper, lower, item, "valid")
 
 
 def inject(df: DataFrame, column: str, value: Column, key: Column, share: float) -> DataFrame:

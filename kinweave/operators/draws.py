@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.columns import md5_int
 from kinweave.operators.marginals import marginal, tvd
+from kinweave.operators.ordered import number_within
 
 
 def draw(key: Column, seed: int) -> Column:
@@ -33,17 +34,10 @@ def weighted_subset(df: DataFrame, key: str, weight: Column, n: int, seed: int)
     return some.withColumn("_k", F.log(u) / F.col("_w")).orderBy(F.desc("_k"), key).limit(n).drop("_w", "_k")
 
 
-def numbered_rows(df: DataFrame, order: list[Column], name: str, slices: int = 64) -> DataFrame:
-    """df with a number from 0 in the given order, the first column of which is a number. No window runs
-    over all rows: they are numbered within ranges of the first column, and each range starts where those
-    before it end. Approximate percentiles place the ranges and decide nothing else."""
-    first = df.select(order[0].cast("double").alias("x"))
-    cuts = first.agg(F.percentile_approx("x", [k / slices for k in range(1, slices)], F.lit(1000)).alias("cuts")).first().cuts or []
-    part = reduce(lambda a, c: a + F.when(order[0].cast("double") > c, 1).otherwise(0), sorted(set(cuts)), F.lit(0))
-    r = df.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    sizes = df.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return r.join(F.broadcast(before), "_p").withColumn(name, F.col("_r") + F.col("_before")).drop("_p", "_r", "_before")
+def numbered_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a number from 0 in the given order, of columns of any type: sorted and numbered in as many
+    ranges as Spark's shuffles have partitions."""
+    return number_within(df, [], order, name)
 
 
 def zip_rows(a: DataFrame, order_a: list[Column], b: DataFrame, order_b: list[Column]) -> DataFrame:
@@ -64,9 +58,10 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def keep_where_any(child: DataFrame, fk: str, condition: Column, keep: Column) -> DataFrame:
     """Rows of groups that have a row with `condition` stay only if they meet `keep`; other groups stay
-    whole. The test is one aggregation by group, joined back."""
-    has = child.groupBy(fk).agg(F.max(F.coalesce(condition, F.lit(False)).cast("int")).alias("_has"))
-    return child.join(has, fk).filter((F.col("_has") == 0) | keep).drop("_has")
+    whole. A null condition or keep counts as false; rows without a key are one group. The test is one
+    aggregation by group, joined back."""
+    has = child.groupBy(F.col(fk).alias("_fk")).agg(F.max(F.coalesce(condition, F.lit(False)).cast("int")).alias("_has"))
+    return child.join(has, F.col(fk).eqNullSafe(F.col("_fk"))).filter((F.col("_has") == 0) | F.coalesce(keep, F.lit(False))).drop("_has", "_fk")
 
 
 def random_attr_sets(attrs: list[str], k: int, n: int, seed: int) -> list[tuple[str, ...]]:

@@ -1,12 +1,21 @@
-"""Drawing rows: randomised rounding, expansion of counts, and filling a column given others."""
+"""Drawing rows: randomised rounding, expansion of counts, and filling a column given others.
+
+Null contexts are contexts of their own everywhere: no row is lost to a null key.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from kinweave.functions.columns import md5_int
+from kinweave.operators.ordered import number_within
+
+#: Values that a drawn column may have: they become an array by context.
+MOST_VALUES = 50_000
 
 
 def random_round(p: DataFrame, by: list[str], value: str, n: str, key: Column | None = None) -> DataFrame:
@@ -29,33 +38,50 @@ def expand(counts: DataFrame, n: str) -> DataFrame:
     return counts.filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
 
 
+def join_contexts(rows: DataFrame, contexts: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """rows with the other columns of contexts (one row per context); null keys meet null keys."""
+    renamed = contexts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in contexts.columns if c not in by])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.lit(True))
+    return rows.join(renamed, on, how).drop(*[f"_by{i}" for i in range(len(by))])
+
+
+def _steps(counts: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
+    """(by, _steps): each context's values in order with the sums of their counts up to them. Its length is
+    bounded by the attribute's domain, so a row finds its value in it and meets no other row."""
+    upto = F.sum(n).over(Window.partitionBy(*by).orderBy(value))
+    some = counts.filter(F.col(n) > 0).select(*by, F.struct(upto.alias("upto"), F.col(value).alias("value")).alias("_s"))
+    return some.groupBy(*by).agg(F.array_sort(F.collect_list("_s")).alias("_steps"))
+
+
+def _at(place: Column) -> Column:
+    """The value of the first step beyond a place."""
+    return F.get(F.filter("_steps", lambda s: s["upto"] > place), F.lit(0))["value"]
+
+
 def conditional_fill(rows: DataFrame, by: list[str], key: str, weights: DataFrame, value: str) -> DataFrame:
     """rows with a new column: within each combination of `by`, values are dealt out so that their
-    counts are the randomised rounding of `weights` (by, value, v). Rows are numbered within their
-    context, values have ranges of numbers, and the two are joined on the context. In a context without
-    weights all values of `weights` are dealt out evenly."""
-    w = Window.partitionBy(*by)
+    counts are the randomised rounding of `weights` (by, value, v). Rows are numbered within their context by
+    the key's hash, in ranges, so one context may hold all rows; each looks its number up in the context's
+    steps. In a context without weights all values of `weights` are dealt out evenly."""
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    values = [r[0] for r in weights.select(value).distinct().collect()]  # bounded by the attribute's domain
+    values = [r[0] for r in weights.select(value).distinct().limit(MOST_VALUES + 1).collect()]
+    if len(values) > MOST_VALUES:
+        raise ValueError(f"{value} has more than {MOST_VALUES} values")
     weights = weights.select(*by, value, F.col("v").cast("double").alias("v"))
-    if values:
-        bare = sizes.drop("_n").join(weights.select(*by).distinct(), by, "left_anti")
-        every = F.array(*map(F.lit, values)).cast(ArrayType(weights.schema[value].dataType))
-        weights = weights.unionByName(bare.select(*by, F.explode(every).alias(value), F.lit(1.0).alias("v")))
-    counts = random_round(weights.join(sizes, by), by, value, "_n")
-    upto = F.sum("n_drawn").over(w.orderBy(value))
-    ranges = counts.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("n_drawn")).select(*by, value, "_lo", "_hi")
-    numbered = rows.withColumn("_i", F.row_number().over(w.orderBy(md5_int(F.col(key)), F.col(key))) - 1)
-    hit = (F.col("_i") >= F.col("_lo")) & (F.col("_i") < F.col("_hi"))
-    return numbered.join(ranges, by).filter(hit).drop("_i", "_lo", "_hi")
+    known = weights.select(*by).distinct().withColumn("_known", F.lit(True))
+    sizes = join_contexts(sizes, known, by)
+    every = F.array(*map(F.lit, values)).cast(ArrayType(weights.schema[value].dataType))
+    bare = sizes.filter("_known is null").select(*by, F.explode(every).alias(value), F.lit(1.0).alias("v"), "_n")
+    counts = join_contexts(weights, sizes.drop("_known"), by, "inner").unionByName(bare)
+    steps = _steps(random_round(counts, by, value, "_n"), by, value, "n_drawn")
+    numbered = number_within(rows, by, [md5_int(F.col(key)), F.col(key)], "_i")
+    return join_contexts(numbered, steps, by).withColumn(value, _at(F.col("_i"))).drop("_i", "_steps")
 
 
 def inverse_cdf(rows: DataFrame, by: list[str], key: Column, weights: DataFrame, value: str) -> DataFrame:
-    """rows with a value drawn by its integer weight `n` within `by`, from the key's hash: no window
-    over the rows, so a context may hold any share of them."""
-    w = Window.partitionBy(*by)
-    c = weights.withColumn("_hi", F.sum("n").over(w.orderBy(value))).withColumn("_lo", F.col("_hi") - F.col("n")).withColumn("_t", F.sum("n").over(w))
-    u = md5_int(key).cast("decimal(20,0)") * F.col("_t").cast("decimal(18,0)")
-    two = F.lit(4294967296).cast("decimal(20,0)")
-    j = rows.join(c.drop("n"), by)
-    return j.filter((u >= F.col("_lo").cast("decimal(18,0)") * two) & (u < F.col("_hi").cast("decimal(18,0)") * two)).drop("_lo", "_hi", "_t")
+    """rows with a value drawn by its integer weight `n` within `by`, from the key's hash: no order
+    over the rows, so a context may hold any share of them. Null in a context without weights."""
+    steps = _steps(weights, by, value, "n").withColumn("_total", F.element_at("_steps", -1)["upto"])
+    # floor(u * total / 2^32), exactly: it is below a step's sum if u * total is below it times 2^32
+    drawn = join_contexts(rows, steps, by).withColumn("_u", md5_int(key).cast("decimal(20,0)") * F.col("_total").cast("decimal(18,0)"))
+    return drawn.withColumn("_u", F.expr("_u div cast(4294967296 as decimal(20,0))")).withColumn(value, _at(F.col("_u"))).drop("_steps", "_total", "_u")
