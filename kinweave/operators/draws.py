@@ -72,6 +72,13 @@ def random_attr_sets(attrs: list[str], k: int, n: int, seed: int) -> list[tuple[
     return [tuple(sorted(sorted(attrs, key=lambda a, i=i: rank(i, a))[:k])) for i in range(n)]
 
 
+def random_order(items: list[tuple[str, ...]], seed: int) -> list[tuple[str, ...]]:
+    """The items by the MD5 of seed and names."""
+    from hashlib import md5
+
+    return sorted(items, key=lambda s: md5(f"{seed}#{','.join(s)}".encode()).hexdigest())
+
+
 def mean_kway_tvd(df1: DataFrame, df2: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     """One row: the mean, over sets of attributes, of the distance between two tables' shares of cells."""
     def share(df: DataFrame, attrs: tuple[str, ...]) -> DataFrame:

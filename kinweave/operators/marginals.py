@@ -49,6 +49,16 @@ def many_marginals(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     return got.select(name.alias("marginal"), *[F.col(a).cast("string").alias(a) for a in attrs], "v")
 
 
+def cell_counts(df: DataFrame, sets: list[tuple[str, ...]], weight: Column | None = None) -> DataFrame:
+    """Several marginals in one pass and one form: (marginal, cell, v), names joined by commas and values by |,
+    in which \\ and | are escaped. A row becomes an array of its cells, which is exploded and counted, partially on the
+    map side."""
+    text = lambda a: F.regexp_replace(F.coalesce(F.col(a).cast("string"), F.lit("\\0")), r"([\\|])", r"\\$1")
+    cells = F.array(*[F.struct(F.lit(",".join(s)).alias("marginal"), F.concat_ws("|", *map(text, s)).alias("cell")) for s in sets])
+    w = (weight if weight is not None else F.lit(1.0)).alias("w")
+    return df.select(F.explode(cells).alias("c"), w).groupBy("c.marginal", "c.cell").agg(F.sum("w").alias("v"))
+
+
 def legalise(m: DataFrame, member: int, size: str = "size") -> DataFrame:
     """Cells of groups too small to have this member become 0."""
     return m.withColumn("v", F.when(F.col(size) <= member, 0.0).otherwise(F.col("v")))
