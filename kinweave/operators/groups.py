@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import md5_int
+from kinweave.operators.ordered import number_within, sums_before
+from kinweave.operators.sampling import expand, random_round
+from kinweave.sources.scratch import saved
 
 
 def sizes(child: DataFrame, fk: str, cap: int | None = None) -> DataFrame:
@@ -120,3 +123,49 @@ def recover(flat: DataFrame, fk: str, attrs: list[str], slots: int) -> DataFrame
     """Children again from a flat row: (fk, slot, attrs) for the slots below size."""
     cells = F.array(*[F.struct(F.lit(t).alias("slot"), *[F.col(f"m{t}_{a}").alias(a) for a in attrs]) for t in range(slots)])
     return flat.select(fk, F.explode(F.slice(cells, 1, F.least("size", F.lit(slots)).cast("int"))).alias("x")).select(fk, "x.*")
+
+
+def group_ids(rows: DataFrame, key: str, histogram: DataFrame, seed: int) -> DataFrame:
+    """rows with a random `group` number, so that the groups' sizes follow a histogram (size, n): as many
+    groups as the rows fill, their number of each size the randomised rounding of its share, exact where the
+    histogram fits. Groups lie side by side in a random order, each covers its places, the last one is
+    clipped; rows in a random order take the places. Sizes of 0 make no group."""
+    histogram = histogram.filter("size > 0 and n > 0")
+    n_rows = rows.count()
+    mass, members = histogram.agg(F.sum("n"), F.sum(F.col("size") * F.col("n"))).first()
+    if n_rows and not members:
+        raise ValueError("the histogram has no members")
+    n_groups, covered, counts = -(-n_rows * (mass or 0) // (members or 1)), -1, None
+    while covered < n_rows:
+        p = histogram.select("size", F.col("n").cast("double").alias("v"), F.lit(n_groups).alias("_n"))
+        counts = saved(random_round(p, [], "size", "_n", F.concat_ws("|", F.lit(f"{seed}#{n_groups}"), "size")))
+        covered = counts.agg(F.sum(F.col("size") * F.col("n_drawn"))).first()[0] or 0
+        n_groups += max(1, -(-(n_rows - covered) * (mass or 1) // (members or 1)))
+        if not n_rows:
+            break
+    order = [md5_int(F.concat_ws("-", F.lit(f"{seed}"), "size", "copy")), F.col("size"), F.col("copy")]
+    placed = sums_before(expand(counts, "n_drawn"), [], order, {"group": F.lit(1).cast("long"), "_start": F.col("size")})
+    places = placed.filter(F.col("_start") < n_rows).select("group", F.explode(F.sequence("_start", F.least(F.col("_start") + F.col("size"), F.lit(n_rows)) - 1)).alias("_at"))
+    return number_within(rows, [], [md5_int(F.concat_ws("#", F.lit(f"{seed}"), F.col(key).cast("string"))), F.col(key)], "_at").join(places, "_at").drop("_at")
+
+
+def multiset_contains(whole: DataFrame, part: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, contained) for the keys of `part`: whether the key's items in `whole` hold each of its items in
+    `part` at least as often. Null items are items; a null key is a key."""
+    counts = lambda df, name: df.groupBy(F.col(key).alias(f"_k_{name}"), F.col(item).alias(f"_i_{name}")).agg(F.count(F.lit(1)).alias(name))
+    a, b = counts(whole, "have"), counts(part, "need")
+    j = b.join(a, F.col("_k_need").eqNullSafe(F.col("_k_have")) & F.col("_i_need").eqNullSafe(F.col("_i_have")), "left")
+    return j.groupBy(F.col("_k_need").alias(key)).agg((F.min(F.coalesce("have", F.lit(0)) - F.col("need")) >= 0).alias("contained"))
+
+
+def map_per_key(df: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """(key, entries): a map from the key's names to their values, entries in the order of names; of a name's
+    values the smallest counts. Rows without a name have no entry."""
+    one = df.filter(F.col(name).isNotNull()).groupBy(key, name).agg(F.min(value).alias("_value"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(name).alias("key"), F.col("_value").alias("value"))))
+    return one.groupBy(key).agg(F.map_from_entries(pairs).alias("entries"))
+
+
+def same_map(a: Column, b: Column) -> Column:
+    """Whether two maps have the same entries, in any order."""
+    return F.array_sort(F.map_entries(a)).eqNullSafe(F.array_sort(F.map_entries(b)))

@@ -25,14 +25,17 @@ def densify(m: DataFrame, values: dict[str, DataFrame], limit: int = 50_000) ->
     return grid.join(m, list(values), "left").fillna(0.0, ["v"])
 
 
-def filled(m: DataFrame, axes: dict[str, list], limit: int = 50_000) -> DataFrame:
-    """The same from given domains: their product is checked and made without a look at data."""
+def filled(m: DataFrame, axes: dict[str, list], limit: int = 50_000, absent: float = 0.0) -> DataFrame:
+    """The same from given domains: their product is checked and made without a look at data. Cells that m
+    lacks get `absent`."""
     if prod(map(len, axes.values())) > limit:
         raise ValueError(f"{prod(map(len, axes.values()))} cells are more than {limit}")
     grid, kind = m.sparkSession.range(1), dict(m.dtypes)
     for a, values in axes.items():
         grid = grid.withColumn(a, F.explode(F.array(*map(F.lit, values)).cast(f"array<{kind[a]}>")))
-    return grid.drop("id").join(m, list(axes), "left").fillna(0.0, ["v"])
+    grid = grid.drop("id")
+    joined = grid.join(m, list(axes), "left") if axes else grid.select(F.lit(1)).join(m, how="left")
+    return joined.select(*axes, F.coalesce("v", F.lit(float(absent))).alias("v"))
 
 
 def project(m: DataFrame, attrs: list[str]) -> DataFrame:

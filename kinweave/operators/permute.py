@@ -27,14 +27,32 @@ def pairs(members: DataFrame, fk: str, attrs: list[str], both: bool = False) ->
     return a.join(b, fk).filter(F.col("rn_a") != F.col("rn_b") if both else F.col("rn_a") < F.col("rn_b"))
 
 
+def unranked(k: Column) -> tuple[Column, Column]:
+    """The k-th (from 0) of the pairs (1, 2), (1, 3), (2, 3), (1, 4), ...; the root of a large k may be off by one."""
+    b = F.floor((1 + F.sqrt(1 + 8 * k.cast("double"))) / 2)
+    b = F.when(b * (b - 1) / 2 > k, b - 1).when(b * (b + 1) / 2 <= k, b + 1).otherwise(b)
+    return (k - b * (b - 1) / 2 + 1).cast("int"), (b + 1).cast("int")
+
+
+def _part(u: Column, total: Column) -> Column:
+    """floor(u * total / 2^32), for products beyond a long."""
+    return F.call_function("div", u.cast("decimal(20,0)") * total.cast("decimal(18,0)"), F.lit(4294967296).cast("decimal(20,0)"))
+
+
 def capped_pairs(members: DataFrame, fk: str, attrs: list[str], most: int) -> DataFrame:
-    """At most `most` pairs of each group, those with the smallest hashes, each with weight
-    n / (pairs kept)."""
-    p = pairs(members, fk, attrs).join(members.filter("rn = 1").select(fk, "n"), fk)
-    key = F.concat_ws("-", fk, "rn_a", "rn_b")
-    p = p.withColumn("_r", F.row_number().over(Window.partitionBy(fk).orderBy(md5_int(key), "rn_a", "rn_b"))).filter(F.col("_r") <= most)
-    kept = F.least(F.lit(most), F.col("n") * (F.col("n") - 1) / 2)
-    return p.withColumn("weight", F.col("n") / kept).drop("_r")
+    """Pairs of members of each group with weight n / (pairs taken): all of them where there are at most `most`,
+    else `most` drawn with replacement. Pair numbers are drawn and turned into members, which are looked up:
+    work grows with the pairs taken, not with the square of a group."""
+    sizes = members.filter("rn = 1").select(fk, "n").filter("n > 1")
+    total = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: _part(md5_int(F.concat_ws("-", F.col(fk).cast("string"), i.cast("string"))), F.col("_total")))
+    numbers = F.when(F.col("_total") <= most, F.sequence(F.lit(0).cast("long"), F.col("_total") - 1)).otherwise(drawn)
+    p = sizes.withColumn("_total", total).select(fk, (F.col("n") / F.least(F.lit(most), F.col("_total"))).alias("weight"), F.explode(numbers).alias("_k"))
+    a, b = unranked(F.col("_k"))
+    p = p.withColumns({"rn_a": a, "rn_b": b}).drop("_k")
+    for side in "ab":
+        p = p.join(members.select(fk, F.col("rn").alias(f"rn_{side}"), *[F.col(x).alias(f"{side}_{x}") for x in attrs]), [fk, f"rn_{side}"])
+    return p.select(fk, "rn_a", "rn_b", *[f"{side}_{x}" for side in "ab" for x in attrs], "weight")
 
 
 def permutations(members: DataFrame, fk: str, attrs: list[str], j: int) -> DataFrame:

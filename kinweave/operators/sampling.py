@@ -85,3 +85,22 @@ def inverse_cdf(rows: DataFrame, by: list[str], key: Column, weights: DataFrame,
     # floor(u * total / 2^32), exactly: it is below a step's sum if u * total is below it times 2^32
     drawn = join_contexts(rows, steps, by).withColumn("_u", md5_int(key).cast("decimal(20,0)") * F.col("_total").cast("decimal(18,0)"))
     return drawn.withColumn("_u", F.expr("_u div cast(4294967296 as decimal(20,0))")).withColumn(value, _at(F.col("_u"))).drop("_steps", "_total", "_u")
+
+
+def resample_column(rows: DataFrame, target: str, potentials: list[DataFrame], key: Column) -> DataFrame:
+    """rows with `target` drawn anew given the other columns, from the product of several factors given as
+    log-potentials (attributes, v). The product is made for the distinct contexts that occur, never over the
+    whole domain: each is joined with one factor after the other, shifted by its largest sum and normalised,
+    in parts of 1e9. A context that some factor has no cell for keeps its rows' values. Factors without the
+    target say nothing of it."""
+    potentials = [p for p in potentials if target in p.columns]
+    given = sorted({c for p in potentials for c in p.columns} - {"v", target})
+    table = rows.select(*given).distinct()
+    for k, p in enumerate(potentials):
+        on = [c for c in p.columns if c not in ("v", target)] + ([target] if k else [])
+        table = join_contexts(table, p.withColumnRenamed("v", "_v"), on, "inner").withColumn("_sum", (F.col("_sum") if k else F.lit(0.0)) + F.col("_v")).drop("_v")
+    w = Window.partitionBy(*given)
+    table = table.withColumn("_e", F.exp(F.col("_sum") - F.max("_sum").over(w)))
+    table = table.withColumn("n", F.floor(F.col("_e") / F.sum("_e").over(w) * 1e9 + 0.5).cast("long"))
+    out = inverse_cdf(rows.withColumnRenamed(target, "_old"), given, key, table.select(*given, target, "n"), target)
+    return out.withColumn(target, F.coalesce(target, "_old")).select(*rows.columns)
