@@ -120,6 +120,35 @@ def fill_hierarchy(rows: DataFrame, key: str, items: DataFrame, upper: str, lowe
     return both.join(sizes, [upper, lower], "left").withColumn("_i", F.shiftright(u * F.col("n"), 32)).join(numbered, [upper, lower, "_i"], "left").select(key, upper, lower, item, "valid")
 
 
+def follow(df: DataFrame, column: str, code: Column, usual: list[list[str]], others: list[str], key: Column, share: float) -> DataFrame:
+    """df whose column follows another's code: with probability `share` one of usual[code], evenly, else one
+    of `others`. A code without a list keeps the row's value."""
+    u, pick = C.md5_uniform(F.concat(key, F.lit("f"))), C.md5_int(F.concat(key, F.lit("v")))
+    mine = F.get(F.array(*[F.array(*map(F.lit, x)) for x in usual]), code)
+    at = lambda xs: F.get(xs, (pick % F.size(xs)).cast("int"))
+    value = F.when(u < share, at(mine)).otherwise(at(F.array(*map(F.lit, others))))
+    return df.withColumn(column, F.when(mine.isNull(), F.col(column)).otherwise(value))
+
+
+def scale_by(df: DataFrame, column: str, attr: str, low: float, high: float, least: int = 1) -> DataFrame:
+    """df whose numbers are scaled by a ratio that rises evenly from low to high over the sorted values of an
+    attribute, rounded down, at least `least`. Rows without the attribute keep their numbers."""
+    ranks = C.dictionary(df.filter(F.col(attr).isNotNull()), attr)
+    n = ranks.count()
+    ratio = F.lit(low) + F.col("code") * F.lit((high - low) / max(1, n - 1))
+    scaled = F.greatest(F.floor(F.col(column) * ratio), F.lit(least)).cast(df.schema[column].dataType)
+    return df.join(ranks, attr, "left").withColumn(column, F.coalesce(scaled, F.col(column))).select(*df.columns)
+
+
+def keep_by_size(parent: DataFrame, pk: str, child: DataFrame, fk: str, wanted: Column, share: float) -> tuple[DataFrame, DataFrame]:
+    """Parents whose number of children is the wanted one, with a random share of the others, and their
+    children: sizes depend on the parent's attributes then. A null wanted number is never met."""
+    sizes = child.groupBy(F.col(fk).alias("_fk")).agg(F.count(F.lit(1)).alias("_n"))
+    met = F.coalesce(F.col("_n") == wanted, F.lit(False))
+    kept = parent.join(sizes, F.col(pk) == F.col("_fk"), "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(met | (C.md5_int(F.col(pk)) < int(share * 2**32))).select(*parent.columns)
+    return kept, child.join(kept.select(F.col(pk).alias(fk)), fk, "left_semi")
+
+
 def inject(df: DataFrame, column: str, value: Column, key: Column, share: float) -> DataFrame:
     """df whose column is replaced by `value` in a random share of the rows: a known dependence for
     tests of synthesis. Drawn from the key's hash."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.columns import md5_gauss
+from kinweave.operators import marginals
 
 
 def _log_phi(x: float) -> float:
@@ -83,6 +84,23 @@ def noisy_sizes(histogram: DataFrame, noise: float, seed_key: Column | None = No
     return h.select("size", F.when(F.col("size") == 0, 0.0).when(F.col("v") < 0, 0.5 * noise).otherwise(F.col("v")).alias("v"))
 
 
+def measured_by_size(m: DataFrame, attrs: list[str], low: int, histogram: DataFrame, noise: float, bias_noise: float, key: Column | None = None) -> tuple[DataFrame, bool]:
+    """(a noisy marginal (size, attrs, v), whether sizes from `low` on were merged for it).
+
+    m holds all cells of (size, attrs). Merging makes fewer cells noisy but deals a bin's cells out to its sizes
+    in proportion to the noisy histogram (size, n_groups), which is off by the bias. The bias is measured with
+    noise of its own, so the choice tells no more than it; then only the chosen table is measured. Negative
+    cells become 0, and each size's cells are scaled to its groups. `key` gives reproducible noise, for tests."""
+    merged = marginals.merge_sizes(m, attrs, low)
+    z = md5_gauss(F.lit("bias")) if key is not None else F.randn()
+    tvd = marginals.tvd(m, marginals.unmerge_sizes(merged, attrs, low, histogram), ["size", *attrs])
+    bias = tvd.select((F.col("distance") + F.lit(bias_noise) * z).alias("b")).first().b
+    merge = merge_pays(m.count(), merged.count(), noise, bias)
+    got = noisy(merged if merge else m, noise, key).withColumn("v", F.greatest("v", F.lit(0.0)))
+    back = marginals.unmerge_sizes(got, attrs, low, histogram) if merge else got
+    return marginals.normalise_by_size(back, histogram), merge
+
+
 def merge_pays(cells: int, merged_cells: int, noise: float, bias: float) -> bool:
     """Whether merging sizes lowers the expected error; `bias` has to be a noisy or public figure."""
     per = noise * math.sqrt(2 / math.pi)

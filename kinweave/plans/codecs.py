@@ -130,3 +130,40 @@ def projection_lattice(spark, d):
     tables = {m: marginal(li, list(m)) for m in _MEASURED}
     each = [lattice.project(tables[m], s).select(F.lit(",".join(s)).alias("attrs"), F.concat_ws("|", *s).alias("cell"), F.col("v").cast("double").alias("v")) for s, m in _LATTICE.items()]
     return reduce(DataFrame.unionByName, each)
+
+
+# ---- injected dependence -----------------------------------------------------------------------
+
+_USUAL = [["A", "N"], ["A", "N"], ["N", "R"], ["R"], ["R"]]
+_KEY = "(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey)"
+
+
+@query(f"""WITH j AS (SELECT o_orderpriority AS p, {_USUAL}[substr(o_orderpriority, 1, 1)::INT] AS u, ({_MD5.format(_KEY + " || 'f'")} + 0.5) / 4294967296.0::DOUBLE AS x, {_MD5.format(_KEY + " || 'v'")} AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT p AS o_orderpriority, CASE WHEN x < 0.75 THEN u[v % len(u) + 1] ELSE ['A', 'N', 'R'][v % 3 + 1] END AS l_returnflag, count(*) AS n FROM j GROUP BY 1, 2""")
+def inject_flag_by_priority(spark, d):
+    """Lineitems whose flag follows their order's priority, counted."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    li = table(spark, d, "lineitem").join(o, "l_orderkey")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = codecs.follow(li, "l_returnflag", codecs.code_of("o_orderpriority", codecs.PRIORITY), _USUAL, codecs.FLAG, key, 0.75)
+    return out.groupBy("o_orderpriority", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code, count(*) OVER () AS k FROM (SELECT DISTINCT p_brand FROM lineitem JOIN part ON p_partkey = l_partkey))
+    SELECT p_brand, sum(greatest(floor(l_quantity * (0.2::DOUBLE + code * ((2.0::DOUBLE - 0.2::DOUBLE) / (k - 1)))), 1)) AS quantity, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN b USING (p_brand) GROUP BY 1""")
+def inject_quantity_by_brand(spark, d):
+    """Lineitems whose quantity is scaled by their part's brand, summed."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    li = codecs.scale_by(table(spark, d, "lineitem").select("l_partkey", "l_quantity").join(p, "l_partkey"), "l_quantity", "p_brand", 0.2, 2.0)
+    return li.groupBy("p_brand").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT year(o_orderdate)::INT AS year, coalesce(n, 0) AS size, count(*) AS orders FROM orders LEFT JOIN s ON l_orderkey = o_orderkey WHERE coalesce(n, 0) = year(o_orderdate) - 1994 OR {_MD5.format('o_orderkey')} < {2**30} GROUP BY 1, 2""")
+def inject_size_by_year(spark, d):
+    """Orders whose number of lineitems is their year's, and a quarter of the others, counted."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    kept, children = codecs.keep_by_size(o, "o_orderkey", li, "l_orderkey", F.year("o_orderdate") - 1994, 0.25)
+    sizes = children.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("size"))
+    j = kept.join(sizes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return j.groupBy(F.year("o_orderdate").alias("year"), F.coalesce("size", F.lit(0)).alias("size")).agg(F.count(F.lit(1)).alias("orders"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinweave.functions import columns as C
-from kinweave.operators import factors, groups, marginals, privacy, sampling, structure, workload
+from kinweave.operators import factors, groups, marginals, permute, privacy, sampling, structure, workload
 from kinweave.operators.match import match as match_rows
-from kinweave.plans.relational import _ATTRS, _MD5, ORACLE_SQL, QUERIES, query, r6
+from kinweave.plans.relational import _ATTRS, _LINE, _MD5, LINE, ORACLE_SQL, QUERIES, query, r6
 from kinweave.sources.tables import register, run_sql, table
 
 # ---- factors -----------------------------------------------------------------------------------
@@ -86,17 +86,106 @@ def noisy_marginal(spark, d):
     return privacy.noisy(_ab(spark, d)[0], privacy.sigma(1, 0.25, 4), F.concat("o_orderstatus", "o_orderpriority")).withColumn("v", r6("v"))
 
 
-@query("SELECT 2::INT AS sensitivity, 4::INT AS queries, sqrt(pow(2, 2) * 4 / 0.25) AS sigma")
+@query("SELECT 2::INT AS sensitivity, count(*)::INT AS queries, round(sqrt(pow(2, 2) * count(*) / 0.25), 6) AS sigma FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
 def gaussian_sigma(spark, d):
-    return spark.createDataFrame([(2, 4, privacy.sigma(2, 0.25, 4))], "sensitivity int, queries int, sigma double")
+    """The noise of one count for each pair of flags that lineitems have, under one budget."""
+    n = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct().count()
+    return spark.createDataFrame([(2, n, round(privacy.sigma(2, 0.25, n), 6))], "sensitivity int, queries int, sigma double")
 
 
 @query()
 def privacy_budget(spark, d):
-    rows = [(e, 1e-5, privacy.privacy_budget(e, 1e-5)) for e in (0.1, 0.2, 0.8, 3.2)]
+    """Budgets at a delta of one in the orders."""
+    delta = 1.0 / max(2, table(spark, d, "orders").count())
+    rows = [(e, delta, privacy.privacy_budget(e, delta)) for e in (0.1, 0.2, 0.8, 3.2)]
     return spark.createDataFrame(rows, "epsilon double, delta double, budget double")
 
 
+_BY_SIZE = """m0 AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {line}) AS rn FROM lineitem), m1 AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM m0 WHERE rn <= 7),
+    m AS (SELECT size, flag, round(coalesce(v, 0), 6) AS v FROM (SELECT unnest(range(1, 8)) AS size) CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS flag) LEFT JOIN (SELECT n AS size, l_returnflag AS flag, sum(1.0::DOUBLE / n) AS v FROM m1 GROUP BY 1, 2) USING (size, flag)),
+    h AS (SELECT size, round(CASE WHEN n + 4.0 * g < 0 THEN 2.0 ELSE n + 4.0 * g END, 6) AS n FROM (SELECT size, count(*) AS n FROM (SELECT least(count(*), 7) AS size FROM lineitem GROUP BY l_orderkey) GROUP BY 1) JOIN (SELECT s AS size, {g_size} AS g FROM (SELECT unnest(range(1, 8)) AS s)) USING (size)),
+    s AS (SELECT size, least(size, {low}) AS bin, n / sum(n) OVER (PARTITION BY least(size, {low})) AS share FROM h),
+    g AS (SELECT least(size, {low}) AS bin, flag, sum(v) AS v FROM m GROUP BY 1, 2),
+    b AS (SELECT size, flag, g.v * share AS v FROM g JOIN s USING (bin)),
+    c AS (SELECT {per} * (3 * {low}) + 2 * (sum(abs(m.v - b.v)) / 2 + {bias} * {g_bias}) < {per} * 21 AS merged FROM m JOIN b USING (size, flag)),
+    x AS (SELECT size, flag, greatest(v + {noise} * {g_cell}, 0) AS v FROM m),
+    y AS (SELECT size, flag, greatest(v + {noise} * z, 0) * share AS v FROM (SELECT bin, flag, v, {g_bin} AS z FROM g) JOIN s USING (bin)),
+    r AS (SELECT size, flag, v, merged FROM x CROSS JOIN c WHERE NOT merged UNION ALL SELECT size, flag, v, merged FROM y CROSS JOIN c WHERE merged)
+    SELECT size, flag, round(CASE WHEN t > 0 THEN v * n / t ELSE 0 END, 4) AS v, merged FROM (SELECT *, sum(v) OVER (PARTITION BY size) AS t FROM r) JOIN h USING (size)"""
+
+
+def _by_size_sql(low: int, noise: float, bias: float) -> str:
+    g = lambda key: _GAUSS.format(key)
+    per = repr(noise * (2 / 3.141592653589793) ** 0.5) + "::DOUBLE"
+    return "WITH " + _BY_SIZE.format(line=_LINE, low=low, noise=noise, bias=bias, per=per, g_size=g("s::VARCHAR"), g_bias=g("'bias'"), g_cell=g("(size || '|' || flag)"), g_bin=g("(bin || '|' || flag)"))
+
+
+def _size_marginal(spark, d, low, noise, bias):
+    li = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    c = permute.numbered(li, "l_orderkey", [F.col("flag" if x == "l_returnflag" else x) for x in LINE], 7)
+    m = c.groupBy(F.col("n").alias("size"), "flag").agg(F.sum(1.0 / F.col("n")).alias("v"))
+    m = marginals.filled(m, {"size": list(range(1, 8)), "flag": ["A", "N", "R"]}).withColumn("v", F.round("v", 6))
+    h = privacy.noisy_sizes(groups.size_histogram(li, "l_orderkey", 7), privacy.sigma(2, 0.25), F.col("size").cast("string")).select("size", r6("v").alias("n_groups"))
+    got, merged = privacy.measured_by_size(m, ["flag"], low, h, noise, bias, F.concat_ws("|", "size", "flag"))
+    return got.select("size", "flag", F.round("v", 4).alias("v"), F.lit(merged).alias("merged"))
+
+
+@query(_by_size_sql(5, 40.0, 1.0))
+def noisy_size_marginal_merged(spark, d):
+    """A marginal by group size with noise so large that merging sizes pays."""
+    return _size_marginal(spark, d, 5, 40.0, 1.0)
+
+
+@query(_by_size_sql(5, 0.5, 1.0))
+def noisy_size_marginal(spark, d):
+    """The same with little noise: sizes stay apart."""
+    return _size_marginal(spark, d, 5, 0.5, 1.0)
+
+
+_PLANNED = [("l_returnflag",), ("l_returnflag", "l_linestatus"), ("l_linenumber", "l_quantity", "l_discount")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{','.join(s)}' AS marginal, cells::BIGINT AS cells, round({7 * 10 / 0.2 ** 0.5 * 3 ** 0.5!r}::DOUBLE, 6) AS noise, round(cells * pow({7 * 10 / 0.2 ** 0.5 * 3 ** 0.5!r}::DOUBLE, 2), 2) AS expected_loss, cells <= least(5e4, n / ({7 * 10 / 0.2 ** 0.5 * 3 ** 0.5!r}::DOUBLE * sqrt(2 / pi())) / 4) AS allowed FROM (SELECT {' * '.join(f'count(DISTINCT {a})' for a in s)} AS cells, count(*) AS n FROM lineitem)" for s in _PLANNED))
+def measurement_plan(spark, d):
+    """What marginals of lineitems would cost under one budget: rows are protected by customer, whose orders and
+    lineitems are capped, so a count's sensitivity is the product of the caps."""
+    li = table(spark, d, "lineitem")
+    ledger = privacy.Ledger(0.421, {"marginals": 0.5, "other": 0.5})
+    noise = privacy.sigma(privacy.sensitivity([10, 7]), ledger.charge("marginals", 0.2), len(_PLANNED))
+    sizes = li.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(a).alias(a) for a in sorted({a for s in _PLANNED for a in s})]).first()
+    limit, rows = privacy.domain_limit(sizes.n, noise, 4), []
+    for s in _PLANNED:
+        cells = structure.cells(s, sizes.asDict())
+        rows.append((",".join(s), cells, round(noise, 6), round(privacy.theoretic_loss(cells, noise), 2), cells <= limit))
+    return spark.createDataFrame(rows, "marginal string, cells long, noise double, expected_loss double, allowed boolean")
+
+
+@query(f"SELECT a, b, round(greatest(score + {privacy.sigma(2, 0.4, 15)!r}::DOUBLE * {_GAUSS.format(repr('edge|') + ' || a || ' + repr('|') + ' || b')}, 0), 4) AS score FROM ({ORACLE_SQL['r_scores_all_pairs']})")
+def noisy_edge_scores(spark, d):
+    """Dependence scores with noise for as many queries as pairs; negative ones become 0."""
+    scores = marginals.r_scores(marginals.pair_counts(table(spark, d, "lineitem"), _ATTRS))
+    noisy = F.round("score", 6) + F.lit(privacy.sigma(2, 0.4, 15)) * C.md5_gauss(F.concat_ws("|", F.lit("edge"), "a", "b"))
+    return scores.select("a", "b", F.round(F.greatest(noisy, F.lit(0.0)), 4).alias("score"))
+
+
+@query()
+def model_structure(spark, d):
+    """From scores to structure: the graph that the strongest pairs make within limits of cells, its cliques and
+    tree, candidate marginals, each attribute's best set, and how many to choose a round."""
+    scores = [(r.a, r.b, r.score) for r in _edges(spark, d).collect()]
+    li = table(spark, d, "lineitem")
+    domain = li.agg(*[F.count_distinct(a).alias(a) for a in _ATTRS]).first().asDict()
+    graph = structure.grow_graph(domain, scores, 2_000, 10_000)
+    cliques = structure.maximal_cliques(graph)
+    found = structure.candidates(cliques, domain, 3, 1_000)
+    table_of = {frozenset((a, b)): s for a, b, s in scores}
+    rows = [("clique", k, ",".join(sorted(c))) for k, c in enumerate(cliques)] + [("tree", k, f"{a}-{b}") for k, (a, b) in enumerate(structure.junction_tree(cliques))]
+    rows += [("candidate", k, ",".join(s)) for k, s in enumerate(found)]
+    rows += [("best", k, f"{a}: {','.join(structure.best_set(a, found, table_of) or ())}") for k, a in enumerate(sorted(domain))]
+    rows += [("round", k, str(n)) for k, n in enumerate(structure.schedule(len(found), 3))]
+    return spark.createDataFrame(rows, "item string, number int, value string")
+
+
 # ---- sampling ----------------------------------------------------------------------------------
 
 _ROUND = """e AS (SELECT k, val, floor(ex) AS f, ex - floor(ex) AS fr, n FROM (SELECT k, val, n, round(v / sum(v) OVER (PARTITION BY k) * n, 9) AS ex FROM p)),

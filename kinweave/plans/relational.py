@@ -133,18 +133,18 @@ def ratio_to_total(spark, d):
     return G.ratio_to_total(table(spark, d, "customer"), ["c_nationkey"], "c_mktsegment").withColumn("p", r6("p"))
 
 
-_FLAT = ", ".join(f"max(CASE WHEN rn = {t + 1} THEN {a} END) AS m{t}_{a}" for t in range(3) for a in ("l_returnflag", "l_linestatus"))
+_FLAT = ", ".join(f"max(CASE WHEN rn = {t + 1} THEN {a} END) AS m{t}_{a}" for t in range(CAP) for a in ("l_returnflag", "l_linestatus"))
 
 
 @query(f"WITH {_MEMBERS} SELECT l_orderkey, count(*) AS size, {_FLAT} FROM c GROUP BY l_orderkey")
 def flatten_pivot(spark, d):
-    return G.flatten(members(spark, d).drop("rn", "n"), "l_orderkey", ["l_returnflag", "l_linestatus"], 3, [F.col(c) for c in LINE])
+    return G.flatten(members(spark, d).drop("rn", "n"), "l_orderkey", ["l_returnflag", "l_linestatus"], CAP, [F.col(c) for c in LINE])
 
 
-@query(f"WITH {_MEMBERS} SELECT l_orderkey, (rn - 1)::INT AS slot, l_returnflag, l_linestatus FROM c WHERE rn <= 3")
+@query(f"WITH {_MEMBERS} SELECT l_orderkey, (rn - 1)::INT AS slot, l_returnflag, l_linestatus FROM c")
 def recover_explode(spark, d):
     flat = flatten_pivot(spark, d)
-    return G.recover(flat, "l_orderkey", ["l_returnflag", "l_linestatus"], 3)
+    return G.recover(flat, "l_orderkey", ["l_returnflag", "l_linestatus"], CAP)
 
 
 # ---- encoding ----------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.plans import codecs, draws, fitting, model, relational, siblings, synthesis  # noqa: F401
+from kinweave.plans import codecs, draws, fitting, model, relational, siblings, sources, synthesis  # noqa: F401
 from kinweave.plans.relational import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

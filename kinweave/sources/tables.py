@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.ordered import number_within
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -25,16 +27,23 @@ def read_tbl(spark: SparkSession, path: str, schema: str, drop: tuple[str, ...]
 
 
 def read_keyed(df: DataFrame, key: str, fk: str, attrs: list[str], ratio: float = 1.0) -> DataFrame:
-    """key, attrs, fk of a child table; raises if the key repeats; with `ratio`, the share of groups
-    whose foreign keys come first."""
+    """key, attrs, fk of a child table; raises if the key repeats; with `ratio`, the groups whose foreign keys
+    come first, that share of them rounded down. Keys of any type; rows without a foreign key come first."""
     if df.groupBy(key).count().filter("count > 1").limit(1).count():
         raise ValueError(f"{key} is not unique")
     out = df.select(key, *attrs, fk)
     if ratio >= 1:
         return out
     groups = out.select(fk).distinct()
-    cut = groups.agg(F.percentile_approx(fk, F.lit(ratio), F.lit(100_000)).alias("cut"))
-    return out.join(F.broadcast(cut), out[fk] <= cut["cut"]).drop("cut")
+    first = number_within(groups, [], [F.asc_nulls_first(fk)], "_at").filter(F.col("_at") < int(ratio * groups.count())).select(F.col(fk).alias("_fk"))
+    return out.join(first, F.col(fk).eqNullSafe(F.col("_fk")), "left_semi")
+
+
+def read_pair(spark: SparkSession, folder: str, parent: str, child: str, schemas: dict[str, str]) -> tuple[DataFrame, DataFrame, dict[str, int], dict[str, int]]:
+    """A parent and a child table and their domains, by name: {name}.csv beside {name}_domain.json."""
+    frames = [read_csv(spark, f"{folder}/{n}.csv", schemas[n]) for n in (parent, child)]
+    domains = [read_domain(f"{folder}/{n}_domain.json", None) for n in (parent, child)]
+    return *frames, *domains
 
 
 def split_denormalised(df: DataFrame, parent_key: str, parent_attrs: list[str], child_attrs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,10 +62,11 @@ def lower_names(df: DataFrame) -> DataFrame:
     return df.select(*[one(c) for c in df.columns])
 
 
-def read_domain(path: str, columns: list[str]) -> dict[str, int]:
-    """attr -> size from a domain file {attr: {"size": n}}, in the order of columns."""
+def read_domain(path: str, columns: list[str] | None) -> dict[str, int]:
+    """attr -> size from a domain file {attr: {"size": n}}, in the order of columns, or of the file without."""
     with open(path, encoding="utf-8") as f:
         found = json.load(f)
+    columns = list(found) if columns is None else columns
     missing = [c for c in columns if c not in found]
     if missing:
         raise ValueError(f"{path} has no domain for {missing}")
@@ -87,6 +97,17 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+def run_sql_file(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
+    """The result of the query in a text file (in any store that Spark reads), with `out` written there as
+    Parquet and read again. Lines after -- and a final ; are left out."""
+    lines = [r.value.split("--")[0] for r in spark.read.text(path, wholetext=False).collect()]  # a query's text
+    found = run_sql(spark, "\n".join(lines).strip().rstrip(";"))
+    if out is None:
+        return found
+    found.write.mode("overwrite").parquet(out)
+    return spark.read.schema(found.schema).parquet(out)
+
+
 def row_counts(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> DataFrame:
     """(table_name, n) by table."""
     parts = [table(spark, folder, n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n in names]
