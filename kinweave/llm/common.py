@@ -1,18 +1,17 @@
 """Shared helpers: scratch tables in the cluster's shared folder, and vectorised text hashing.
 
-A span's 64-bit hash takes eight bytes at a time through a non-linear mixing step (no polynomial, so
-strings of a regular build don't collide), for all spans of an Arrow batch at once; spans of over
-LONG bytes are hashed by BLAKE2b. Hashes are the same on every executor.
+A long span's 64-bit hash is cut from its BLAKE2b digest, computed once for each distinct span of a batch;
+fingerprints of sequences mix those of their parts. Hashes are the same on every executor.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,8 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 _SEED = U(0x9E3779B97F4A7C15)
-#: The bytes of a little-endian letter that belong to a span with so many bytes left.
-_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
-#: Spans of more bytes are hashed by BLAKE2b, one by one.
-LONG = 256
+#: The bytes of a little-endian number that belong to a span of so many bytes.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(8)], U)
 #: ASCII white space of the contracts: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -158,17 +155,23 @@ def letters(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[starts[i]:ends[i]]."""
-    letter, size = letters(data), ends - starts
-    out = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + _SEED)
-    live, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
-    while len(live):
-        left = size[live] - done
-        out[live] = mix(out[live] ^ (letter[starts[live] + done] & _FIRST[np.minimum(left, 8)]))
-        live, done = live[left > 8], done + 8
-    long = np.flatnonzero(size > LONG)
-    for i in long.tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    """64-bit hashes of the spans data[starts[i]:ends[i]] (in order, none overlap). Spans of at most 7 bytes go
+    into 64 bits with their length, so theirs differ if they do; of longer ones it is 64 bits of their BLAKE2b
+    digest. Equal ones are found by their bytes first, so each is hashed once a call. No strings with equal
+    hashes can be written down on purpose, as could be for a hash with an inverse."""
+    size = ends - starts
+    out = mix((letters(data)[starts] & _FIRST[np.minimum(size, 7)]) | (size.astype(U) << U(56)))
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        step = np.zeros(len(data) + 1, np.int8)
+        step[starts[long]] += 1  # no two spans start, or end, at one place
+        step[ends[long]] -= 1
+        inside = data[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+        offsets = np.zeros(len(long) + 1, np.int64)
+        np.cumsum(size[long], out=offsets[1:])
+        words = pa.Array.from_buffers(pa.large_binary(), len(long), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(inside))]).dictionary_encode()
+        digests = b"".join([blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist()])
+        out[long] = np.frombuffer(digests, "<u8")[words.indices.to_numpy()]
     return out
 
 

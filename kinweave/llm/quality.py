@@ -22,6 +22,10 @@ LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SAMPLE, SAMPLE_CHARS = 400, 20_000
 
 
+#: Measures of a text each, which a subset of the texts takes over.
+_BY_TEXT = {"n_words", "word_chars", "n_symbols", "letter_words", "lines", "repeat"}
+
+
 class Texts:
     """A batch of texts with measures that are computed once, on demand."""
 
@@ -32,10 +36,13 @@ class Texts:
         return len(self.offsets) - 1
 
     def subset(self, rows: np.ndarray) -> Texts:
+        """Some of the texts, with what was measured of them."""
         keep = np.zeros(len(self), bool)
         keep[rows] = True
         sizes = np.diff(self.offsets)
-        return Texts(self.data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
+        out = Texts(self.data[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
+        out._kept = {name: value[keep] for name, value in self._kept.items() if name in _BY_TEXT}
+        return out
 
     def _once(self, name: str, make: Callable):
         if name not in self._kept:
@@ -49,22 +56,25 @@ class Texts:
         return self._once("hashes", lambda: span_hashes(self.data, *self.words()[:2]))
 
     def n_words(self) -> np.ndarray:
-        return np.diff(self.words()[2])
+        return self._once("n_words", lambda: np.diff(self.words()[2]))
 
     def word_chars(self) -> np.ndarray:
-        return row_sums(((self.data & 0xC0) != 0x80) & ~((self.data == 32) | ((self.data >= 9) & (self.data <= 13))), self.offsets)
+        return self._once("word_chars", lambda: row_sums(((self.data & 0xC0) != 0x80) & ~((self.data == 32) | ((self.data >= 9) & (self.data <= 13))), self.offsets))
 
     def n_symbols(self) -> np.ndarray:
-        return row_sums(SYMBOLS[self.data], self.offsets)
+        return self._once("n_symbols", lambda: row_sums(SYMBOLS[self.data], self.offsets))
 
     def letter_words(self) -> np.ndarray:
-        starts, ends, first = self.words()
-        letters = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum(LETTER[self.data], out=letters[1:])
-        return row_sums(letters[ends] > letters[starts], first)
+        def make():
+            starts, ends, first = self.words()
+            letters = np.zeros(len(self.data) + 1, np.int64)
+            np.cumsum(LETTER[self.data], out=letters[1:])
+            return row_sums(letters[ends] > letters[starts], first)
+
+        return self._once("letter_words", make)
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """By text: lines with a word, and those of them equal to an earlier line."""
+    def lines(self) -> np.ndarray:
+        """By text, in two columns: lines with a word, and those of them equal to an earlier line."""
 
         def make():
             starts, ends, first = spans_of(self.data != 10, self.offsets)
@@ -74,7 +84,7 @@ class Texts:
             key = mix(span_hashes(self.data, starts, ends)[full] + row[full].astype(U) * U(0x9E3779B97F4A7C15))
             at = np.unique(key, return_index=True)[1]
             n = np.bincount(row[full], minlength=len(self))
-            return n, n - np.bincount(row[full][at], minlength=len(self))
+            return np.stack([n, n - np.bincount(row[full][at], minlength=len(self))], axis=1)
 
         return self._once("lines", make)
 
@@ -112,7 +122,7 @@ RULES = (
     Rule("symbols", lambda t: 4 * t.n_symbols() > t.n_words()),
     Rule("word_length", lambda t: (t.word_chars() < 2 * t.n_words()) | (t.word_chars() > 20 * t.n_words())),
     Rule("no_letters", lambda t: 2 * t.letter_words() < t.n_words()),
-    Rule("repeated_lines", lambda t: (t.lines()[0] >= 4) & (2 * t.lines()[1] > t.lines()[0])),
+    Rule("repeated_lines", lambda t: (t.lines()[:, 0] >= 4) & (2 * t.lines()[:, 1] > t.lines()[:, 0])),
 )
 
 
@@ -157,17 +167,20 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, metrics: bool = Tr
 
     Words are [^\\x20\\x09-\\x0D]+; null counts as a text without words, and is rejected like any
     text of under 50 words. The cascade runs on Arrow batches; a text that one rule rejects is not
-    seen by the next. Repeated rows give a row each; an empty table gives none.
+    seen by the next, and measures that are asked for of all texts are taken once. Very long texts are
+    batches of their own. The order of rules that reject equally much for their cost is that of `rules`. Repeated
+    rows give a row each; an empty table gives none. Other columns are ignored, whatever their names.
     """
     order = plan(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             t = Texts(*text_bytes(batch.column("text")))
+            measures = {}
+            if metrics:  # asked for of all texts, so the cascade looks them up
+                measures = {"n_words": t.n_words(), "word_chars": t.word_chars(), "n_symbols": t.n_symbols(), "n_dup_lines": t.lines()[:, 1], "n_repeat_words": t.n_repeat_words(), "base_failed": base_failed(t)}
             first = cascade(t, order)
             out = {"doc_id": batch.column("doc_id"), "kept": first < 0, "reason": pa.array([order[k].name if k >= 0 else None for k in first], pa.string())}
-            if metrics:
-                out |= {"n_words": t.n_words(), "word_chars": t.word_chars(), "n_symbols": t.n_symbols(), "n_dup_lines": t.lines()[1], "n_repeat_words": t.n_repeat_words(), "base_failed": base_failed(t)}
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | measures)
 
     return bare(docs, "text").mapInArrow(run, "doc_id long, kept boolean, reason string" + (", " + METRICS) * metrics)
