@@ -103,6 +103,7 @@ def _before(items: Column, value, join) -> Column:
     return F.flatten(F.zip_with(blocks, scan(F.lit(0), totals, lambda t: t), lambda b, start: scan(start, b, value)))
 
 
+_MATCHES = "array<struct<gap:string,m:string,next:string>>"
 _CANDIDATE = "array<struct<kind:int,loose:boolean,start:int,end:int,value:string,base:boolean,before:string,after:string>>"
 
 
@@ -114,7 +115,7 @@ def _matches(kind: str, loose: bool, text: Column) -> Column:
     each = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("m"), F.slice(gaps, F.lit(2), F.size(found)).alias("next")), F.lit(1), F.size(found))
     need = NEEDS.get(kind) if not loose else {"ip": ":", "card": "."}.get(kind)
     here = text.rlike(pattern) if need is None else F.contains(text, F.lit(need)) & text.rlike(pattern)
-    return F.when(here, each).otherwise(F.slice(each, 1, 0))
+    return F.when(here, each).otherwise(F.array().cast(_MATCHES))
 
 
 def _spans(kind: str, loose: bool, each: Column, starts: Column) -> Column:
