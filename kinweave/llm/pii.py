@@ -83,6 +83,11 @@ def _valid(kind: str, value: Column) -> Column:
 BLOCK = 64
 
 
+def _bound(value: Column, of) -> Column:
+    """`of` applied to a value that is computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _blocks(items: Column) -> Column:
     """items in arrays of BLOCK each."""
     n = F.size(items)
@@ -135,15 +140,19 @@ def _spans(kind: str, loose: bool, each: Column, starts: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), text (null: empty), and the array of all candidates, which may
     overlap."""
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    names = [(k, loose) for loose in (False, True) for k in KINDS]
-    df = df.withColumns({f"m_{k}_{loose}": _matches(k, loose, F.col("text")) for k, loose in names})
-    # lengths of gaps and matches, added up
-    df = df.withColumns({f"s_{k}_{loose}": _before(F.col(f"m_{k}_{loose}"), lambda x: F.length(x["gap"]) + F.length(x["m"]), lambda a, b: a + b) for k, loose in names})
-    df = df.withColumns({f"{k}_{loose}": _spans(k, loose, F.col(f"m_{k}_{loose}"), F.col(f"s_{k}_{loose}")) for k, loose in names})
+    text = F.coalesce("text", F.lit(""))
+    reach = lambda x: F.length(x["gap"]) + F.length(x["m"])
+
+    def generator(k: str, loose: bool) -> Column:
+        placed = lambda m: _bound(_before(m, reach, lambda a, b: a + b), lambda at: _spans(k, loose, m, at))
+        return _bound(_matches(k, loose, text), placed)
+
+    # one expression a generator, with its parts bound in it: as columns of their own they would be written out
+    # again and again in any filter that the optimiser pushes down
+    found = [generator(k, loose) for loose in (False, True) for k in KINDS]
     # a number that fails the base test of an address is none; too few or too many digits are no phone number
     real = lambda c: c["base"] | F.when(c["kind"] == KINDS.index("ip"), c["loose"]).when(c["kind"] == KINDS.index("phone"), F.length(_digits(c["value"])).between(6, 15)).otherwise(True)
-    return df.select("row", "text", F.filter(F.concat(*[F.col(f"{k}_{loose}") for k, loose in names]), real).alias("candidates"))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.filter(F.concat(*found), real).alias("candidates"))
 
 
 def features(c: Column) -> Column:
