@@ -8,6 +8,8 @@ from random import Random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.sources.scratch import saved
+
 
 @dataclass(frozen=True)
 class GroupQuery:
@@ -21,37 +23,50 @@ class GroupQuery:
     high: int = 1 << 30
 
 
-def _within(sets: dict[str, tuple]) -> Column:
+def _within(sets: dict[str, tuple], of=F.col) -> Column:
     out = F.lit(True)
     for a, values in sets.items():
-        out = out & F.col(a).isin(*values)
+        out = out & of(a).isin(*values)
     return out
 
 
-def _holds(q: GroupQuery, k: int) -> Column:
-    """Over a parent's counts: one member needs one row; two distinct ones need a row for each, and
-    two rows in all."""
-    if len(q.members) == 1:
-        ok = F.col(f"_{k}_0") > 0
-    else:
-        ok = (F.col(f"_{k}_0") > 0) & (F.col(f"_{k}_1") > 0) & (F.col(f"_{k}_u") > 1)
+def _holds(q: GroupQuery) -> Column:
+    """Over a group's shape: one member needs one row; two distinct ones need a row for each, and two
+    rows in all."""
+    of = lambda x, m: _within(m, lambda a: x[a])
+    ok = F.lit(True)
+    for m in q.members:
+        ok = ok & (F.size(F.filter("_members", lambda x: of(x, m))) > 0)  # noqa: B023, the lambda is called here
+    if len(q.members) == 2:
+        either = F.filter("_members", lambda x: of(x, q.members[0]) | of(x, q.members[1]))
+        ok = ok & ((F.size(either) > 1) | F.exists(either, lambda x: x["_copies"] > 1))
     return ok & (F.col("size") >= q.low) & (F.col("size") < q.high) & _within(q.parent)
 
 
+def shapes(parent: DataFrame, pk: str, child: DataFrame, fk: str, queries: list[GroupQuery]) -> DataFrame:
+    """Groups by all that the queries ask of them: the parent's attributes, size, and `_members`, the distinct
+    combinations of the members' attributes, each with whether it occurs once or more often; n_groups of each
+    shape. A list is bounded by the attributes' domain, however large the group. Groups without a parent and
+    parents without a group are left out."""
+    mine = sorted({a for q in queries for m in q.members for a in m})
+    theirs = sorted({a for q in queries for a in q.parent})
+    rows = child.groupBy(F.col(fk).alias("_group"), *[F.col(a).alias(f"_m_{a}") for a in mine]).agg(F.count(F.lit(1)).alias("_n"))
+    member = F.struct(*[F.col(f"_m_{a}").alias(a) for a in mine], F.least("_n", F.lit(2)).cast("int").alias("_copies"))
+    groups = rows.groupBy("_group").agg(F.sum("_n").alias("size"), F.array_sort(F.collect_list(member)).alias("_members"))
+    parents = parent.select(F.col(pk).alias("_group"), *theirs)
+    return groups.join(parents, "_group").groupBy(*theirs, "size", "_members").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
 def answer(parent: DataFrame, pk: str, child: DataFrame, fk: str, queries: list[GroupQuery], batch: int = 60) -> DataFrame:
-    """(query, n): all queries of a batch are conditional sums of one scan: members are reduced to
-    flags by parent first, partially on the map side, then flags to counts."""
-    out = None
+    """(query, n): the child is read and shuffled once, for all queries. Groups of one shape are counted
+    together; each batch of queries is a row of conditional sums over the shapes, which are written first where
+    there is more than one batch."""
+    out, found = None, shapes(parent, pk, child, fk, queries)
+    if len(queries) > batch:
+        found = saved(found)
     for at in range(0, len(queries), batch):
         part = queries[at : at + batch]
-        flags = [F.count(F.lit(1)).alias("size")]
-        for k, q in enumerate(part):
-            met = [_within(m) for m in q.members]
-            flags += [F.sum(F.when(p, 1).otherwise(0)).alias(f"_{k}_{i}") for i, p in enumerate(met)]
-            if len(met) == 2:
-                flags.append(F.sum(F.when(met[0] | met[1], 1).otherwise(0)).alias(f"_{k}_u"))
-        groups = child.groupBy(fk).agg(*flags).join(parent, F.col(fk) == F.col(pk))
-        counts = groups.agg(*[F.sum(F.when(_holds(q, k), 1).otherwise(0)).cast("long").alias(q.name) for k, q in enumerate(part)])
+        counts = found.agg(*[F.sum(F.when(_holds(q), F.col("n_groups")).otherwise(0)).cast("long").alias(q.name) for q in part])
         rows = counts.select(F.explode(F.array(*[F.struct(F.lit(q.name).alias("query"), F.coalesce(F.col(q.name), F.lit(0)).alias("n")) for q in part])).alias("x")).select("x.*")
         out = rows if out is None else out.unionByName(rows)
     return out
