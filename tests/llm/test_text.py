@@ -249,6 +249,17 @@ def test_pii(spark, booster, empty):
     assert pii.find(empty, booster).collect() == []
 
 
+def test_pii_summary_counts_each_kind(spark, booster):
+    """Counts by kind against the contract's patterns, with none, one and many of a kind."""
+    texts = [None, "", "a@b.c d@e.f g@h.i", "1.2.3.4 and +49 30 1234567, +49 30 7654321", "4111 1111 1111 1111", "x@y.org 9.8.7.6 4111111111111111 +1 555 123 4567", "a@b.c " * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.summary(pii.find(df, booster)).collect()}
+    for i, text in enumerate(texts):
+        base, r = base_spans(text or ""), got[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
 def test_pii_leaves_prose_alone(docs, booster):
     assert [r.doc_id for r in pii.find(docs, booster).select("doc_id", "spans").collect() if r.spans] == []
 
