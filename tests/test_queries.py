@@ -45,3 +45,18 @@ def test_same_rows_as_sql(spark, duck, name):
         return
     rel = duck.sql(registry.ORACLE_SQL[name])
     assert got == rows(rel.columns, rel.fetchall())
+
+
+def test_capped_pairs_are_the_first_of_all_pairs(spark, duck):
+    """No pair twice, and those that all pairs' hashes put first, made one by one here."""
+    import hashlib
+
+    got = {}
+    for r in registry.QUERIES["pairs_capped"](spark, SF).collect():
+        got.setdefault(r.l_orderkey, []).append((r.rn_a, r.rn_b, r.weight))
+    want = {}
+    for key, n in duck.sql("select l_orderkey, least(count(*), 7) from lineitem group by 1 having count(*) > 1").fetchall():
+        every = [(a, b) for b in range(2, n + 1) for a in range(1, b)]
+        first = sorted(every, key=lambda p, key=key: (int(hashlib.md5(f"{key}-{p[0]}-{p[1]}".encode()).hexdigest()[:8], 16), p))[:5]
+        want[key] = sorted((a, b, round(n / len(first), 6)) for a, b in first)
+    assert {k: sorted(v) for k, v in got.items()} == want
