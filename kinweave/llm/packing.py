@@ -7,6 +7,7 @@ sequence are chosen on it, then pieces get their places from their ranks within
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -36,13 +37,16 @@ class WordEncoder:
     is cut at ASCII white space, and each distinct word is encoded once, by the tokenizers library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        # a task has one core: the library's own threads would spin, and keep memory, beside other tasks'
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.memo = memo
         self.last = np.zeros(1 + max(vocab.values()), bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
@@ -55,18 +59,24 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> list[int]:
         """The numbers of words, after those not known yet have been encoded."""
         known = self.number
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > MEMO:
+        got = list(map(known.get, words))
+        new = [w for w, k in zip(words, got, strict=True) if k is None] if None in got else []
+        if not new:
+            return got
+        if len(known) + len(new) > self.memo:
             self.clear()
             known, new = self.number, words
-        if new:
-            ids, sizes = self._encode_words(new)
-            known |= zip(new, range(len(known), len(known) + len(new)), strict=True)
-            end = self.first[-1]
-            if end + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids[:end], np.zeros(2 * end + len(ids), np.uint32)])
-            self.ids[end : end + len(ids)] = ids
-            self.first = np.concatenate([self.first, end + np.cumsum(sizes)])
+        step = max(1, self.memo // 32)  # the library's encodings take some hundred bytes a token
+        parts = [self._encode_words(new[k : k + step]) for k in range(0, len(new), step)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        known |= zip(new, range(len(known), len(known) + len(new)), strict=True)
+        end = self.first[-1]
+        if end + len(ids) > len(self.ids):
+            room = np.empty(2 * end + len(ids), np.uint32)  # pages not written to take no memory
+            room[:end] = self.ids[:end]
+            self.ids = room
+        self.ids[end : end + len(ids)] = ids
+        self.first = np.concatenate([self.first, end + np.cumsum(sizes)])
         return list(map(known.__getitem__, words))
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +124,13 @@ class WordEncoder:
         return self.ids[at], total[bounds]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int = MEMO) -> WordEncoder:
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = WordEncoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 # ---- the plan over the histogram of lengths ----------------------------------------------------
@@ -247,13 +257,13 @@ def plan_slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, in
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
-def _cut(path: str, size: int, end_id: int, with_ids: bool):
+def _cut(path: str, size: int, end_id: int, with_ids: bool, memo: int = MEMO):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, task = np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in pieces(batches):
-            ids, offsets = encoder(path).encode(batch.column("text"))
+            ids, offsets = encoder(path, memo).encode(batch.column("text"))
             n = np.diff(offsets)
-            out = np.insert(ids, offsets[1:], end_id).astype("<u4")
+            out = np.insert(ids, offsets[1:], end_id).astype("<u4", copy=False)
             ends = np.cumsum(n + 1)
             parts = (n + size) // size  # ceil((n + 1) / size)
             row = np.repeat(np.arange(len(n)), parts)
@@ -261,7 +271,7 @@ def _cut(path: str, size: int, end_id: int, with_ids: bool):
             start = piece * size
             length = np.minimum(size, (n + 1)[row] - start)
             at = (ends - n - 1)[row] + start
-            raw = memoryview(out.tobytes())
+            raw = memoryview(out).cast("B")
             order = np.argsort(length, kind="stable")
             ordered = length[order]
             first = np.searchsorted(ordered, ordered)
@@ -280,7 +290,7 @@ def _cut(path: str, size: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: int = 1, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with
     `with_ids` the ids themselves.
 
@@ -289,12 +299,13 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 4096, end_id: int
     takes a rank within its length (its rank in its task plus what earlier tasks hold, a window over
     one row per task and length), and the plan, at most some thousand rows however large the input,
     gives the rank a sequence and a place. Repeated rows are packed once each; an empty table gives
-    no rows.
+    no rows. `memo` bounds the words whose ids a worker keeps: results are the same for any, less takes
+    more time and less memory.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    cut = scratch.save(bare(docs, "text").mapInArrow(_cut(path, size, end_id, with_ids), _PIECES + ", ids array<int>" * with_ids))
+    cut = scratch.save(bare(docs, "text").mapInArrow(_cut(path, size, end_id, with_ids, memo), _PIECES + ", ids array<int>" * with_ids))
     stock = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(size + 1, np.int64)
     for r in stock.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows

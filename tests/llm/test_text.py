@@ -249,6 +249,19 @@ def test_pii(spark, booster, empty):
     assert pii.find(empty, booster).collect() == []
 
 
+def test_kept_words_stay_bounded_and_give_the_same_ids():
+    """A small table starts afresh again and again; ids are those of the whole table, and a bound that one batch
+    fits in holds."""
+    import pyarrow as pa
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    small, large = packing.encoder(path, 500), packing.encoder(path)
+    for _ in range(12):
+        texts = pa.array([" ".join(f"w{rng.randrange(3000)}x" for _ in range(40)) for _ in range(10)])
+        a, b = small.encode(texts), large.encode(texts)
+        assert all((x == y).all() for x, y in zip(a, b, strict=True)) and len(small.number) <= 500
+
+
 def test_pii_summary_counts_each_kind(spark, booster):
     """Counts by kind against the contract's patterns, with none, one and many of a kind."""
     texts = [None, "", "a@b.c d@e.f g@h.i", "1.2.3.4 and +49 30 1234567, +49 30 7654321", "4111 1111 1111 1111", "x@y.org 9.8.7.6 4111111111111111 +1 555 123 4567", "a@b.c " * 70]
