@@ -18,6 +18,10 @@ from kinweave.llm.packing import pack
 from kinweave.llm.pii import redact
 
 
+#: Words whose ids a worker keeps while it packs: executors still hold what earlier stages took.
+WORDS_KEPT = 300_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known_language(docs)
 
@@ -35,7 +39,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, memo=WORDS_KEPT)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("pii", pii), ("best_fit_packing", best_fit_packing)]
