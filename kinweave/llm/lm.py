@@ -169,6 +169,17 @@ def _distinct(deal: Deal, words: np.ndarray, at: np.ndarray, context: np.ndarray
     return b[order], w[order], c[order], n[order]
 
 
+def _placed(deal: Deal, words: np.ndarray, at: np.ndarray, context: np.ndarray):
+    """As `_distinct`, but each token's place among the distinct pairs instead of counts."""
+    key, of = np.unique(at.astype(U) << U(32) | context, return_inverse=True)
+    w, c = words[key >> U(32)], key.astype(np.uint32)
+    b = deal.bucket(w, c)
+    order = np.argsort(b, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return b[order], w[order], c[order], place[of]
+
+
 def _runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words in order, each once, and how many pairs each has."""
     at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
@@ -504,7 +515,7 @@ def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Tota
         words, at = words[order], place[at]
         word = words[at]
         context = deal.contexts(word, first)
-        bucket, w, c, _ = _distinct(deal, words, at, context)
+        bucket, w, c, pair = _placed(deal, words, at, context)
         full, start = np.unique(bucket, return_index=True)
         by_pair, by_word = np.zeros((1 + KEPT, len(w)), np.int64), np.zeros((1 + 2 * KEPT, len(words)), np.int64)
         for p, a, b in zip(full.tolist(), start, np.append(start[1:], len(w)), strict=True):
@@ -516,14 +527,12 @@ def score(docs: DataFrame, rows: DataFrame, contexts: DataFrame, seen: list[Tota
         for k, x in enumerate(seen):
             n, guests, theirs = x.hot[:, where[is_hot]] if len(deal.hot) else np.zeros((3, 0), np.int64)
             by_word[0, is_hot], by_word[1 + 2 * k, is_hot], by_word[2 + 2 * k, is_hot] = n, guests, theirs
-        found = np.unique(context)
+        found, up = np.unique(context, return_inverse=True)
         edge, by_context = deal.slot_edges(found), np.zeros((1 + KEPT, len(found)), np.int64)
         for s in np.flatnonzero(np.diff(edge)).tolist():
             if answers[deal.buckets + s] is not None:
                 by_context[:, edge[s] : edge[s + 1]] = np.stack([_wide(x) for x in unpack(answers[deal.buckets + s])])
-        # each token's place among the pairs, the words and the contexts
-        order = np.argsort(keys := pair_keys(w, c))
-        pair, up = order[np.searchsorted(keys[order], pair_keys(word, context))], np.searchsorted(found, context)
+        # pair, at and up are each token's place among the pairs, the words and the contexts
         customers, p = by_context[0], np.zeros(len(word))
         for k, x in enumerate(seen):
             own = by_pair[0] - DISCOUNT[0] * by_pair[1 + k]

@@ -262,6 +262,18 @@ def test_kept_words_stay_bounded_and_give_the_same_ids():
         assert all((x == y).all() for x, y in zip(a, b, strict=True)) and len(small.number) <= 500
 
 
+def test_places_of_pairs():
+    """Each token's pair by its place, in the order that buckets are asked in."""
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 2**63, 40).astype(np.uint64))
+    at, context = rng.integers(0, len(words), 5000), rng.integers(0, 30, 5000).astype(np.uint32)
+    deal = lm.Deal(16, words[:5])
+    bucket, w, c, pair = lm._placed(deal, words, at, context)
+    assert (w[pair] == words[at]).all() and (c[pair] == context).all()
+    for got, want in zip((bucket, w, c), lm._distinct(deal, words, at, context)[:3], strict=True):
+        assert (got == want).all()
+
+
 def test_pii_summary_counts_each_kind(spark, booster):
     """Counts by kind against the contract's patterns, with none, one and many of a kind."""
     texts = [None, "", "a@b.c d@e.f g@h.i", "1.2.3.4 and +49 30 1234567, +49 30 7654321", "4111 1111 1111 1111", "x@y.org 9.8.7.6 4111111111111111 +1 555 123 4567", "a@b.c " * 70]
