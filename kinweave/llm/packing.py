@@ -8,6 +8,7 @@ sequence are chosen on it, then pieces get their places from their ranks within
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,14 +20,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import Scratch, bare, pieces
+from kinweave.llm.common import Scratch, bare, lower_ascii, pieces, text_bytes
 
-#: Distinct words whose ids one Python worker keeps; a full table starts afresh.
+#: Distinct words, or parts of words, whose ids one Python worker keeps; a full table starts afresh.
 MEMO = 1_000_000
 #: Words of Latin letters, with or without ASCII punctuation around them: each of the up to three
 #: parts is one pre-token, whatever the normaliser does. "'" and "<" are left out (contractions and
 #: special tokens); other words are encoded one by one.
 PLAIN = r"^([!-&(-/:;=-@\[-`{-~]*)[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:;=-@\[-`{-~]*)$"
+#: What a byte is in a word whose parts can be told by bytes alone: 1 an ASCII letter, 2 such punctuation, else 0.
+KIND = np.zeros(256, np.int8)
+KIND[[c for c in range(128) if re.match(PLAIN, f"{chr(c)}a")]] = 2
+KIND[[c for c in range(128) if chr(c).isalpha()]] = 1
+
+
+def word_parts(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct strings whose ids in a row are those of the words; the strings of all words, by number;
+    and n + 1 offsets into them by word.
+
+    A word of ASCII letters with or without punctuation around them is its up to three pre-tokens, with
+    small letters (the normaliser makes them so); any other word is left whole. "Word", "word" and "word,"
+    have "word" in common, which is encoded and looked up once."""
+    data, offsets = text_bytes(words)
+    kind = KIND[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = edge[:-1].copy()
+    starts[1:] |= kind[1:] != kind[:-1]
+    letters = np.concatenate([[0], np.cumsum(starts & (kind == 1))])
+    other = np.concatenate([[0], np.cumsum(kind == 0)])
+    plain = (np.diff(letters[offsets]) == 1) & (np.diff(other[offsets]) == 0)
+    inside = np.repeat(plain, np.diff(offsets))
+    starts &= inside | edge[:-1]
+    at = np.flatnonzero(starts)
+    low = np.where(inside, lower_ascii(data), data)
+    parts = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(low)]).dictionary_encode()
+    return parts.dictionary, parts.indices.to_numpy(), np.searchsorted(at, offsets)
 
 
 class WordEncoder:
@@ -34,7 +63,8 @@ class WordEncoder:
 
     The tokenizer drops white space before it splits, and no rule of its normaliser or of its
     pre-tokenizer reaches over white space, so a text's ids are those of its words in a row. A batch
-    is cut at ASCII white space, and each distinct word is encoded once, by the tokenizers library.
+    is cut at ASCII white space, words are cut into their parts where bytes show them (`word_parts`), and
+    each distinct part is encoded once, by the tokenizers library.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -114,14 +144,20 @@ class WordEncoder:
         """Ids of all texts in a row, and n + 1 offsets."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         words = lists.flatten().dictionary_encode()
-        number = np.array(self._learn(words.dictionary.to_pylist()), np.int64)
-        number = number[words.indices.to_numpy(zero_copy_only=False)]
-        sizes = np.diff(self.first)[number]
-        total = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(sizes, out=total[1:])
-        at = np.arange(total[-1]) + np.repeat(self.first[number] - total[:-1], sizes)
+        parts, of, edges = word_parts(words.dictionary)
+        number = np.array(self._learn(parts.to_pylist()), np.int64)[of]
+        ids, first = _gather(self.ids, self.first, number)  # of this batch's distinct words
+        ids, total = _gather(ids, first[edges], words.indices.to_numpy(zero_copy_only=False))
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        return self.ids[at], total[bounds]
+        return ids, total[bounds]
+
+
+def _gather(values: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs values[first[k]:first[k + 1]] for each k of `number`, in a row, and their n + 1 offsets."""
+    sizes = np.diff(first)[number]
+    total = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=total[1:])
+    return values[np.arange(total[-1]) + np.repeat(first[number] - total[:-1], sizes)], total
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}

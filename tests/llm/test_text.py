@@ -52,6 +52,22 @@ def test_word_encoder_equals_the_library():
         assert ids[at[k] : at[k + 1]].tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_share_the_ids_of_their_letters():
+    """Case and punctuation make no further words to encode; ids are the library's for any mix of bytes."""
+    import pyarrow as pa
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(11)
+    e = packing.WordEncoder(path)
+    e.encode(pa.array(["Word word, (WORD). word", "", None, " wOrd, "]))
+    assert set(e.number) == {"word", ",", "(", ")."}
+    t = Tokenizer.from_file(path)
+    letters = [*"abzAZ09.,;_|>()'-", "<", "s'", "É", "ß", "ẖ", "H\u0331", "İ", "\u212a", "e\u0301", "😀", "日", "\x7f", "\xa0", " ", "\n", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    ids, at = e.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_use_every_piece(seed):
     rng = np.random.default_rng(seed)
