@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import U, Scratch, bare, chain, lower_ascii, mix, pieces, row_of, span_hashes, text_bytes, text_volume, word_spans
-from kinweave.llm.components import components
+from kinweave.llm.components import joined
 from kinweave.llm.exchange import buckets_for, exchange
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -193,7 +193,7 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den:
     sets = scratch.save(sets_of(docs.join(stand, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]), n))
     cells = scratch.save(_first_columns(sets, num, den))
     rows = sets.select("doc_id", "key", *_PARITIES)
-    links, label = None, None
+    label = None
     for turn, leaders in enumerate([*LEADERS, None]):
         by_row = rows.withColumn("c", F.col("doc_id")) if label is None else rows.join(label, rows.doc_id == label.node, "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("c"))
         now = cells.join(by_row, ["doc_id", "key"])
@@ -217,12 +217,13 @@ def jaccard_classes(docs: DataFrame, n: int = WORDS, num: int = NUMERATOR, den:
             counted = met.groupBy("a", "b", "a_size", "b_size").agg(F.count(F.lit(1)).alias("overlap"))
             rest = F.greatest(F.ceil(F.col("a_size") * 2 * num / (num + den)), F.ceil(F.col("b_size") * num / den)) - 1
             pairs = counted.filter(_enough(F.col("overlap") + rest, F.col("a_size"), F.col("b_size"), num, den))
-        found = scratch.save(_verified(pairs, sets, num, den))
-        links = found if links is None else scratch.save(links.union(found).distinct())
-        label = components(links, scratch)
-        scratch.drop(now)
-    stands = folded.select("sign1", "sign2", "n_shingles", "stands").join(label, folded.stands == label.node, "left")
-    stands = stands.select("sign1", "sign2", "n_shingles", F.coalesce("component", "stands").alias("stands"))
+        found, seen = scratch.save_with(_verified(pairs, sets, num, den), links=F.lit(1))
+        if seen["links"]:
+            label = joined(label, found, scratch)
+        scratch.drop(now, found)
+    stands = folded.select("sign1", "sign2", "n_shingles", "stands")
+    if label is not None:
+        stands = stands.join(label, stands.stands == label.node, "left").select("sign1", "sign2", "n_shingles", F.coalesce("component", "stands").alias("stands"))
     own = F.when((F.col("n_shingles") > 0) & (den * F.col("n_shared") >= num * F.col("n_shingles")), F.col("stands"))
     out = every.join(stands, ["sign1", "sign2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id"), *["key"] * keys)

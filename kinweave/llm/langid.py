@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import U, bare, pieces, release, read_documents, remainder
+from kinweave.llm.common import U, bare, pieces, read_documents, release_driver, remainder
 
 LETTER = regex.compile(r"\p{L}")
 #: n-grams of one to three characters, hashed into so many features.
@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, noise:
 
     t = min(np.exp(np.linspace(-3, 3, 61)), key=loss) if len(y) else 1.0
     del rows, held, used, got
-    release()  # the driver lives on
+    release_driver(labelled.sparkSession)  # it lives on
     return Model(languages, (w * (SCALE * idf)[:, None]).astype(np.float32), b, float(t))
 
 

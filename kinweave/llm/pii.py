@@ -16,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bare
+from kinweave.llm.common import bare, release_driver
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -306,6 +306,7 @@ def fit(docs: DataFrame, rows: int = GENERATED, precision: float = PRECISION, tr
     score = f"1D / (1D + exp(-({float(platt.coefficients[0])!r}D * ({margin}) + ({float(platt.intercept)!r}D))))"
     held = one.filter("part = 4").selectExpr("cast(f.kind as int) as kind", "label", f"{score} as p").collect()
     one.unpersist()
+    release_driver(docs.sparkSession)
     thresholds, measured = {}, {}
     for kind, name in enumerate(KINDS):
         rated = sorted(((r.p, r.label) for r in held if r.kind == kind), reverse=True)

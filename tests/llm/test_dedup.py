@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from kinweave.llm.components import components
+from kinweave.llm.components import components, joined
 from kinweave.llm.common import Scratch
 from kinweave.llm.exact import exact_dedup, keep_first
 from kinweave.llm.jaccard import jaccard_classes, keep_one
@@ -229,3 +229,28 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(links, Scratch(spark, "test")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_joined_components_equal_those_of_all_links(spark):
+    """Links that come in parts, some without any new node, give what all of them give at once."""
+    rng, scratch, label, every = random.Random(4), Scratch(spark, "test"), None, []
+    for n in (25, 6, 12):
+        part = [tuple(rng.sample(range(60), 2)) for _ in range(n)]
+        every += part
+        label = joined(label, spark.createDataFrame(part, "a long, b long"), scratch)
+        whole = components(spark.createDataFrame(every, "a long, b long"), scratch)
+        got = sorted(map(tuple, label.collect()))
+        assert got == sorted(map(tuple, whole.collect())) and len(got) == len({x for link in every for x in link})
+
+
+def test_rounds_without_links_join_nothing(spark):
+    """The driver keeps something of each job: a round that finds no link starts none for components."""
+    rng = random.Random(1)
+    passage, word = " ".join(f"p{k}" for k in range(12)), lambda: f"w{rng.randrange(50)}"
+    texts = [(k, f"{passage} " + " ".join(word() for _ in range(30))) for k in range(30)]
+    spark.sparkContext.setJobGroup("unlinked", "texts with a common passage")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("unlinked"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_classes(texts) and {c for _, c in got.values()} == set(range(30))
+    assert 0 < jobs < 80  # 110 with components after each round
