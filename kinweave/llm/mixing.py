@@ -51,7 +51,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     Resharing until none is above ends where a level L gives each source min(weight * L, most * size), and the
     sources that stop are the first ones by size / weight. So two running sums find L: there are no rounds.
     Sources are in code point order, null last."""
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
+    # long: a weight times some hundred million words is beyond an int
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long")
     ranked = number_within(sources, [], [F.asc_nulls_last("source")], "_rank").withColumn("_w", weight)
     ranked = sums_before(ranked, [], [F.col("source_size") / F.col("_w"), F.col("_rank")], {"_stopped": most * F.col("source_size"), "_gone": F.col("_w")})
     total, all_weights = ranked.agg(F.sum("source_size"), F.sum("_w")).first()

@@ -150,6 +150,15 @@ def test_targets_stop_at_their_limit_and_reshare(spark):
         assert math.isclose(sum(r.target for r in got), sum(sizes.values()))
 
 
+@pytest.mark.parametrize("size", [430_000_000, 1_600_000_000, 2_147_483_000, 3_000_000_000_000])
+def test_targets_of_sizes_near_the_end_of_an_int(spark, size):
+    """A weight times the words of all sources is more than an int holds, also where the words alone are not."""
+    sizes = {"a": size // 2, "b": size // 4, "c": size // 4, None: 10}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = plain_targets(sizes, mixing.WEIGHTS, mixing.MOST)
+    assert {r.source: r.target for r in got} == pytest.approx(want)
+
+
 def test_mix_of_nothing(spark, empty):
     assert mixing.mix(empty).collect() == []
     blank = spark.createDataFrame([(1, None, None, None, None, "g", 1), (2, " ", None, "a", None, "g", 1)], SCHEMA)
