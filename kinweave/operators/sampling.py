@@ -13,9 +13,14 @@ from pyspark.sql.types import ArrayType
 
 from kinweave.functions.columns import md5_int
 from kinweave.operators.ordered import number_within
+from kinweave.sources.scratch import saved
 
 #: Values that a drawn column may have: they become an array by context.
 MOST_VALUES = 50_000
+#: Copies of a row that are made at once, and tasks that copies are dealt out to at most.
+BLOCK, MOST_TASKS = 1 << 15, 10_000
+#: Steps that are looked at one by one.
+FEW = 32
 
 
 def random_round(p: DataFrame, by: list[str], value: str, n: str, key: Column | None = None) -> DataFrame:
@@ -34,8 +39,16 @@ def random_round(p: DataFrame, by: list[str], value: str, n: str, key: Column |
 
 
 def expand(counts: DataFrame, n: str) -> DataFrame:
-    """Each row n times, with copy from 1."""
-    return counts.filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+    """Each row n times, with copy from 1. Where a row's copies are more than a block, blocks of them are dealt out
+    to tasks first: neither an array nor a task holds all copies of a row."""
+    counts = saved(counts.filter(F.col(n) > 0))  # noisy counts are drawn once
+    one, upto = F.lit(1).cast("long"), F.col(n).cast("long")
+    rows, largest = counts.agg(F.sum(upto), F.max(upto)).first()
+    if (largest or 0) <= BLOCK:
+        return counts.withColumn("copy", F.explode(F.sequence(one, upto)))
+    blocks = counts.withColumn("_from", F.explode(F.sequence(one, upto, F.lit(BLOCK).cast("long"))))
+    blocks = blocks.repartition(min(-(-rows // (8 * BLOCK)), MOST_TASKS))
+    return blocks.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_from") + (BLOCK - 1), upto)))).drop("_from")
 
 
 def join_contexts(rows: DataFrame, contexts: DataFrame, by: list[str], how: str = "left") -> DataFrame:
@@ -53,9 +66,19 @@ def _steps(counts: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
     return some.groupBy(*by).agg(F.array_sort(F.collect_list("_s")).alias("_steps"))
 
 
-def _at(place: Column) -> Column:
-    """The value of the first step beyond a place."""
-    return F.get(F.filter("_steps", lambda s: s["upto"] > place), F.lit(0))["value"]
+def _at(place: Column, most: int | None = None) -> Column:
+    """The value of the first step beyond a place. Where there are few steps at most, they are looked at one by one:
+    a lambda is interpreted, and what the place is made of is made again for each step."""
+    if not 0 < (most or 0) <= FEW:
+        return F.get(F.filter("_steps", lambda s: s["upto"] > place), F.lit(0))["value"]
+    step = [F.get("_steps", F.lit(i)) for i in range(most)]
+    return reduce(lambda found, s: found.when(s["upto"] > place, s["value"]), step[1:], F.when(step[0]["upto"] > place, step[0]["value"]))
+
+
+def _part(u: Column, total: Column) -> Column:
+    """floor(u * total / 2^32) for a u below 2^32 and any total, without a product beyond a long."""
+    low, high = F.call_function("mod", F.shiftright(total, 16), F.lit(1 << 16)), F.shiftright(total, 32)
+    return u * high + F.shiftright(u * low + F.shiftright(u * total.bitwiseAND(F.lit((1 << 16) - 1)), 16), 16)
 
 
 def conditional_fill(rows: DataFrame, by: list[str], key: str, weights: DataFrame, value: str) -> DataFrame:
@@ -78,13 +101,14 @@ def conditional_fill(rows: DataFrame, by: list[str], key: str, weights: DataFram
     return join_contexts(numbered, steps, by).withColumn(value, _at(F.col("_i"))).drop("_i", "_steps")
 
 
-def inverse_cdf(rows: DataFrame, by: list[str], key: Column, weights: DataFrame, value: str) -> DataFrame:
+def inverse_cdf(rows: DataFrame, by: list[str], key: Column, weights: DataFrame, value: str, most: int | None = None) -> DataFrame:
     """rows with a value drawn by its integer weight `n` within `by`, from the key's hash: no order
-    over the rows, so a context may hold any share of them. Null in a context without weights."""
+    over the rows, so a context may hold any share of them. Null in a context without weights. `most`: how many
+    values a context has at most, where that is known."""
     steps = _steps(weights, by, value, "n").withColumn("_total", F.element_at("_steps", -1)["upto"])
     # floor(u * total / 2^32), exactly: it is below a step's sum if u * total is below it times 2^32
-    drawn = join_contexts(rows, steps, by).withColumn("_u", md5_int(key).cast("decimal(20,0)") * F.col("_total").cast("decimal(18,0)"))
-    return drawn.withColumn("_u", F.expr("_u div cast(4294967296 as decimal(20,0))")).withColumn(value, _at(F.col("_u"))).drop("_steps", "_total", "_u")
+    drawn = join_contexts(rows, steps, by).withColumn("_u", _part(md5_int(key), F.col("_total")))
+    return drawn.withColumn(value, _at(F.col("_u"), most)).drop("_steps", "_total", "_u")
 
 
 def resample_column(rows: DataFrame, target: str, potentials: list[DataFrame], key: Column) -> DataFrame:

@@ -2,9 +2,10 @@
 parent's, its own earlier columns and those of earlier members.
 
 Members of a group are exchangeable, so a marginal over any two or three slots is one over the first two or
-three of a random permutation. A column of slot t is drawn in groups of more than t members only. The
-measured tables are bounded by a limit of cells; rows of groups meet them in broadcast joins and are never
-shuffled, so drawing is one pass over the new groups, whatever the number of columns.
+three of a random permutation. A column of slot t is drawn in groups of more than t members only. Groups
+are brought together once and counted by kind (the parent's values and the multiset of the members'); members of
+kinds are permuted, not those of groups. The measured tables are bounded by a limit of cells; rows of groups meet them
+in broadcast joins and are never shuffled, so drawing is one pass over the new groups, whatever the number of columns.
 """
 
 from __future__ import annotations
@@ -51,13 +52,39 @@ def canonical(columns: list[str]) -> dict[str, str]:
     return {c: c if slot_of(c) < 0 else f"m{slots.index(slot_of(c))}_{attr_of(c)}" for c in columns}
 
 
+# ---- groups by kind -----------------------------------------------------------------------------
+
+
+def gathered(members: DataFrame, fk: str, attrs: list[str]) -> DataFrame:
+    """(fk, members): one row per group, with the values of its members (rows of groups cut to some size)."""
+    return members.groupBy(fk).agg(F.collect_list(F.struct(*attrs)).alias("members"))
+
+
+def gathered_wide(wide: DataFrame, attrs: list[str], slots: int, keep: list[str]) -> DataFrame:
+    """(keep, members): the same of rows (size, m{t}_{attribute}), without a shuffle."""
+    cells = F.array(*[F.struct(*[F.col(f"m{t}_{a}").alias(a) for a in attrs]) for t in range(slots)])
+    return wide.select(*keep, F.slice(cells, 1, F.least("size", F.lit(slots)).cast("int")).alias("members"))
+
+
+def kinds(groups: DataFrame, attrs: list[str], parent_attrs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Groups (parent_attrs, members) counted by kind, as members (kind, rn, n, attrs) and parents (kind,
+    parent_attrs, groups): marginals over any members' permutations need no more. There are never more kinds than
+    groups, and with small domains and sizes there are few."""
+    counted = groups.groupBy(*parent_attrs, F.sort_array("members").alias("members")).agg(F.count(F.lit(1)).alias("groups"))
+    counted = saved(counted.withColumn("kind", F.monotonically_increasing_id()))
+    rows = counted.select("kind", F.size("members").cast("long").alias("n"), F.posexplode("members").alias("rn", "m"))
+    return rows.select("kind", (F.col("rn") + 1).alias("rn"), "n", "m.*"), counted.select("kind", *parent_attrs, "groups")
+
+
 # ---- structure ---------------------------------------------------------------------------------
 
 
-def member_scores(members: DataFrame, fk: str, attrs: list[str], parent: DataFrame, pk: str, parent_attrs: list[str]) -> DataFrame:
-    """(a, b, score) over the parent's attributes and those of two members: m0_* and m1_* stand for any two."""
-    two = permute.permutations(members.filter("n > 1"), fk, attrs, 2).join(parent.select(F.col(pk).alias(fk), *parent_attrs), fk)
-    return marginals.r_scores(marginals.pair_counts(two, [*parent_attrs, *[f"m{t}_{a}" for t in (0, 1) for a in attrs]], F.col("weight")))
+def member_scores(members: DataFrame, fk: str, attrs: list[str], parent: DataFrame, pk: str, parent_attrs: list[str], times: str | None = None) -> DataFrame:
+    """(a, b, score) over the parent's attributes and those of two members: m0_* and m1_* stand for any two. A parent
+    stands for as many as its column `times` has."""
+    two = permute.permutations(members.filter("n > 1"), fk, attrs, 2).join(parent.select(F.col(pk).alias(fk), *parent_attrs, *([times] if times else [])), fk)
+    weight = F.col("weight") * F.col(times) if times else F.col("weight")
+    return marginals.r_scores(marginals.pair_counts(two, [*parent_attrs, *[f"m{t}_{a}" for t in (0, 1) for a in attrs]], weight))
 
 
 def score_between(scores: dict[frozenset[str], float], a: str, b: str) -> float:
@@ -107,19 +134,19 @@ def gaussian(key: Column, seed: int | None) -> Column:
     return F.randn() if seed is None else F.round(md5_gauss(F.concat_ws("#", F.lit(str(seed)), key)), 6)
 
 
-def measured(members: DataFrame, fk: str, parent: DataFrame, pk: str, draw: Draw, values: dict[str, list], sigma: float, seed: int | None, limit: int) -> DataFrame:
-    """The noisy marginal that a draw needs: (size, given, target, n) over all cells of groups with more members
-    than the target's slot; n is a whole number of thousandths, one more than the noisy count, so that every
+def measured(members: DataFrame, parents: DataFrame, draw: Draw, values: dict[str, list], sigma: float, seed: int | None, limit: int) -> DataFrame:
+    """The noisy marginal that a draw needs, from `kinds`: (size, given, target, n) over all cells of groups with more
+    members than the target's slot; n is a whole number of thousandths, one more than the noisy count, so that every
     cell can be drawn."""
     names = canonical([*draw.given, draw.target])
     slots = len({slot_of(c) for c in names} - {-1})
     some = members.filter(F.col("n") > draw.slot)
     if slots:
-        table = permute.permutations(some, fk, sorted({attr_of(c) for c in names if slot_of(c) >= 0}), slots)
+        table = permute.permutations(some, "kind", sorted({attr_of(c) for c in names if slot_of(c) >= 0}), slots)
     else:
-        table = some.filter("rn = 1").select(fk, "n").withColumn("weight", F.lit(1.0))
-    flat = table.join(parent.select(F.col(pk).alias(fk), *[c for c in names if slot_of(c) < 0]), fk)
-    m = flat.groupBy(F.col("n").alias("size"), *[F.col(names[c]).alias(c) for c in names]).agg(F.sum("weight").alias("v"))
+        table = some.filter("rn = 1").select("kind", "n").withColumn("weight", F.lit(1.0))
+    flat = table.join(parents.select("kind", "groups", *[c for c in names if slot_of(c) < 0]), "kind")
+    m = flat.groupBy(F.col("n").alias("size"), *[F.col(names[c]).alias(c) for c in names]).agg(F.sum(F.col("weight") * F.col("groups")).alias("v"))
     axes = {"size": [n for n in values["size"] if n > draw.slot]} | {c: values[attr_of(c)] for c in names}
     dense = marginals.filled(m, axes, limit)
     z = gaussian(F.concat_ws("|", F.lit(draw.target), "size", *names), seed)
@@ -135,10 +162,10 @@ def new_groups(child: DataFrame, fk: str, cap: int, sigma: float, seed: int | No
     return sampling.expand(counts, "n").select(F.concat_ws("-", "size", "copy").alias("group"), "size")
 
 
-def draw_groups(fresh: DataFrame, draws: list[Draw], tables: dict[str, DataFrame]) -> DataFrame:
+def draw_groups(fresh: DataFrame, draws: list[Draw], tables: dict[str, DataFrame], domain: dict[str, int]) -> DataFrame:
     """fresh (group, size) with all columns drawn, null in slots beyond the size."""
     for d in draws:
-        fresh = sampling.inverse_cdf(fresh, ["size", *d.given], F.concat_ws("#", F.lit(d.target), "group"), tables[d.target], d.target)
+        fresh = sampling.inverse_cdf(fresh, ["size", *d.given], F.concat_ws("#", F.lit(d.target), "group"), tables[d.target], d.target, domain[attr_of(d.target)])
     return fresh
 
 
@@ -151,30 +178,42 @@ def synthesise(child: DataFrame, fk: str, attrs: list[str], parent: DataFrame, p
     ledger = privacy.Ledger(budget, SHARES)
     domain = {a: len(x) for a, x in values.items()} | {"size": cap}
     values = values | {"size": list(range(1, cap + 1))}
-    members = permute.numbered(child.select(*dict.fromkeys([fk, *attrs]), *[o.alias(f"_o{k}") for k, o in enumerate(order)]), fk, [F.col(f"_o{k}") for k in range(len(order))], cap).select(fk, "rn", "n", *attrs)
-    members = saved(members)  # every marginal reads it
+    members = permute.numbered(child.select(*dict.fromkeys([fk, *attrs]), *[o.alias(f"_o{k}") for k, o in enumerate(order)]), fk, [F.col(f"_o{k}") for k in range(len(order))], cap)
+    groups_of = gathered(members, fk, attrs).join(parent.select(F.col(pk).alias(fk), *parent_attrs), fk)
+    members, parents = kinds(groups_of, attrs, parent_attrs)
     if draws is None:
-        scores = member_scores(members, fk, attrs, parent, pk, parent_attrs)
+        scores = member_scores(members, "kind", attrs, parents, "kind", parent_attrs, "groups")
         columns = len(parent_attrs) + 2 * len(attrs)
         noise = privacy.sigma(2, ledger.charge("scores", budget * SHARES["scores"]), columns * (columns - 1) // 2)
         noisy = scores.withColumn("score", F.col("score") + F.lit(noise) * gaussian(F.concat_ws("|", "a", "b"), seed))
         draws = plan({frozenset((r.a, r.b)): max(0.0, r.score) for r in noisy.collect()}, parent_attrs, attrs, cap, domain, most, limit)
     per = ledger.charge("marginals", budget * SHARES["marginals"]) / len(draws)
-    tables = {d.target: saved(measured(members, fk, parent, pk, d, values, privacy.sigma(1, per), seed, limit)) for d in draws}
+    tables = {d.target: saved(measured(members, parents, d, values, privacy.sigma(1, per), seed, limit)) for d in draws}
     fresh = new_groups(child, fk, cap, privacy.sigma(1, ledger.charge("sizes", budget * SHARES["sizes"])), seed)
-    return draw_groups(fresh, draws, tables), draws
+    return draw_groups(fresh, draws, tables, domain), draws
 
 
-def member_rows(wide: DataFrame, attrs: list[str], slots: int) -> DataFrame:
-    """(group, rn, n, attributes) of the members that groups have."""
-    rows = groups.recover(wide, "group", attrs, slots)
-    return rows.join(wide.select("group", F.col("size").alias("n")), "group").select("group", (F.col("slot") + 1).alias("rn"), "n", *attrs)
+def member_rows(wide: DataFrame, attrs: list[str], slots: int, parent_attrs: tuple[str, ...] = ()) -> DataFrame:
+    """(group, rn, n, the parent's attributes and the members') of the members that groups have."""
+    rows = gathered_wide(wide, attrs, slots, ["group", "size", *parent_attrs]).select("group", F.col("size").alias("n"), *parent_attrs, F.posexplode("members").alias("rn", "m"))
+    return rows.select("group", (F.col("rn") + 1).alias("rn"), "n", *parent_attrs, "m.*")
 
 
 def pair_shares(members: DataFrame, fk: str, attr: str) -> DataFrame:
     """(m0_, m1_, v): shares of value pairs over ordered pairs of members (fk, rn, n), each group of two or more
     counting once."""
-    m = permute.permutation_marginal(members.filter("n > 1"), fk, [attr], 2, size=False)
+    return _pair_shares(gathered(members.filter("n > 1"), fk, [attr]), attr)
+
+
+def wide_pair_shares(wide: DataFrame, attr: str, slots: int) -> DataFrame:
+    """The same of rows (size, m{t}_{attribute}), one per group."""
+    return _pair_shares(gathered_wide(wide.filter("size > 1"), [attr], slots, []), attr)
+
+
+def _pair_shares(groups: DataFrame, attr: str) -> DataFrame:
+    members, parents = kinds(groups, [attr], [])
+    pairs = permute.permutations(members, "kind", [attr], 2).join(parents, "kind")
+    m = pairs.groupBy(f"m0_{attr}", f"m1_{attr}").agg(F.sum(F.col("weight") * F.col("groups")).alias("v"))
     return m.withColumn("v", F.col("v") / F.sum("v").over(Window.partitionBy()))  # as many rows as value pairs
 
 

@@ -116,7 +116,7 @@ def sibling_scores(spark, d):
 def synth_siblings(spark, d):
     """New groups of lineitems, member by member."""
     wide = _synthetic(spark, d, DRAWS)
-    return siblings.member_rows(wide, ["flag", "status"], SLOTS).join(wide.select("group", "o_orderpriority"), "group").select("group", "rn", "n", "o_orderpriority", "flag", "status")
+    return siblings.member_rows(wide, ["flag", "status"], SLOTS, ("o_orderpriority",))
 
 
 @query(f"""WITH {_MEMBERS}, {_wide_sql("g", DRAWS)}, {_wide_sql("h", ALONE)}, gr AS ({_rows_sql("g")}), hr AS ({_rows_sql("h")}), true AS ({_pairs_sql("m", "l_orderkey")}), gp AS ({_pairs_sql("gr", '"group"')}), hp AS ({_pairs_sql("hr", '"group"')})

@@ -1,8 +1,10 @@
 """No row is lost to a null or an unknown value; hot contexts; members that depend on each other."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import columns as C
@@ -60,9 +62,63 @@ def test_ranks_of_ties_and_text(spark):
     assert sorted(r.n for r in draws.numbered_rows(df, [F.col("x")], "n").collect()) == list(range(60))
 
 
+def test_copies_of_one_row_are_dealt_out_to_tasks(spark):
+    n = 5 * 8 * sampling.BLOCK + 1
+    counts = spark.createDataFrame([("a", n), ("b", 3), ("c", 0), ("d", None)], "k string, n long")
+    got = sampling.expand(counts, "n")
+    assert got.columns == ["k", "n", "copy"]
+    by_task = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(by_task) == 6 and max(r["count"] for r in by_task) < n / 3
+    per = {r.k: tuple(r)[1:] for r in got.groupBy("k").agg(F.count("copy"), F.count_distinct("copy"), F.min("copy"), F.max("copy")).collect()}
+    assert per == {"a": (n, n, 1, n), "b": (3, 3, 1, 3)}
+
+
+def test_draws_take_whole_products(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(1 << 32), rng.randrange(1 << rng.randrange(1, 63))) for _ in range(500)] + [((1 << 32) - 1, (1 << 62) - 1), (0, 1), ((1 << 32) - 1, (1 << 32) - 1)]
+    got = spark.createDataFrame(pairs, "u long, t long").select("u", "t", sampling._part(F.col("u"), F.col("t")).alias("x")).collect()
+    assert all(r.x == r.u * r.t >> 32 for r in got)
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_drawn_values_are_those_of_the_steps(spark, most):
+    weights = [("p", "x", 3), ("p", None, 5), ("p", "z", 2), ("q", "y", 7), (None, "x", 1)]
+    w = spark.createDataFrame(weights, "k string, v string, n long")
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["p", "q", None, "r"] * 50)], "k string, i long")
+    got = {r.i: r.v for r in sampling.inverse_cdf(rows, ["k"], F.col("i"), w, "v", most).collect()}
+    for i, k in enumerate(["p", "q", None, "r"] * 50):
+        steps = sorted((x for x in weights if x[0] == k), key=lambda x: (x[1] is not None, x[1] or ""))
+        place = int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) * sum(x[2] for x in steps) >> 32
+        upto, want = 0, None
+        for _, v, n in steps:
+            if upto <= place < upto + n:
+                want = v
+            upto += n
+        assert got[i] == want
+
+
 # ---- siblings ----------------------------------------------------------------------------------
 
 
+def test_groups_by_kind_give_the_marginals_of_all_groups(spark):
+    rng = random.Random(6)
+    child = [(g, i, rng.choice(["A", "B", None]), rng.choice("xy")) for g in range(300) for i in range(rng.randrange(1, 5))]
+    parent = spark.createDataFrame([(g, rng.choice(["P", None])) for g in range(290)], "pk int, p string")
+    members = permute.numbered(spark.createDataFrame(child, "fk int, i int, a string, b string"), "fk", [F.col("i")], 4).select("fk", "rn", "n", "a", "b")
+    by_kind, parents = siblings.kinds(siblings.gathered(members, "fk", ["a", "b"]).join(parent.withColumnRenamed("pk", "fk"), "fk"), ["a", "b"], ["p"])
+    assert parents.agg(F.sum("groups")).first()[0] == 290 > parents.count()
+    key = ["p", "n", "m0_a", "m0_b", "m1_a", "m1_b"]
+
+    def marginal(table, weight):
+        return {tuple(r)[:-1]: round(r.v, 9) for r in table.filter("n > 1").groupBy(*key).agg(F.sum(weight).alias("v")).collect()}
+
+    want = marginal(permute.permutations(members, "fk", ["a", "b"], 2).join(parent.withColumnRenamed("pk", "fk"), "fk"), F.col("weight"))
+    assert marginal(permute.permutations(by_kind, "kind", ["a", "b"], 2).join(parents, "kind"), F.col("weight") * F.col("groups")) == want
+
+
+# ---- siblings: planning and drawing --------------------------------------------------------------
+
+
 def test_planning_takes_own_columns_and_few_members():
     domain = {"p": 3, "a": 4, "b": 2, "size": 5}
     scores = {frozenset(x): s for x, s in [(("m0_a", "m1_a"), 9.0), (("m0_a", "m0_b"), 5.0), (("m1_a", "m1_b"), 5.0), (("p", "m0_a"), 1.0), (("p", "m1_a"), 1.0), (("m0_b", "m1_b"), 2.0)]}
