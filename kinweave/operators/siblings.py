@@ -76,6 +76,12 @@ def kinds(groups: DataFrame, attrs: list[str], parent_attrs: list[str]) -> tuple
     return rows.select("kind", (F.col("rn") + 1).alias("rn"), "n", "m.*"), counted.select("kind", *parent_attrs, "groups")
 
 
+def kinds_of(child: DataFrame, fk: str, attrs: list[str], parent: DataFrame, pk: str, parent_attrs: list[str], order: list[Column], cap: int) -> tuple[DataFrame, DataFrame]:
+    """`kinds` of the groups of a child table, of whose members the first `cap` count."""
+    members = permute.numbered(child.select(*dict.fromkeys([fk, *attrs]), *[o.alias(f"_o{k}") for k, o in enumerate(order)]), fk, [F.col(f"_o{k}") for k in range(len(order))], cap)
+    return kinds(gathered(members, fk, attrs).join(parent.select(F.col(pk).alias(fk), *parent_attrs), fk), attrs, parent_attrs)
+
+
 # ---- structure ---------------------------------------------------------------------------------
 
 
@@ -169,18 +175,16 @@ def draw_groups(fresh: DataFrame, draws: list[Draw], tables: dict[str, DataFrame
     return fresh
 
 
-def synthesise(child: DataFrame, fk: str, attrs: list[str], parent: DataFrame, pk: str, parent_attrs: list[str], values: dict[str, list], order: list[Column], cap: int, budget: float, draws: list[Draw] | None = None, most: int = 4, limit: int = 5_000, seed: int | None = None) -> tuple[DataFrame, list[Draw]]:
+def synthesise(child: DataFrame, fk: str, attrs: list[str], parent: DataFrame, pk: str, parent_attrs: list[str], values: dict[str, list], order: list[Column], cap: int, budget: float, draws: list[Draw] | None = None, most: int = 4, limit: int = 5_000, seed: int | None = None, counted: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, list[Draw]]:
     """New groups in one row each (group, size, the parent's attributes, m{t}_{attribute}), and the draws.
 
     `values` are the attributes' public domains (rows with other values don't count). Sizes, scores and
     marginals are measured under one budget; a parent row with its group counts once. Without `draws` they
-    are planned from noisy scores."""
+    are planned from noisy scores. `counted`: the child's `kinds_of`, where they are at hand."""
     ledger = privacy.Ledger(budget, SHARES)
     domain = {a: len(x) for a, x in values.items()} | {"size": cap}
     values = values | {"size": list(range(1, cap + 1))}
-    members = permute.numbered(child.select(*dict.fromkeys([fk, *attrs]), *[o.alias(f"_o{k}") for k, o in enumerate(order)]), fk, [F.col(f"_o{k}") for k in range(len(order))], cap)
-    groups_of = gathered(members, fk, attrs).join(parent.select(F.col(pk).alias(fk), *parent_attrs), fk)
-    members, parents = kinds(groups_of, attrs, parent_attrs)
+    members, parents = counted or kinds_of(child, fk, attrs, parent, pk, parent_attrs, order, cap)
     if draws is None:
         scores = member_scores(members, "kind", attrs, parents, "kind", parent_attrs, "groups")
         columns = len(parent_attrs) + 2 * len(attrs)

@@ -42,9 +42,18 @@ def _members(spark, d):
     return permute.numbered(_linked(spark, d), "l_orderkey", order, SLOTS)
 
 
-def _synthetic(spark, d, draws):
+def _given(spark, d):
     order = [F.col("status" if c == "l_linestatus" else c) for c in LINE]
-    wide, _ = siblings.synthesise(_linked(spark, d), "l_orderkey", ["flag", "status"], table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"], VALUES, order, SLOTS, BUDGET, draws, seed=SEED)
+    return _linked(spark, d), "l_orderkey", ["flag", "status"], table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"], order
+
+
+def _counted(spark, d):
+    return siblings.kinds_of(*_given(spark, d), SLOTS)
+
+
+def _synthetic(spark, d, draws, counted):
+    *tables, order = _given(spark, d)
+    wide, _ = siblings.synthesise(*tables, VALUES, order, SLOTS, BUDGET, draws, seed=SEED, counted=counted)
     return wide
 
 
@@ -115,7 +124,7 @@ def sibling_scores(spark, d):
 @query(f'WITH {_MEMBERS}, {_wide_sql("g", DRAWS)} SELECT "group", rn::INT AS rn, n, o_orderpriority, flag, status FROM ({_rows_sql("g")})')
 def synth_siblings(spark, d):
     """New groups of lineitems, member by member."""
-    wide = _synthetic(spark, d, DRAWS)
+    wide = _synthetic(spark, d, DRAWS, _counted(spark, d))
     return siblings.member_rows(wide, ["flag", "status"], SLOTS, ("o_orderpriority",))
 
 
@@ -124,9 +133,9 @@ def synth_siblings(spark, d):
 def sibling_distance(spark, d):
     """Distance of the flags of two members, real and drawn: with and without regard to other members."""
     truth = siblings.pair_shares(_members(spark, d), "l_orderkey", "flag")
-    out = None
+    counted, out = _counted(spark, d), None
     for name, draws in (("siblings", DRAWS), ("alone", ALONE)):
-        drawn = siblings.pair_shares(siblings.member_rows(_synthetic(spark, d, draws), ["flag"], SLOTS), "group", "flag")
+        drawn = siblings.wide_pair_shares(_synthetic(spark, d, draws, counted), "flag", SLOTS)
         one = marginals.tvd(truth, drawn, ["m0_flag", "m1_flag"]).select(F.lit(name).alias("method"), r6("distance").alias("distance"))
         out = one if out is None else out.unionByName(one)
     return out
