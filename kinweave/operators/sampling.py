@@ -96,9 +96,12 @@ def conditional_fill(rows: DataFrame, by: list[str], key: str, weights: DataFram
     every = F.array(*map(F.lit, values)).cast(ArrayType(weights.schema[value].dataType))
     bare = sizes.filter("_known is null").select(*by, F.explode(every).alias(value), F.lit(1.0).alias("v"), "_n")
     counts = join_contexts(weights, sizes.drop("_known"), by, "inner").unionByName(bare)
-    steps = _steps(random_round(counts, by, value, "_n"), by, value, "n_drawn")
-    numbered = number_within(rows, by, [md5_int(F.col(key)), F.col(key)], "_i")
-    return join_contexts(numbered, steps, by).withColumn(value, _at(F.col("_i"))).drop("_i", "_steps")
+    # written: else each later look at the column would count the rows' contexts again
+    steps = saved(_steps(random_round(counts, by, value, "_n"), by, value, "n_drawn"))
+    most = steps.agg(F.max(F.size("_steps"))).first()[0]
+    # the hash is a column: a sort makes an expression again in every comparison
+    numbered = number_within(rows.withColumn("_hash", md5_int(F.col(key))), by, [F.col("_hash"), F.col(key)], "_i").drop("_hash")
+    return join_contexts(numbered, steps, by).withColumn(value, _at(F.col("_i"), most)).drop("_i", "_steps")
 
 
 def inverse_cdf(rows: DataFrame, by: list[str], key: Column, weights: DataFrame, value: str, most: int | None = None) -> DataFrame:

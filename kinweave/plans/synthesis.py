@@ -11,17 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.operators import groups, marginals, privacy, sampling, structure
+from kinweave.operators import groups, marginals, permute, privacy, sampling, structure
 from kinweave.plans.relational import query
+from kinweave.sources.scratch import saved
 from kinweave.sources.tables import table
 
 SHARES = {"scores": 0.1, "sizes": 0.1, "marginals": 0.8}
 
 
-def _measured(df: DataFrame, attrs: list[str], sensitivity: float, budget: float, limit: int, seed: int) -> DataFrame:
-    """A noisy marginal over all cells, negatives to 0."""
-    m = marginals.densify(marginals.marginal(df, attrs), {a: df.select(a).distinct() for a in attrs}, limit)
-    return privacy.noisy(m, privacy.sigma(sensitivity, budget), seed=seed).withColumn("v", F.greatest("v", F.lit(0.0)))
+def _measured(cube: DataFrame, count: str, attrs: list[str], sensitivity: float, budget: float, limit: int, seed: int) -> DataFrame:
+    """A noisy marginal over all cells, negatives to 0; written, so that its noise is drawn once."""
+    m = marginals.densify(marginals.marginal(cube, attrs, F.col(count).cast("double")), {a: cube.select(a).distinct() for a in attrs}, limit)
+    return saved(privacy.noisy(m, privacy.sigma(sensitivity, budget), seed=seed).withColumn("v", F.greatest("v", F.lit(0.0))))
 
 
 def plan_columns(scores: list[tuple[str, str, float]], domain: dict[str, int], most: int, limit: int) -> list[tuple[str, list[str]]]:
@@ -45,15 +46,15 @@ def synthesise(parent: DataFrame, pk: str, parent_attrs: list[str], child: DataF
     """(parents, children) that resemble the given ones: parents with new keys and attributes, and
     children with their parent's key and attributes drawn given each other and the parent's."""
     ledger = privacy.Ledger(budget, SHARES)
-    size = groups.sizes(child, fk, cap)
-    joined = parent.join(size, F.col(pk) == F.col(fk)).select(pk, *parent_attrs, "size")
-    capped = groups.at_most(child, fk, cap, [F.xxhash64(*child.columns)])
-    rows = capped.select(fk, *child_attrs).join(joined, F.col(fk) == F.col(pk)).select(*child_attrs, *parent_attrs)
     attrs = [*parent_attrs, *child_attrs]
-    domain = {r.attr: r.n for r in rows.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("x")) for a in attrs])).alias("c")).groupBy("c.attr").agg(F.count_distinct("c.x").alias("n")).collect()}
+    capped = permute.numbered(child, fk, [F.xxhash64(*child.columns)], cap).select(F.col(fk).alias("_fk"), *child_attrs, "rn")
+    rows = capped.join(parent.select(pk, *parent_attrs), F.col(pk) == F.col("_fk"))
+    # both tables are read once: all marginals are sums over the combinations that occur (never more than rows)
+    cube = saved(rows.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("rn") == 1).alias("_groups")))
+    domain = {r.attr: r.n for r in cube.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("x")) for a in attrs])).alias("c")).groupBy("c.attr").agg(F.count_distinct("c.x").alias("n")).collect()}
     n_pairs = len(attrs) * (len(attrs) - 1) // 2
     noise = privacy.sigma(2 * cap, ledger.charge("scores", budget * SHARES["scores"]), n_pairs)
-    scores = [(r.a, r.b, max(0.0, r.s)) for r in marginals.r_scores(marginals.pair_counts(rows, attrs)).select("a", "b", (F.col("score") + noise * F.randn(seed)).alias("s")).collect()]
+    scores = [(r.a, r.b, max(0.0, r.s)) for r in marginals.r_scores(marginals.pair_counts(cube, attrs, F.col("_rows").cast("double"))).select("a", "b", (F.col("score") + noise * F.randn(seed)).alias("s")).collect()]
     columns = plan_columns([s for s in scores if s[0] in parent_attrs and s[1] in parent_attrs], {a: domain[a] for a in parent_attrs}, most, limit)
     child_columns = [c for c in plan_columns(scores, domain, most, limit) if c[0] in child_attrs]
     per = ledger.charge("marginals", budget * SHARES["marginals"]) / (len(columns) + len(child_columns))
@@ -63,20 +64,21 @@ def synthesise(parent: DataFrame, pk: str, parent_attrs: list[str], child: DataF
     counts = h.select(F.col("size").alias("size"), F.greatest(F.round("v"), F.lit(0.0)).cast("long").alias("n"))
     parents = sampling.expand(counts, "n").select(F.concat_ws("-", "size", "copy").alias(pk), "size")
     for k, (a, given) in enumerate(columns):
-        parents = _fill(parents, pk, given, _measured(joined.select(*parent_attrs), [*given, a], 1, per, limit, seed + 10 + k), a)
-    children = parents.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), "size"))).withColumn("_key", F.concat_ws("/", pk, "slot"))
+        parents = saved(_fill(parents, pk, given, _measured(cube, "_groups", [*given, a], 1, per, limit, seed + 10 + k), a, domain[a]))
+    slot = F.explode(F.sequence(F.lit(1).cast("long"), "size")).alias("_slot")
+    children = parents.select(pk, *parent_attrs, slot).withColumn("_key", F.concat_ws("/", pk, "_slot")).drop(pk, "_slot")
     for k, (a, given) in enumerate(child_columns):
         given = [g for g in given if g in children.columns]
-        children = _fill(children, "_key", given, _measured(rows, [*given, a], cap, per, limit, seed + 100 + k), a)
-    return parents.select(pk, *parent_attrs), children.select(F.col("_key").alias("child_key"), *child_attrs, F.col(pk).alias(fk))
+        children = _fill(children, "_key", given, _measured(cube, "_rows", [*given, a], cap, per, limit, seed + 100 + k), a, domain[a])
+    return parents.select(pk, *parent_attrs), children.select(F.col("_key").alias("child_key"), *child_attrs, F.substring_index("_key", "/", 1).alias(fk))
 
 
-def _fill(rows: DataFrame, key: str, given: list[str], weights: DataFrame, value: str) -> DataFrame:
+def _fill(rows: DataFrame, key: str, given: list[str], weights: DataFrame, value: str, values: int) -> DataFrame:
     if given:
         return sampling.conditional_fill(rows, given, key, weights, value)
     # one context: drawn by each row's own hash, without a window over all rows
     w = weights.select(F.lit(1).alias("_one"), value, (F.round(F.col("v") * 1000) + 1).cast("long").alias("n"))
-    return sampling.inverse_cdf(rows.withColumn("_one", F.lit(1)), ["_one"], F.concat_ws("#", F.lit(value), key), w, value).drop("_one")
+    return sampling.inverse_cdf(rows.withColumn("_one", F.lit(1)), ["_one"], F.concat_ws("#", F.lit(value), key), w, value, values + 1).drop("_one")
 
 
 @query()

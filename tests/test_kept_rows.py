@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import columns as C
 from kinweave.operators import codecs, draws, match, permute, sampling, siblings
 from kinweave.operators.siblings import Draw
+from kinweave.plans import synthesis
 
 
 def test_codes_of_null_and_unknown_values(spark):
@@ -73,6 +74,32 @@ def test_copies_of_one_row_are_dealt_out_to_tasks(spark):
     assert per == {"a": (n, n, 1, n), "b": (3, 3, 1, 3)}
 
 
+def looked_at_again(df):
+    """What a look at df's rows has to count or rank again."""
+    return [n for n in ("Aggregate", "Window") if n in df._jdf.queryExecution().optimizedPlan().toString()]
+
+
+def test_filled_columns_and_new_tables_are_not_counted_again(spark):
+    """Else each column that follows counts the rows of all before, and fresh noise differs from look to look."""
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(str(i), rng.choice("pq")) for i in range(200)], "key string, k string")
+    weights = spark.createDataFrame([("p", "x", 1.0), ("p", "y", 3.0), ("q", "x", 1.0)], "k string, v string, w double").withColumnRenamed("w", "v2")
+    filled = sampling.conditional_fill(rows, ["k"], "key", weights.select("k", F.col("v").alias("value"), F.col("v2").alias("v")), "value")
+    assert looked_at_again(filled) == []
+    n = {r.k: r["count"] for r in rows.groupBy("k").count().collect()}
+    got = {(r.k, r.value): r["count"] for r in filled.groupBy("k", "value").count().collect()}
+    assert got[("q", "x")] == n["q"] and sum(x for (k, _), x in got.items() if k == "p") == n["p"] and abs(got[("p", "y")] - 0.75 * n["p"]) < 1
+    orders = spark.createDataFrame([(i, rng.choice("PQ")) for i in range(400)], "pk long, p string")
+    lines = spark.createDataFrame([(i, j, rng.choice("AB")) for i in range(400) for j in range(rng.randrange(1, 5))], "fk long, j int, a string")
+    parents, children = synthesis.synthesise(orders, "pk", ["p"], lines, "fk", ["a"], 50.0, 4)
+    assert looked_at_again(parents) == looked_at_again(children) == []
+    keys, of = {r.pk: r.p for r in parents.collect()}, Counter(r.fk for r in children.collect())
+    assert set(of) == set(keys) and None not in keys.values()
+    assert all(of[k] == int(k.split("-")[0]) for k in keys)
+    assert {r.a for r in children.select("a").distinct().collect()} == {"A", "B"}
+    assert abs(len(keys) - 400) < 40
+
+
 def test_draws_take_whole_products(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(1 << 32), rng.randrange(1 << rng.randrange(1, 63))) for _ in range(500)] + [((1 << 32) - 1, (1 << 62) - 1), (0, 1), ((1 << 32) - 1, (1 << 32) - 1)]
